@@ -1,3 +1,11 @@
 """terrashift: change-triage analytics expressed as PySpark DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this library travel to the executors by value, so that a
+# cluster needs no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
