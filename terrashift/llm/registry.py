@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrashift.llm import url_filter
+from terrashift.llm import simhash, url_filter
 from terrashift.llm.storage import table
 
 URL_RULES = [
@@ -22,8 +22,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply_rules(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter}
+    return {
+        "op2_url_filter": op2_url_filter,
+        "op5_simhash": op5_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
