@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrashift.llm import simhash, url_filter
+from terrashift.llm import line_dedup, quality, simhash, url_filter
 from terrashift.llm.storage import table
 
 URL_RULES = [
@@ -27,14 +28,33 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
+    return kept.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), max_rows=6000)
+    found = quality.scores(docs, model, threshold=0.7)
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
         "op5_simhash": op5_simhash,
+        "op6_line_dedup": op6_line_dedup,
+        "op8_quality": op8_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from terrashift.llm import sql
 
-    return {"op2_url_filter": sql.OP2}
+    return {"op2_url_filter": sql.OP2, "op6_line_dedup": sql.OP6}
