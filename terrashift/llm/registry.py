@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashift.llm import line_dedup, quality, simhash, url_filter
+from terrashift.llm import decontaminate, line_dedup, quality, simhash, url_filter
 from terrashift.llm.storage import table
 
 URL_RULES = [
@@ -45,12 +45,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
         "op5_simhash": op5_simhash,
         "op6_line_dedup": op6_line_dedup,
         "op8_quality": op8_quality,
+        "op9_decontaminate": op9_decontaminate,
     }
 
 
