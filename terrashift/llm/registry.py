@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashift.llm import decontaminate, line_dedup, quality, simhash, url_filter
+from terrashift.llm import decontaminate, line_dedup, packing, quality, simhash, url_filter
 from terrashift.llm.storage import table
 
 URL_RULES = [
@@ -19,6 +19,10 @@ URL_RULES = [
 ]
 
 
+def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply_rules(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
@@ -51,6 +55,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit": op1_best_fit,
         "op2_url_filter": op2_url_filter,
         "op5_simhash": op5_simhash,
         "op6_line_dedup": op6_line_dedup,
