@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashift.llm import decontaminate, line_dedup, packing, quality, simhash, url_filter
+from terrashift.llm import decontaminate, line_dedup, packing, quality, simhash, token_store, url_filter
 from terrashift.llm.storage import table
 
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 URL_RULES = [
     ("allow", "com/"),
     ("block", "example.com/en/"),
@@ -53,6 +62,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_store.read_checksums(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit": op1_best_fit,
@@ -61,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op8_quality": op8_quality,
         "op9_decontaminate": op9_decontaminate,
+        "op10_token_store": op10_token_store,
     }
 
 
