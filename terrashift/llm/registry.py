@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashift.llm import decontaminate, line_dedup, packing, quality, simhash, token_store, url_filter
+from terrashift.llm import decontaminate, line_dedup, order_minhash, packing, quality, simhash, token_store, url_filter
 from terrashift.llm.storage import table
 
 
@@ -36,6 +36,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply_rules(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.with_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n_chars").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.to_hex(F.col("print")).alias("fingerprint"),
+        order_minhash.to_hex(F.col("edited_print")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        order_minhash.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -71,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit": op1_best_fit,
         "op2_url_filter": op2_url_filter,
+        "op4_order_minhash": op4_order_minhash,
         "op5_simhash": op5_simhash,
         "op6_line_dedup": op6_line_dedup,
         "op8_quality": op8_quality,
