@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashift.llm import decontaminate, line_dedup, order_minhash, packing, quality, simhash, token_store, url_filter
+from terrashift.llm import decontaminate, line_dedup, order_minhash, packing, pii, quality, simhash, token_store, url_filter
 from terrashift.llm.storage import table
 
 
@@ -36,6 +36,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply_rules(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+#: For the registered query only; production takes its key from a secret store.
+EXAMPLE_KEY = b"an example key, not a secret"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
+    kinds = ("email", "phone", "card", "iban", "ip", "date", "ssn", "secret")
+    counts = [F.coalesce(F.col("private").getItem(k), F.lit(0)).alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", "text", *counts)
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.with_edits(table(spark, sf_dir, "documents"))
     return found.select(
@@ -84,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit": op1_best_fit,
         "op2_url_filter": op2_url_filter,
+        "op3_pii": op3_pii,
         "op4_order_minhash": op4_order_minhash,
         "op5_simhash": op5_simhash,
         "op6_line_dedup": op6_line_dedup,
