@@ -117,11 +117,12 @@ PATTERN = re.compile(
     r"|(?<![0-9A-Za-z])(?P<hex>[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![0-9A-Za-z]|\.\d)"
-    r"|(?<![0-9A-Za-z])(?P<ymd>\d{4}([\-/.])\d{1,2}\8\d{1,2})(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])(?P<dmy>\d{1,2}([\-/.])\d{1,2}\10\d{4})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?P<ymd>\d{4}(?P<s>[\-/.])\d{1,2}(?P=s)\d{1,2})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?P<dmy>\d{1,2}(?P<z>[\-/.])\d{1,2}(?P=z)\d{4})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<ssn>\d{3}-\d{2}-\d{4})(?![0-9A-Za-z\-])"
-    r"|(?<![0-9A-Za-z])(?P<card>\d(?:[ \-]?\d){12,18})(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])(?P<phone>\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}|\(\d{3}\) ?\d{3}[ .\-]\d{4})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?P<card>\d{13,19}|\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}(?P<bar>[ \-])\d{6}(?P=bar)\d{5})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?P<phone>(?:\+1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]\d{4}|\+1[ .\-]?\d{3}[ .\-]?\d{3}[ .\-]?\d{4}"
+    r"|\+(?!1[ (.\-])\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4})(?![0-9A-Za-z])"
 )
 HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
 
