@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashift.llm import decontaminate, line_dedup, order_minhash, packing, pii, quality, simhash, token_store, url_filter
+from terrashift.llm import decontaminate, html_extract, line_dedup, order_minhash, packing, pii, quality, simhash, token_store, url_filter
 from terrashift.llm.storage import table
 
 
@@ -75,6 +75,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), max_rows=6000)
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_order_minhash": op4_order_minhash,
         "op5_simhash": op5_simhash,
         "op6_line_dedup": op6_line_dedup,
+        "op7_html_extract": op7_html_extract,
         "op8_quality": op8_quality,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_store": op10_token_store,
