@@ -1 +1 @@
-
+"""Readers: the tables that the operators start from."""
