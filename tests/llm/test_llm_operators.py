@@ -275,6 +275,28 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_wide_fingerprints_link_similar_documents(spark, hot):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    rows, family = [], {}
+    for f in range(6):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        for c in range(5):
+            words = list(base)
+            for _ in range(2 if c else 0):  # two words of 300: about 0.93 of the shingles stay
+                words[rng.randrange(300)] = rng.choice(vocabulary)
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(words), "", "", 0))
+    for _ in range(40):
+        rows.append((len(rows), " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 200))), "", "", 0))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(clashing(docs(spark, rows)), hot=hot, cell=3).collect()}
+    assert {k: min(m for m in family if family[m] == f) for k, f in family.items()} == {k: got[k] for k in family}
+    assert all(got[k] == k for k in got if k not in family)
+    assert simhash.similar_documents(docs(spark, [])).count() == 0
+    assert len(simhash.similar_documents(docs(spark)).collect()) == len(ODD)
+
+
 # --- 6 line dedup
 
 
