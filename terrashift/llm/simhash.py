@@ -183,14 +183,21 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> t
     return nodes[a], nodes[b]
 
 
-def spanning_places(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_places(
+    left: np.ndarray, right: np.ndarray | None, radius: int, joined: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The same for fingerprints of several words, (rows, words); the places count through left, then right.
 
+    ``joined`` names the components that hold already; links inside one are not repeated.
+
     Rows of the comparison are taken in slabs of bounded size; of each slab's
     links only those that join two trees are kept.
     """
-    nodes = left if right is None else np.concatenate([left, right])
-    parent = list(range(len(nodes)))
+    n = len(left) + (0 if right is None else len(right))
+    parent = list(range(n))
+    if joined is not None and n:
+        _, place, where = np.unique(joined, return_index=True, return_inverse=True)
+        parent = place[where].tolist()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -288,65 +295,97 @@ def wide_fingerprints(docs: DataFrame, key: str, text: str, width: int, words: i
     return rows.select(F.col("key").alias(key), F.xxhash64("wide").alias("fp"), "wide")
 
 
-def wide_links(reps: DataFrame, words: int, radius: int, n: int, hot: int, cell: int) -> DataFrame:
-    """a, b (a < b): verified links between the fingerprints of ``reps`` (fp, wide).
+class _Blocks:
+    """The keys of wide fingerprints: for each block its bits, drawn once and alike everywhere."""
+
+    def __init__(self, words: int, bits: int, blocks: int):
+        self.words, self.bits = words, bits
+        chosen = np.random.default_rng(SEED)
+        self.places = np.array([chosen.choice(words * BITS, bits, replace=False) for _ in range(blocks)])
+
+    def rows(self, reps: DataFrame, first: int, last: int) -> DataFrame:
+        """k, v, fp, w0 (the first 64 bits) and c for the blocks from ``first`` up to ``last``; ``reps`` has fp, wide and c."""
+        words, bits, places = self.words, self.bits, self.places[first:last]
+        blocks = len(places)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights = 1 << np.arange(bits, dtype=np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
+                    n = part.num_rows
+                    flat = part.column(1).flatten().to_numpy().view(np.uint64).reshape(n, words)
+                    ones = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(n, -1), axis=1)
+                    value = np.stack([ones[:, p] @ weights for p in places], axis=1)
+                    again = pa.array(np.repeat(np.arange(n), blocks))
+                    cols = [
+                        pa.array(np.tile(np.arange(first, last, dtype=np.int32), n)),
+                        pa.array(value.ravel()),
+                        part.column(0).take(again),
+                        pa.array(np.repeat(flat[:, 0].view(np.int64), blocks)),
+                        part.column(2).take(again),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=["k", "v", "fp", "w0", "c"])
+
+        return reps.select("fp", "wide", "c").mapInArrow(run, "k int, v bigint, fp bigint, w0 bigint, c bigint")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, radius: int) -> DataFrame:
+    """The pairs a, b whose wide fingerprints differ in at most ``radius`` bits."""
+    both = pairs.join(reps.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(
+        reps.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b"
+    )
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+    return both.where(apart <= radius).select("a", "b")
+
+
+def wide_links(reps: DataFrame, words: int, radius: int, n: int, hot: int, cell: int, stars: int = 6) -> DataFrame:
+    """a, b (a < b): verified links that connect what all links found in the blocks connect; ``reps`` has fp and wide.
 
-    The rows of the block join carry the first 64 bits alone; a pair that
-    those don't rule out is verified on all bits. Hot keys go by cells.
+    First the members of a block's key are held against one of them only, in
+    ``stars`` blocks, which joins most of every large family by few rows. Then
+    all pairs of all blocks are, without those that are joined already: what
+    is left of a family costs little, and between families none is lost. The
+    rows of the join carry 64 bits; a pair that those don't rule out is
+    verified on all. Hot keys go by cells.
     """
-    bits = block_bits(n)
-    chosen = np.random.default_rng(SEED)
-    places = np.array([chosen.choice(words * BITS, bits, replace=False) for _ in range(BLOCKS)])
-    first = BITS * radius / (words * BITS)
-    loose = int(first + 4 * np.sqrt(first * (1 - first / BITS))) + 1  # four standard deviations above
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                rows = part.num_rows
-                flat = part.column(1).flatten().to_numpy().view(np.uint64).reshape(rows, words)
-                ones = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(rows, -1), axis=1)
-                value = np.stack([ones[:, p] @ weights for p in places], axis=1)
-                cols = [
-                    pa.array(np.tile(np.arange(BLOCKS, dtype=np.int32), rows)),
-                    pa.array(value.ravel()),
-                    part.column(0).take(pa.array(np.repeat(np.arange(rows), BLOCKS))),
-                    pa.array(np.repeat(flat[:, 0].view(np.int64), BLOCKS)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["k", "v", "fp", "w0"])
-
-    keyed = reps.select("fp", "wide").mapInArrow(keys, "k int, v bigint, fp bigint, w0 bigint")
-    keyed = written(keyed, "simhash-blocks")
+    blocks = _Blocks(words, block_bits(n), BLOCKS)
+    first = radius / words
+    loose = int(first + 4 * np.sqrt(first * (1 - first / BITS))) + 1  # four standard deviations above what 64 bits differ in
+
+    keyed = blocks.rows(reps.withColumn("c", F.col("fp")), 0, stars)
+    hubs = keyed.groupBy("k", "v").agg(F.min(F.struct("fp", "w0")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    star = keyed.join(hubs, ["k", "v"]).where(F.col("fp") != F.col("hub.fp"))
+    star = star.where(F.bit_count(F.col("w0").bitwiseXOR(F.col("hub.w0"))) <= loose)
+    star = star.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    edges = written(_verified(star, reps, radius), "simhash-stars")
+
+    joined = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("c"))
+    named = reps.join(joined, "fp", "left").select("fp", "wide", F.coalesce("c", "fp").alias("c"))
+    keyed = written(blocks.rows(named, 0, BLOCKS), "simhash-blocks")
     sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = keyed.join(sizes, ["k", "v"])
 
     cold = sized.where(F.col("size") <= hot)
-    other = cold.select("k", "v", F.col("fp").alias("b"), F.col("w0").alias("other"))
-    near = cold.select("k", "v", F.col("fp").alias("a"), "w0").join(other, ["k", "v"])
-    near = near.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("w0").bitwiseXOR(F.col("other"))) <= loose)).select("a", "b").distinct()
-    pairs = near.join(reps.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(
-        reps.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b"
-    )
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    near = pairs.where(apart <= radius).select("a", "b")
+    other = cold.select("k", "v", F.col("fp").alias("b"), F.col("w0").alias("other"), F.col("c").alias("d"))
+    near = cold.select("k", "v", F.col("fp").alias("a"), "w0", "c").join(other, ["k", "v"])
+    near = near.where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.bit_count(F.col("w0").bitwiseXOR(F.col("other"))) <= loose))
+    near = _verified(near.select("a", "b").distinct(), reps, radius)
 
     spread = _in_cells(sized.where(F.col("size") > hot).join(reps.select("fp", "wide"), "fp"), cell)
 
     def forest(group: pa.Table) -> pa.Table:
-        fp, side = group.column("fp").to_numpy(), group.column("mine").to_numpy()
+        fp, side, c = (group.column(x).to_numpy() for x in ("fp", "mine", "c"))
         wide = group.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), words)
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi) if hi != lo else None
-        a, b = spanning_places(wide[left], None if right is None else wide[right], radius)
-        names = fp[left] if right is None else np.concatenate([fp[left], fp[right]])
-        return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
+        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi) if hi != lo else np.zeros(0, np.int64)
+        at = np.concatenate([left, right])
+        a, b = spanning_places(wide[left], wide[right] if hi != lo else None, radius, c[at])
+        return pa.table({"a": pa.array(fp[at][a], pa.int64()), "b": pa.array(fp[at][b], pa.int64())})
 
-    spread = spread.select("k", "v", "fp", "wide", "mine", "lo", "hi")
+    spread = spread.select("k", "v", "fp", "wide", "c", "mine", "lo", "hi")
     dense = spread.groupBy("k", "v", "lo", "hi").applyInArrow(forest, "a bigint, b bigint")
-    dense = dense.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return near.unionByName(dense).distinct()
+    return edges.unionByName(near).unionByName(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _grouped(prints: DataFrame, reps: DataFrame, edges: DataFrame, key: str) -> DataFrame:
