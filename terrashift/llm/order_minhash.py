@@ -11,8 +11,8 @@ these ``functions`` values, and the likeness of two fingerprints the share of
 equal values: an estimate that falls with the edit distance, since a moved
 passage changes the order within tuples and not only the set.
 
-Everything happens within the row, on arrays: hashing, numbering (a sort of
-hash and place packed into one BIGINT, then run starts by pointer doubling,
+Everything happens within the row, on arrays: hashing, numbering (only where
+a k-mer repeats: a sort of the upper half of the hash and the place packed into one BIGINT, then run starts by pointer doubling,
 log2 of the longest possible run steps), selection and tuples. Rows with hot
 texts or copies need no grouping.
 
@@ -34,7 +34,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEAST_KEY = -(1 << 63)
-PLACE_BITS = 31  # a text has fewer than 2^31 tokens
+PLACE_BITS = 32  # a text has fewer than 2^31 tokens
+MASK = (1 << PLACE_BITS) - 1
 
 
 def kmers(text: Column, k: int, token_chars: int) -> Column:
@@ -55,58 +56,69 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _kmer(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(~MASK))
+
+
+def _place(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(MASK))
+
+
 def numbered(hashes: Column) -> Column:
-    """(h, p) structs: h hashes a k-mer with its occurrence number, p is its place."""
-    mask = (1 << PLACE_BITS) - 1
-    packed = F.array_sort(
-        F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
-    )
+    """A text's numbered k-mers, each one BIGINT: the upper bits hash k-mer and occurrence, the lower are its place."""
+
+    def finished(packed: Column, occurrence: Column) -> Column:
+        return F.xxhash64(_kmer(packed), occurrence).bitwiseAND(F.lit(~MASK)).bitwiseOR(_place(packed))
+
+    def repeated(packed: Column, repeats: Column) -> Column:
+        """Sorted, equal k-mers stand together in text order; a run's start comes to its members by pointer doubling."""
+
+        def number(s: Column) -> Column:
+            first = F.transform(s, lambda x, i: F.when((i == 0) | (_kmer(F.get(s, i - 1)) != _kmer(x)), i).otherwise(F.lit(-1)))
+            steps = F.sequence(F.lit(0), F.ceil(F.log2((repeats + 1).cast("double"))).cast("int"))
+            starts = F.aggregate(
+                steps,
+                first,
+                lambda held, t: F.transform(
+                    held, lambda x, i: F.greatest(x, F.coalesce(F.get(held, i - F.call_function("shiftleft", F.lit(1), t)), F.lit(-1)))
+                ),
+            )
+            return _let(starts, lambda begin: F.transform(s, lambda x, i: finished(x, i - F.get(begin, i))))
 
-    def number(s: Column) -> Column:
-        def kmer(x: Column) -> Column:
-            return x.bitwiseAND(F.lit(~mask))
+        return _let(F.sort_array(packed), number)
 
-        first = F.transform(s, lambda x, i: F.when((i == 0) | (kmer(F.get(s, i - 1)) != kmer(x)), i).otherwise(F.lit(-1)))
-        repeats = F.size(s) - F.size(F.array_distinct(F.transform(s, kmer)))
-        steps = F.when(repeats == 0, F.array().cast("array<int>")).otherwise(
-            F.sequence(F.lit(0), F.ceil(F.log2((repeats + 1).cast("double"))).cast("int"))
-        )
-        starts = F.aggregate(
-            steps,
-            first,
-            lambda held, t: F.transform(
-                held, lambda x, i: F.greatest(x, F.coalesce(F.get(held, i - F.call_function("shiftleft", F.lit(1), t)), F.lit(-1)))
-            ),
-        )
+    def choose(packed: Column) -> Column:
+        repeats = F.size(packed) - F.size(F.array_distinct(F.transform(packed, _kmer)))
         return _let(
-            starts,
-            lambda begin: F.transform(
-                s,
-                lambda x, i: F.struct(
-                    F.xxhash64(kmer(x), i - F.get(begin, i)).alias("h"), x.bitwiseAND(F.lit(mask)).alias("p")
-                ),
-            ),
+            repeats, lambda n: F.when(n == 0, F.transform(packed, lambda x: finished(x, F.lit(0)))).otherwise(repeated(packed, n))
         )
 
-    return _let(packed, number)
+    return _let(F.transform(hashes, lambda h, i: _kmer(h).bitwiseOR(i.cast("bigint"))), choose)
 
 
 def fingerprint(
-    text: Column, k: int = 2, tuple_size: int = 2, functions: int = 32, sample: int = 64, token_chars: int = 8
+    text: Column, k: int = 3, tuple_size: int = 2, functions: int = 32, sample: int = 64, token_chars: int = 8
 ) -> Column:
     """The Order MinHash of a text: ARRAY<INT> of ``functions`` values."""
-    least = F.slice(F.array_sort(numbered(kmers(text, k, token_chars))), 1, sample)
+    least = F.slice(F.sort_array(numbered(kmers(text, k, token_chars))), 1, sample)
+    in_order = F.transform(F.sort_array(F.transform(least, _by_place)), _by_place)
+    slots = (1 << (sample - 1).bit_length()) - 1
 
     def tuples(kept: Column) -> Column:
         def value(j: Column) -> Column:
-            ranked = F.transform(kept, lambda x: F.struct(F.xxhash64(x["h"], j).alias("r"), x["p"].alias("p"), x["h"].alias("h")))
-            chosen = F.slice(F.array_sort(ranked), 1, tuple_size)
-            ordered = F.array_sort(F.transform(chosen, lambda x: F.struct(x["p"], x["h"])))
-            return F.hash(F.transform(ordered, lambda x: x["h"]))
+            ranked = F.transform(kept, lambda x, i: F.xxhash64(_kmer(x), j).bitwiseAND(F.lit(~slots)).bitwiseOR(i.cast("bigint")))
+            chosen = F.slice(F.sort_array(ranked), 1, tuple_size)
+            ordered = F.sort_array(F.transform(chosen, lambda r: r.bitwiseAND(F.lit(slots))))
+            return F.hash(F.transform(ordered, lambda i: _kmer(F.get(kept, i.cast("int")))))
 
         return F.transform(F.sequence(F.lit(1), F.lit(functions)), value)
 
-    return _let(least, tuples)
+    return _let(in_order, tuples)
+
+
+def _by_place(packed: Column) -> Column:
+    """The halves exchanged: sorting goes by place; twice gives the same again."""
+    return F.shiftleft(packed, PLACE_BITS).bitwiseOR(F.shiftrightunsigned(packed, PLACE_BITS))
 
 
 def to_hex(prints: Column) -> Column:
@@ -142,10 +154,8 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     are on the key and share the exchange; only the successors' beginnings
     and fingerprints move a second time.
     """
-    rows = docs.select(
-        F.col(key), F.coalesce(F.col(key).cast("bigint"), F.lit(LEAST_KEY)).alias("key"), F.coalesce(text, F.lit("")).alias("text")
-    )
-    rows = rows.select(key, "key", "text", fingerprint(F.col("text"), **parameters).alias("print"))
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LEAST_KEY)).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("print", fingerprint(F.col("text"), **parameters))  # the same columns for both joins: one exchange
     cuts = docs.select(
         F.coalesce(F.col(key).cast("bigint"), F.lit(LEAST_KEY)).alias("key"),
         F.floor(F.coalesce(F.length(text), F.lit(0)) / share).cast("int").alias("cut"),
@@ -161,5 +171,6 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     edited = F.concat(
         F.substring("text", F.lit(1), F.col("n_chars") - cut), F.substring("after.start", F.lit(1), cut)
     )
-    done = joined.select(key, "text", "n_chars", "print", edited.alias("edited"), F.col("after.print").alias("next_print"))
+    own = F.nullif("key", F.lit(LEAST_KEY)).cast(docs.schema[key].dataType).alias(key)
+    done = joined.select(own, "text", "n_chars", "print", edited.alias("edited"), F.col("after.print").alias("next_print"))
     return done.withColumn("edited_print", fingerprint(F.col("edited"), **parameters))
