@@ -281,7 +281,7 @@ def select_sequential(spark, d):
             "r AS (SELECT *, row_number() OVER (ORDER BY fair - base DESC, city DESC) AS rk, 200 - sum(base) OVER () AS left_over FROM a)",
         ]
     )
-    + """ SELECT city, n, CAST(base + CASE WHEN rk <= left_over THEN 1 ELSE 0 END AS BIGINT) AS calls FROM r""",
+    + """ SELECT city, n, CAST(CASE WHEN sum(n) OVER () <= 200 THEN n ELSE base + CASE WHEN rk <= left_over THEN 1 ELSE 0 END END AS BIGINT) AS calls FROM r""",
 )
 def select_stratified_alloc(spark, d):
     """At this budget no floor overshoots, so the remainders decide and SQL can say it."""
