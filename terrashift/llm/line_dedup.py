@@ -50,8 +50,8 @@ def _ordered_id(key: str) -> Column:
 
 def line_hashes(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """id, t, pos, h1, h2 of every line whose key is long enough to count; t tells apart texts with one id."""
-    spread = F.posexplode(text_lines(F.col(text))).alias("pos", "line")
-    lines = docs.select(_ordered_id(key).alias("id"), F.xxhash64(text).alias("t"), spread)
+    rows = docs.select(_ordered_id(key).alias("id"), F.xxhash64(text).alias("t"), text_lines(F.col(text)).alias("lines"))
+    lines = rows.select("id", "t", F.posexplode("lines").alias("pos", "line"))
     keyed = lines.where(F.length("line") >= min_chars).select("id", "t", "pos", line_key(F.col("line")).alias("k"))
     return keyed.where(F.length("k") >= min_chars).select(
         "id", "t", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2")
