@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, links within a Hamming radius, components.
+"""SimHash near-duplicates: fingerprints, links within a Hamming radius, components; and exact links of similar texts.
 
 Fingerprint. Words are maximal runs of anything but ASCII white space, after
 A-Z are lower-cased; a shingle is ``width`` words joined by one space (fewer
@@ -21,12 +21,13 @@ passes on only a spanning forest of the links it verified. No link between
 components is lost and a family of B fingerprints yields about B * B / cell
 rows, not B * B.
 
-Wide fingerprints. Texts that share 0.8 of their shingles differ in about
-15 % of the bits, which no pigeonhole on 64 bits can promise. ``wide`` takes
-several mixtures of the shingle hashes (640 bits), ``BLOCKS`` blocks of bits
-whose size grows with the logarithm of the number of texts, and the same join
-and verification. What a block misses is then a chance: with 18 bits (2^18
-texts) 0.1 % at a similarity of 0.9 and 8 % at 0.8, with 24 bits 3 % and 39 %.
+Similar documents. ``similar_documents`` compares sets of shingles and not
+fingerprints: of two sets with a Jaccard similarity of 0.8 each has one of the
+other's among its first n - ceil(0.8 n) + 1 shingles, in any order that holds
+for all texts (prefix filter). So every pair meets on a shingle at any number
+of texts, and each candidate is decided by its exact similarity. Shingles that
+a sample of the texts often has come last in the order: the sample decides how
+many candidates there are, and never which links are found.
 
 Components. Alternating large-star and small-star rounds over the forest,
 each written to the shared folder, until nothing changes.
@@ -44,13 +45,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrashift.llm.storage import written
 
 SEED = 42
 BITS = 64
-MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)  # odd multipliers: each mixture is a bijection
 
 
 def text_fingerprint(text: str | None, width: int = 4) -> int:
@@ -78,17 +79,6 @@ def _majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(_bit_counts(hashes) * 2 > len(hashes)).view(">u8")[0].astype(np.uint64)
 
 
-def wide_fingerprint(text: str | None, width: int, words: int) -> np.ndarray:
-    """``words`` fingerprints of 64 bits: of the shingles' hashes, and of ``words`` - 1 mixtures of them."""
-    hashes = shingle_hashes(text, width)
-    out = np.zeros(words, np.uint64)
-    for j in range(words if len(hashes) else 0):
-        out[j] = _majority(hashes)
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * MIX[0]
-        hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX[1]
-    return out
-
-
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the values have each bit set, the highest bit first."""
     counts = np.zeros(BITS, np.int64)
@@ -183,19 +173,32 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> t
     return nodes[a], nodes[b]
 
 
-def spanning_places(
-    left: np.ndarray, right: np.ndarray | None, radius: int, joined: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
+def spanning_places(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for fingerprints of several words, (rows, words); the places count through left, then right.
 
-    ``joined`` names the components that hold already; links inside one are not repeated.
-
     Rows of the comparison are taken in slabs of bounded size; of each slab's
     links only those that join two trees are kept.
     """
-    n = len(left) + (0 if right is None else len(right))
-    parent = list(range(n))
-    if joined is not None and n:
+    others = left if right is None else right
+    slab = max(1, (1 << 20) // max(1, len(others)))
+
+    def near() -> Iterator[np.ndarray]:
+        for at in range(0, len(left), slab):
+            apart = np.zeros((len(left[at : at + slab]), len(others)), np.uint16)
+            for j in range(left.shape[1]):
+                apart += np.bitwise_count(left[at : at + slab, None, j] ^ others[None, :, j])
+            yield apart <= radius
+
+    return _spanning(near(), len(left), None if right is None else len(right))
+
+
+def _spanning(near: Iterator[np.ndarray], n: int, m: int | None, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links in slabs of a matrix: ``n`` rows by themselves, or by ``m`` others.
+
+    ``joined`` names the components that hold already; links inside one are not repeated.
+    """
+    parent = list(range(n + (m or 0)))
+    if joined is not None and parent:
         _, place, where = np.unique(joined, return_index=True, return_inverse=True)
         parent = place[where].tolist()
 
@@ -206,15 +209,12 @@ def spanning_places(
         return x
 
     kept_a, kept_b = [], []
-    others, shift = (left, 0) if right is None else (right, len(left))
-    slab = max(1, (1 << 20) // max(1, len(others)))
-    for at in range(0, len(left), slab):
-        apart = np.zeros((len(left[at : at + slab]), len(others)), np.uint16)
-        for j in range(left.shape[1]):
-            apart += np.bitwise_count(left[at : at + slab, None, j] ^ others[None, :, j])
-        rows, cols = np.nonzero(apart <= radius)
-        rows, cols = rows + at, cols + shift
-        if right is None:
+    at = 0
+    for slab in near:
+        rows, cols = np.nonzero(slab)
+        rows, cols = rows + at, cols + (0 if m is None else n)
+        at += len(slab)
+        if m is None:
             rows, cols = rows[rows < cols], cols[rows < cols]
         for a, b in _first_links(rows, cols, parent):
             ra, rb = root(a), root(b)
@@ -272,119 +272,237 @@ def _mark(edges: DataFrame) -> tuple:
     )
 
 
-BLOCKS = 48  # blocks of a wide fingerprint
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def _set_name(hashes: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
+
+
+BUCKETS = 128
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes each bucket has, up to 255: two sketches differ by no more than their sets do."""
+    return np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BUCKETS).astype(np.int16)
+
+
+def _sketches_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles with these sketches can be that similar, pair by pair."""
+    apart = np.abs(x - y).sum(axis=1, dtype=np.int64)  # at most the shingles that one of the two has
+    return apart * (100 + percent) <= (n.astype(np.int64) + m) * (100 - percent)
 
 
-def block_bits(n: int) -> int:
-    """Bits of a block for ``n`` fingerprints: less than one other text in a block by chance."""
-    return min(62, max(16, (max(1, n) - 1).bit_length()))
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def wide_fingerprints(docs: DataFrame, key: str, text: str, width: int, words: int) -> DataFrame:
-    """``key``, fp (a hash of the wide fingerprint, its name in links and components) and wide (ARRAY<BIGINT>)."""
+def frequent_shingles(docs: DataFrame, text: str, width: int, texts: int = 20_000, most: int = 100_000) -> np.ndarray:
+    """Shingles that 4 and more of about ``texts`` sampled texts hold, the rarest first; at most ``most``."""
+    every = max(1, docs.count() // texts)
+    rows = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t, width, words).view(np.int64) for t in _texts(batch.column(1))]
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            wide = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, words, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), wide], names=["key", "wide"])
+            for at in range(0, batch.num_rows, 500):
+                found = [shingle_set(t, width) for t in _texts(batch.column(0).slice(at, 500))]
+                yield pa.RecordBatch.from_arrays([_lists(found).flatten()], names=["k"])
+
+    counted = rows.mapInArrow(run, "k bigint").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    top = counted.orderBy(F.desc("n"), "k").limit(most).collect()
+    return np.array([r.k for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, last: np.ndarray) -> DataFrame:
+    """``key``, fp (a hash of the text's set of shingles, its name in links and components), n (their number), sketch and prefix.
+
+    Two sets whose similarity is ``percent`` hundredths and more have a common shingle in their prefixes.
+    """
+    order = np.argsort(last)
+    known, ranks = last[order], order + 1
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        if not len(hashes):
+            return hashes
+        rank = np.zeros(len(hashes), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            rank = np.where(known[at] == hashes, ranks[at], 0)
+        n = len(hashes)
+        return hashes[np.lexsort((hashes, rank))[: n + 1 + -n * percent // 100]]  # n + 1 - ceil(n * percent / 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                names, sizes, sketches, found = [], [], [], []
+                for t in _texts(part.column(1)):
+                    hashes = shingle_set(t, width)
+                    names.append(_set_name(hashes))
+                    sizes.append(len(hashes))
+                    sketches.append(sketch(hashes))
+                    found.append(prefix(hashes))
+                cols = [part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), _lists(found)]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "fp", "n", "sketch", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, wide array<bigint>")
-    return rows.select(F.col("key").alias(key), F.xxhash64("wide").alias("fp"), "wide")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, fp bigint, n int, sketch binary, prefix array<bigint>").withColumnRenamed("key", key)
 
 
-class _Blocks:
-    """The keys of wide fingerprints: for each block its bits, drawn once and alike everywhere."""
+class _Sets:
+    """The sets of shingles of some names, made again from the texts: only candidates' are ever written."""
 
-    def __init__(self, words: int, bits: int, blocks: int):
-        self.words, self.bits = words, bits
-        chosen = np.random.default_rng(SEED)
-        self.places = np.array([chosen.choice(words * BITS, bits, replace=False) for _ in range(blocks)])
+    def __init__(self, docs: DataFrame, prints: DataFrame, key: str, text: str, width: int):
+        self.docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        self.prints, self.width = prints.select(F.col(key).alias("key"), "fp"), width
 
-    def rows(self, reps: DataFrame, first: int, last: int) -> DataFrame:
-        """k, v, fp, w0 (the first 64 bits) and c for the blocks from ``first`` up to ``last``; ``reps`` has fp, wide and c."""
-        words, bits, places = self.words, self.bits, self.places[first:last]
-        blocks = len(places)
+    def of(self, names: DataFrame) -> DataFrame:
+        """fp and shingles (sorted) for each fp of ``names``, which are distinct."""
+        width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = 1 << np.arange(bits, dtype=np.int64)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
-                    n = part.num_rows
-                    flat = part.column(1).flatten().to_numpy().view(np.uint64).reshape(n, words)
-                    ones = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(n, -1), axis=1)
-                    value = np.stack([ones[:, p] @ weights for p in places], axis=1)
-                    again = pa.array(np.repeat(np.arange(n), blocks))
-                    cols = [
-                        pa.array(np.tile(np.arange(first, last, dtype=np.int32), n)),
-                        pa.array(value.ravel()),
-                        part.column(0).take(again),
-                        pa.array(np.repeat(flat[:, 0].view(np.int64), blocks)),
-                        part.column(2).take(again),
-                    ]
-                    yield pa.RecordBatch.from_arrays(cols, names=["k", "v", "fp", "w0", "c"])
-
-        return reps.select("fp", "wide", "c").mapInArrow(run, "k int, v bigint, fp bigint, w0 bigint, c bigint")
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, radius: int) -> DataFrame:
-    """The pairs a, b whose wide fingerprints differ in at most ``radius`` bits."""
-    both = pairs.join(reps.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(
-        reps.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b"
-    )
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    return both.where(apart <= radius).select("a", "b")
+                for at in range(0, batch.num_rows, 500):
+                    found = [shingle_set(t, width) for t in _texts(batch.column(0).slice(at, 500))]
+                    cols = [pa.array([_set_name(x) for x in found], pa.int64()), _lists(found)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["fp", "shingles"])
 
+        first = self.prints.join(names, "fp").groupBy("fp").agg(F.min("key").alias("key")).select(F.col("key").alias("wanted")).distinct()
+        texts = self.docs.join(first, F.col("key").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+        made = texts.mapInArrow(run, "fp bigint, shingles array<bigint>").join(names, "fp", "left_semi")
+        return written(made.dropDuplicates(["fp"]), "simhash-sets")
 
-def wide_links(reps: DataFrame, words: int, radius: int, n: int, hot: int, cell: int, stars: int = 6) -> DataFrame:
-    """a, b (a < b): verified links that connect what all links found in the blocks connect; ``reps`` has fp and wide.
 
-    First the members of a block's key are held against one of them only, in
-    ``stars`` blocks, which joins most of every large family by few rows. Then
-    all pairs of all blocks are, without those that are joined already: what
-    is left of a family costs little, and between families none is lost. The
-    rows of the join carry 64 bits; a pair that those don't rule out is
-    verified on all. Hot keys go by cells.
-    """
-    blocks = _Blocks(words, block_bits(n), BLOCKS)
-    first = radius / words
-    loose = int(first + 4 * np.sqrt(first * (1 - first / BITS))) + 1  # four standard deviations above what 64 bits differ in
+def _may_be_near(n, at, m, by, percent: int):
+    """Whether sets of ``n`` and ``m`` shingles that share the one at places ``at`` and ``by`` can be that similar."""
+    common = F.least(n - at, m - by)
+    return common * (100 + percent) >= (n + m) * percent
 
-    keyed = blocks.rows(reps.withColumn("c", F.col("fp")), 0, stars)
-    hubs = keyed.groupBy("k", "v").agg(F.min(F.struct("fp", "w0")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = keyed.join(hubs, ["k", "v"]).where(F.col("fp") != F.col("hub.fp"))
-    star = star.where(F.bit_count(F.col("w0").bitwiseXOR(F.col("hub.w0"))) <= loose)
-    star = star.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct()
-    edges = written(_verified(star, reps, radius), "simhash-stars")
 
-    joined = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("c"))
-    named = reps.join(joined, "fp", "left").select("fp", "wide", F.coalesce("c", "fp").alias("c"))
-    keyed = written(blocks.rows(named, 0, BLOCKS), "simhash-blocks")
-    sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = keyed.join(sizes, ["k", "v"])
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b without those whose sketches rule that similarity out."""
+    one = reps.select(F.col("fp").alias("a"), F.col("sketch").alias("x"), "n")
+    two = reps.select(F.col("fp").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(k) for k in range(2, 6))
+            near = _sketches_near(_sketches(x), _sketches(y), n.to_numpy(), m.to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a bigint, b bigint")
 
-    cold = sized.where(F.col("size") <= hot)
-    other = cold.select("k", "v", F.col("fp").alias("b"), F.col("w0").alias("other"), F.col("c").alias("d"))
-    near = cold.select("k", "v", F.col("fp").alias("a"), "w0", "c").join(other, ["k", "v"])
-    near = near.where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.bit_count(F.col("w0").bitwiseXOR(F.col("other"))) <= loose))
-    near = _verified(near.select("a", "b").distinct(), reps, radius)
 
-    spread = _in_cells(sized.where(F.col("size") > hot).join(reps.select("fp", "wide"), "fp"), cell)
+def _verified(pairs: DataFrame, reps: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """The pairs a, b whose sets of shingles are similar by ``percent`` hundredths and more."""
+    pairs = written(_possible(pairs, reps, percent), "simhash-pairs")
+    held = sets.of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(
+        held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b")
+
+
+def _near_sets(sets: list[np.ndarray], n: int, percent: int) -> Iterator[np.ndarray]:
+    """Slabs of the matrix that says which of the first ``n`` sets are near which others (or each other, if there are none)."""
+    size = np.array([len(x) for x in sets])
+    others = np.arange(n, len(sets)) if n < len(sets) else np.arange(n)
+    found, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # a shingle of one set only is in no intersection
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = count[where] > 1
+    row, col = row[keep], shared[where[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    step = 2048
+    for at in range(0, n, 512):
+        mine = np.arange(at, min(n, at + 512))
+        common = np.zeros((len(mine), len(others)), np.float32)
+        for first in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+            a, b = np.searchsorted(col, [first, first + step])
+            part = np.zeros((len(sets), step), np.float32)
+            part[row[a:b], col[a:b] - first] = 1
+            common += part[mine] @ part[others].T
+        yield common * (100 + percent) >= (size[mine, None] + size[None, others]) * percent
+
+
+def similar_links(reps: DataFrame, sets: _Sets, percent: int, hot: int, cell: int) -> DataFrame:
+    """a, b (a < b): links that connect what all pairs of that similarity connect; ``reps`` has fp, n, sketch and prefix.
+
+    First the holders of a shingle are held against one of them only, which
+    joins most of every family by few rows. Then all pairs of holders are,
+    without those that are joined already; a shingle whose holders all are is
+    left out. Shingles with more than ``hot`` holders go by cells, twice: by
+    sketches, which leaves the holders that may have a link, and by their sets.
+    """
+    rows = reps.select("fp", "n", F.posexplode("prefix").alias("at", "k"))
+    of = W.partitionBy("k")
+    found = rows.withColumns({"size": F.count(F.lit(1)).over(of), "hub": F.min(F.struct("fp", "n", "at")).over(of)})
+    held = written(found.where("size > 1"), "simhash-shared")
+    star = held.where((F.col("fp") != F.col("hub.fp")) & _may_be_near(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), percent))
+    edges = written(_verified(star.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct(), reps, sets, percent), "simhash-stars")
+
+    joined = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("c"))
+    named = held.select("k", "fp", "n", "at", "size").join(joined, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    named = named.withColumns({"low": F.min("c").over(of), "high": F.max("c").over(of)}).where("low <> high").drop("low", "high")
+    named = written(named, "simhash-apart")
+
+    cold = named.where(F.col("size") <= hot)
+    other = cold.select("k", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("c").alias("d"))
+    near = cold.select("k", F.col("fp").alias("a"), "n", "at", "c").join(other, "k")
+    near = near.where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")))
+    near = near.where(_may_be_near(F.col("n"), F.col("at"), F.col("m"), F.col("by"), percent))
+    near = _verified(near.select("a", "b").distinct(), reps, sets, percent)
+
+    many = named.where(F.col("size") > hot)
+    spread = _in_cells(many, cell).join(reps.select("fp", "sketch"), "fp").select("k", "fp", "n", "at", "c", "mine", "lo", "hi", "sketch")
+
+    def possible(group: pa.Table) -> pa.Table:
+        n, at, side, c = (group.column(x).to_numpy() for x in ("n", "at", "mine", "c"))
+        marks = _sketches(group.column("sketch"))
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        kept = np.zeros(len(n), bool)
+        for x in left:
+            y = right[c[right] != c[x]]
+            common = np.minimum(n[x] - at[x], n[y] - at[y])
+            y = y[common * (100 + percent) >= (n[x] + n[y]) * percent]
+            y = y[_sketches_near(marks[x], marks[y], n[x], n[y], percent)]
+            kept[y] = True
+            kept[x] |= len(y) > 0
+        return group.select(["k", "fp", "c", "mine", "lo", "hi"]).filter(pa.array(kept))
+
+    kind = "k bigint, fp bigint, c bigint, mine int, lo int, hi int"
+    spread = written(spread.groupBy("k", "lo", "hi").applyInArrow(possible, kind), "simhash-holders")
+    spread = spread.join(sets.of(spread.select("fp").distinct()), "fp")
 
     def forest(group: pa.Table) -> pa.Table:
         fp, side, c = (group.column(x).to_numpy() for x in ("fp", "mine", "c"))
-        wide = group.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), words)
+        lists = group.column("shingles").combine_chunks()
+        shingles, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi) if hi != lo else np.zeros(0, np.int64)
         at = np.concatenate([left, right])
-        a, b = spanning_places(wide[left], wide[right] if hi != lo else None, radius, c[at])
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(left) and (hi == lo or len(right)):
+            near = _near_sets([shingles[ends[i] : ends[i + 1]] for i in at], len(left), percent)
+            a, b = _spanning(near, len(left), len(right) if hi != lo else None, c[at])
         return pa.table({"a": pa.array(fp[at][a], pa.int64()), "b": pa.array(fp[at][b], pa.int64())})
 
-    spread = spread.select("k", "v", "fp", "wide", "c", "mine", "lo", "hi")
-    dense = spread.groupBy("k", "v", "lo", "hi").applyInArrow(forest, "a bigint, b bigint")
+    spread = spread.select("k", "fp", "shingles", "c", "mine", "lo", "hi")
+    dense = spread.groupBy("k", "lo", "hi").applyInArrow(forest, "a bigint, b bigint")
     return edges.unionByName(near).unionByName(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -413,22 +531,17 @@ def near_duplicates(
 
 
 def similar_documents(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    width: int = 5,
-    words: int = 10,
-    share: float = 0.16,
-    hot: int = 64,
-    cell: int = 2048,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, hot: int = 64, cell: int = 2048
 ) -> DataFrame:
-    """``key``, fp and component_id by wide fingerprints: links where at most ``share`` of the bits differ.
+    """``key``, fp and component_id: links where the sets of shingles have a Jaccard similarity of ``percent`` hundredths and more.
 
-    0.16 is what texts differ in that have 0.78 of their shingles in common.
+    fp names the set of shingles; no such link is missed and no other is made.
     """
-    prints = written(wide_fingerprints(docs, key, text, width, words), "simhash-wide")
-    reps = written(prints.groupBy("fp").agg(F.min(key).alias("first"), F.first("wide").alias("wide")), "simhash-reps")
-    edges = wide_links(reps, words, int(share * words * BITS), reps.count(), hot, cell)
+    prints = written(prefixes(docs, key, text, width, percent, frequent_shingles(docs, text, width)), "simhash-prefixes")
+    same = [F.first(x).alias(x) for x in ("n", "sketch", "prefix")]
+    reps = prints.groupBy("fp").agg(F.min(key).alias("first"), *same)
+    reps = written(reps, "simhash-reps")
+    edges = similar_links(reps, _Sets(docs, prints, key, text, width), percent, hot, cell)
     return _grouped(prints.select(key, "fp"), reps, edges, key).select(key, "fp", "component_id")
 
 

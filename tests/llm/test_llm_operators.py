@@ -297,6 +297,37 @@ def test_wide_fingerprints_link_similar_documents(spark, hot):
     assert len(simhash.similar_documents(docs(spark)).collect()) == len(ODD)
 
 
+def brute_similarity(a, b, width=5):
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def pairs_of_similarity(rng, n, low, high):
+    """Texts 2k and 2k + 1 whose five-word shingles have a similarity from ``low`` up to ``high``."""
+    texts = []
+    while len(texts) < 2 * n:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 400]))]
+        other = list(words)
+        for _ in range(rng.randint(1, 14)):
+            other[rng.randrange(len(other))] = f"w{rng.randrange(10**6)}"
+        a, b = " ".join(words), " ".join(other)
+        if low <= brute_similarity(a, b) < high:
+            texts += [a, b]
+    return texts
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_similar_documents_miss_no_pair_at_the_threshold(spark, hot):
+    texts = pairs_of_similarity(random.Random(21), 150, 0.8, 0.83)
+    rows = [(k, t, "", "", 0) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, rows), hot=hot, cell=3).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
 # --- 6 line dedup
 
 
