@@ -328,6 +328,12 @@ def test_similar_documents_miss_no_pair_at_the_threshold(spark, hot):
     assert got == {k: k - k % 2 for k in range(len(texts))}
 
 
+def test_similar_documents_link_no_pair_below_the_threshold(spark):
+    texts = pairs_of_similarity(random.Random(22), 150, 0.74, 0.8)
+    rows = [(k, t, "", "", 0) for k, t in enumerate(texts)]
+    assert all(r.doc_id == r.component_id for r in simhash.similar_documents(docs(spark, rows)).collect())
+
+
 # --- 6 line dedup
 
 
