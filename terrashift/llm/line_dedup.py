@@ -136,22 +136,34 @@ def dropped_positions(
 
 
 def strip_lines(
-    docs: DataFrame, runs: LineRuns, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5
+    docs: DataFrame,
+    runs: LineRuns,
+    key: str = "doc_id",
+    text: str = "text",
+    min_chars: int = 40,
+    min_docs: int = 5,
+    lines: str | None = "n_lines",
+    dropped: str | None = "n_dropped",
 ) -> DataFrame:
-    """The documents with ``text`` as it stays, and the columns _n_lines and _n_dropped.
+    """The documents with ``text`` as it stays, and the columns ``lines`` and ``dropped`` (None: without it).
 
-    A document that keeps all its lines keeps its very text (null too).
+    A document that keeps all its lines keeps its very text (null too). The
+    other columns are packed away meanwhile, so no name of theirs matters.
     """
-    drop = dropped_positions(docs, runs, key, text, min_chars, min_docs).toDF("_ts_id", "_ts_t", "_ts_drop")
-    rows = docs.withColumns({"_ts_id": _ordered_id(key), "_ts_t": F.xxhash64(text)})
-    joined = rows.join(drop, ["_ts_id", "_ts_t"], "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_ts_lines") - 1), F.col("_ts_drop"))
-    left = F.array_join(F.transform(kept, lambda i: F.get(F.col("_ts_lines"), i)), "\n")
-    out = joined.withColumn("_ts_lines", text_lines(F.col(text)))
-    return out.select(
-        *(F.when(F.col("_ts_drop").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.size("_ts_lines").cast("bigint").alias("_n_lines"),
-        F.coalesce(F.size("_ts_drop"), F.lit(0)).cast("bigint").alias("_n_dropped"),
+    for name in (lines, dropped):
+        if name in docs.columns:
+            raise ValueError(f"the documents have a column {name} already; name the counts otherwise")
+    drop = dropped_positions(docs, runs, key, text, min_chars, min_docs)
+    rows = docs.select(
+        _ordered_id(key).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"), F.struct(*(c for c in docs.columns if c != text)).alias("rest")
+    )
+    split = rows.join(drop, ["id", "t"], "left").withColumn("lines", text_lines(F.col("text")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    left = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
+    counts = {lines: F.size("lines").cast("bigint"), dropped: F.coalesce(F.size("drop"), F.lit(0)).cast("bigint")}
+    return split.select(
+        *(F.when(F.col("drop").isNull(), F.col("text")).otherwise(left).alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns),
+        *(value.alias(name) for name, value in counts.items() if name is not None),
     )
 
 
@@ -163,7 +175,9 @@ def deduplicate(
     min_docs: int = 5,
     batches: int = 4,
     fanout: int = 4,
+    lines: str | None = "n_lines",
+    dropped: str | None = "n_dropped",
 ) -> DataFrame:
     """Fold all documents into runs, then take from each text the lines that a later document keeps."""
     runs = add_in_batches(LineRuns(docs.sparkSession, fanout), docs, batches, key, text, min_chars)
-    return strip_lines(docs, runs, key, text, min_chars, min_docs)
+    return strip_lines(docs, runs, key, text, min_chars, min_docs, lines, dropped)

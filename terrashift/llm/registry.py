@@ -69,8 +69,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
     return kept.select(
         "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
+        "n_lines",
+        "n_dropped",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 

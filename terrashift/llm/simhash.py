@@ -22,12 +22,13 @@ components is lost and a family of B fingerprints yields about B * B / cell
 rows, not B * B.
 
 Similar documents. ``similar_documents`` compares sets of shingles and not
-fingerprints: of two sets with a Jaccard similarity of 0.8 each has one of the
-other's among its first n - ceil(0.8 n) + 1 shingles, in any order that holds
-for all texts (prefix filter). So every pair meets on a shingle at any number
-of texts, and each candidate is decided by its exact similarity. Shingles that
-a sample of the texts often has come last in the order: the sample decides how
-many candidates there are, and never which links are found.
+fingerprints. It cuts the range of the shingles' hashes into blocks, about two
+shingles of a set to a block. Two sets with a Jaccard similarity of 0.8 differ
+in so few shingles that they must share whole blocks, and one of those is
+among the first few of each (``block_keys``). So every pair meets on a key at
+any number of texts, and each candidate is decided by its exact similarity.
+Blocks that a sample of the texts often has come last in the order: the sample
+decides how many candidates there are, and never which links are found.
 
 Components. Alternating large-star and small-star rounds over the forest,
 each written to the shared folder, until nothing changes.
@@ -45,13 +46,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrashift.llm.storage import written
 
 SEED = 42
 BITS = 64
+HOT_SHARE = 10_000
 
 
 def text_fingerprint(text: str | None, width: int = 4) -> int:
@@ -283,6 +284,64 @@ def _set_name(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
 
 
+MIXER = np.uint64(0x9E3779B97F4A7C15)
+SMALL = 4  # sets of fewer than 2^SMALL shingles have blocks of one shingle
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIXER
+    return x ^ (x >> np.uint64(29))
+
+
+def _may_differ(n: int, percent: int) -> int:
+    """At most so many shingles are in one only of a set of ``n`` and any other that is similar enough."""
+    return n * (100 - percent) // percent
+
+
+def block_contents(hashes: np.ndarray, level: int) -> np.ndarray:
+    """A hash of each block that isn't empty: the range of shingles is cut into 2^(level + 1) / 3 equal blocks."""
+    blocks = (2 << level) // 3
+    at = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    start = np.flatnonzero(np.diff(at, prepend=at[0] + np.uint64(1)) != 0)
+    return _mixed(np.add.reduceat(_mixed(hashes), start) ^ (at[start] << np.uint64(6)) ^ np.uint64(level))
+
+
+def all_blocks(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The block contents of a set (sorted, not empty), for each size of blocks by which it may meet a similar one.
+
+    Two sets meet by the size of the larger, so a set takes part by its own
+    size and by that of the largest set that is similar to it.
+    """
+    n = len(hashes)
+    levels = {n.bit_length() - 1, (n * 100 // percent).bit_length() - 1}
+    out = [block_contents(hashes, level) for level in sorted(levels) if level >= SMALL]
+    if min(levels) < SMALL or any(len(x) <= _may_differ(n, percent) for x in out):
+        out.append(_mixed(hashes))  # too few blocks for the pigeonhole: each shingle is a block
+    return out
+
+
+def block_keys(hashes: np.ndarray, percent: int, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Keys of which two sets with a similarity of ``percent`` hundredths and more have one in common.
+
+    If d shingles are in one of two sets only, at most d blocks of each aren't
+    blocks of the other. So in any order of blocks that holds for all sets,
+    the first that they share is among the first d + 1 of each. The order is
+    by hash, frequent blocks (``known``, sorted) last by their ``ranks``.
+    """
+    if not len(hashes):
+        return hashes
+    need = _may_differ(len(hashes), percent) + 1
+    out = []
+    for blocks in all_blocks(hashes, percent):
+        if len(known):
+            at = np.minimum(np.searchsorted(known, blocks), len(known) - 1)
+            blocks = blocks[np.lexsort((blocks, np.where(known[at] == blocks, ranks[at], 0)))]
+        elif len(blocks) > need:
+            blocks = np.partition(blocks, need - 1)
+        out.append(blocks[:need])
+    return np.concatenate(out)
+
+
 BUCKETS = 128
 
 
@@ -295,7 +354,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BUCKETS).astype(np.int16)
 
 
-def _sketches_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+def _may_be_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of ``n`` and ``m`` shingles with these sketches can be that similar, pair by pair."""
     apart = np.abs(x - y).sum(axis=1, dtype=np.int64)  # at most the shingles that one of the two has
     return apart * (100 + percent) <= (n.astype(np.int64) + m) * (100 - percent)
@@ -307,15 +366,16 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def frequent_shingles(docs: DataFrame, text: str, width: int, texts: int = 20_000, most: int = 100_000) -> np.ndarray:
-    """Shingles that 4 and more of about ``texts`` sampled texts hold, the rarest first; at most ``most``."""
+def frequent_blocks(docs: DataFrame, text: str, width: int, percent: int, texts: int = 5_000, most: int = 50_000) -> np.ndarray:
+    """Blocks that 4 and more of about ``texts`` sampled texts hold, the rarest first; at most ``most``."""
     every = max(1, docs.count() // texts)
-    rows = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    rows = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                found = [shingle_set(t, width) for t in _texts(batch.column(0).slice(at, 500))]
+                sets = (shingle_set(t, width) for t in _texts(batch.column(0).slice(at, 500)))
+                found = [x for hashes in sets if len(hashes) for x in all_blocks(hashes, percent)]
                 yield pa.RecordBatch.from_arrays([_lists(found).flatten()], names=["k"])
 
     counted = rows.mapInArrow(run, "k bigint").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
@@ -323,49 +383,44 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, texts: int = 20_00
     return np.array([r.k for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, last: np.ndarray) -> DataFrame:
-    """``key``, fp (a hash of the text's set of shingles, its name in links and components), n (their number), sketch and prefix.
+def keyed_sets(docs: DataFrame, key: str, text: str, width: int, percent: int, last: np.ndarray) -> DataFrame:
+    """``key``, fp (a hash of the text's set of shingles, its name in links and components), n (their number), sketch and keys.
 
-    Two sets whose similarity is ``percent`` hundredths and more have a common shingle in their prefixes.
+    A set that a task has met before in its rows gets no keys again, so copies
+    yield a row for each task and not for each copy.
     """
     order = np.argsort(last)
     known, ranks = last[order], order + 1
 
-    def prefix(hashes: np.ndarray) -> np.ndarray:
-        if not len(hashes):
-            return hashes
-        rank = np.zeros(len(hashes), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            rank = np.where(known[at] == hashes, ranks[at], 0)
-        n = len(hashes)
-        return hashes[np.lexsort((hashes, rank))[: n + 1 + -n * percent // 100]]  # n + 1 - ceil(n * percent / 100)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        none = np.zeros(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 names, sizes, sketches, found = [], [], [], []
                 for t in _texts(part.column(1)):
                     hashes = shingle_set(t, width)
-                    names.append(_set_name(hashes))
+                    name = _set_name(hashes)
+                    names.append(name)
                     sizes.append(len(hashes))
                     sketches.append(sketch(hashes))
-                    found.append(prefix(hashes))
+                    found.append(none if name in met else block_keys(hashes, percent, known, ranks))
+                    met.add(name)
                 cols = [part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), _lists(found)]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "fp", "n", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "fp", "n", "sketch", "keys"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, fp bigint, n int, sketch binary, prefix array<bigint>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, fp bigint, n int, sketch binary, keys array<bigint>").withColumnRenamed("key", key)
 
 
 class _Sets:
     """The sets of shingles of some names, made again from the texts: only candidates' are ever written."""
 
-    def __init__(self, docs: DataFrame, prints: DataFrame, key: str, text: str, width: int):
+    def __init__(self, docs: DataFrame, reps: DataFrame, key: str, text: str, width: int):
         self.docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        self.prints, self.width = prints.select(F.col(key).alias("key"), "fp"), width
+        self.reps, self.width = reps, width
 
     def of(self, names: DataFrame) -> DataFrame:
         """fp and shingles (sorted) for each fp of ``names``, which are distinct."""
@@ -378,38 +433,31 @@ class _Sets:
                     cols = [pa.array([_set_name(x) for x in found], pa.int64()), _lists(found)]
                     yield pa.RecordBatch.from_arrays(cols, names=["fp", "shingles"])
 
-        first = self.prints.join(names, "fp").groupBy("fp").agg(F.min("key").alias("key")).select(F.col("key").alias("wanted")).distinct()
-        texts = self.docs.join(first, F.col("key").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+        wanted = self.reps.join(names, "fp").select(F.col("first").alias("wanted")).distinct()
+        texts = self.docs.join(wanted, F.col("key").eqNullSafe(F.col("wanted")), "left_semi").select("text")
         made = texts.mapInArrow(run, "fp bigint, shingles array<bigint>").join(names, "fp", "left_semi")
         return written(made.dropDuplicates(["fp"]), "simhash-sets")
 
 
-def _may_be_near(n, at, m, by, percent: int):
-    """Whether sets of ``n`` and ``m`` shingles that share the one at places ``at`` and ``by`` can be that similar."""
-    common = F.least(n - at, m - by)
-    return common * (100 + percent) >= (n + m) * percent
-
-
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b without those whose sketches rule that similarity out."""
+    """The pairs a, b without those whose sizes or sketches rule that similarity out."""
     one = reps.select(F.col("fp").alias("a"), F.col("sketch").alias("x"), "n")
     two = reps.select(F.col("fp").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, n, m = (batch.column(k) for k in range(2, 6))
-            near = _sketches_near(_sketches(x), _sketches(y), n.to_numpy(), m.to_numpy(), percent)
+            near = _may_be_near(_sketches(x), _sketches(y), n.to_numpy(), m.to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a bigint, b bigint")
+    sized = pairs.join(one, "a").join(two, "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    return sized.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose sets of shingles are similar by ``percent`` hundredths and more."""
-    pairs = written(_possible(pairs, reps, percent), "simhash-pairs")
-    held = sets.of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
-    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(
-        held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b"
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b")
@@ -419,7 +467,7 @@ def _near_sets(sets: list[np.ndarray], n: int, percent: int) -> Iterator[np.ndar
     """Slabs of the matrix that says which of the first ``n`` sets are near which others (or each other, if there are none)."""
     size = np.array([len(x) for x in sets])
     others = np.arange(n, len(sets)) if n < len(sets) else np.arange(n)
-    found, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(count > 1) - 1  # a shingle of one set only is in no intersection
     row = np.repeat(np.arange(len(sets)), size)
     keep = count[where] > 1
@@ -438,53 +486,50 @@ def _near_sets(sets: list[np.ndarray], n: int, percent: int) -> Iterator[np.ndar
         yield common * (100 + percent) >= (size[mine, None] + size[None, others]) * percent
 
 
-def similar_links(reps: DataFrame, sets: _Sets, percent: int, hot: int, cell: int) -> DataFrame:
-    """a, b (a < b): links that connect what all pairs of that similarity connect; ``reps`` has fp, n, sketch and prefix.
+def similar_links(reps: DataFrame, entries: DataFrame, sets: _Sets, percent: int, hot: int, cell: int) -> DataFrame:
+    """a, b (a < b): links that connect what all pairs of that similarity connect.
 
-    First the holders of a shingle are held against one of them only, which
-    joins most of every family by few rows. Then all pairs of holders are,
-    without those that are joined already; a shingle whose holders all are is
-    left out. Shingles with more than ``hot`` holders go by cells, twice: by
-    sketches, which leaves the holders that may have a link, and by their sets.
+    ``reps`` has fp, n and sketch of each set, ``entries`` its keys (k, fp).
+    Holders of a key meet in pairs where they are at most ``hot``. The holders
+    of a hot key are held against one of them first, which joins a tight
+    family by few rows; those that aren't in one component by then go by
+    cells, twice: by sketches, which leaves the holders that may have a link,
+    and by their sets.
     """
-    rows = reps.select("fp", "n", F.posexplode("prefix").alias("at", "k"))
-    of = W.partitionBy("k")
-    found = rows.withColumns({"size": F.count(F.lit(1)).over(of), "hub": F.min(F.struct("fp", "n", "at")).over(of)})
-    held = written(found.where("size > 1"), "simhash-shared")
-    star = held.where((F.col("fp") != F.col("hub.fp")) & _may_be_near(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), percent))
-    edges = written(_verified(star.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct(), reps, sets, percent), "simhash-stars")
+    shared = entries.groupBy("k").agg(F.min("fp").alias("hub"), F.max("fp").alias("high")).where("hub <> high").select("k", "hub")
+    held = written(entries.join(shared, "k").distinct(), "simhash-shared")
+    sizes = held.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    held = written(held.join(sizes, "k"), "simhash-sized")
+
+    hot = max(hot, 2)  # two holders are one pair
+    cold = held.where(F.col("size") <= hot).select("k", F.col("fp").alias("a"))
+    near = cold.join(cold.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
+    many = held.where(F.col("size") > hot)
+    star = many.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    pairs = written(_possible(near.unionByName(star).distinct(), reps, percent), "simhash-pairs")
+    found = sets.of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+    edges = written(_verified(pairs, found, percent), "simhash-links")
 
     joined = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("c"))
-    named = held.select("k", "fp", "n", "at", "size").join(joined, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    named = named.withColumns({"low": F.min("c").over(of), "high": F.max("c").over(of)}).where("low <> high").drop("low", "high")
-    named = written(named, "simhash-apart")
-
-    cold = named.where(F.col("size") <= hot)
-    other = cold.select("k", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("c").alias("d"))
-    near = cold.select("k", F.col("fp").alias("a"), "n", "at", "c").join(other, "k")
-    near = near.where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")))
-    near = near.where(_may_be_near(F.col("n"), F.col("at"), F.col("m"), F.col("by"), percent))
-    near = _verified(near.select("a", "b").distinct(), reps, sets, percent)
-
-    many = named.where(F.col("size") > hot)
-    spread = _in_cells(many, cell).join(reps.select("fp", "sketch"), "fp").select("k", "fp", "n", "at", "c", "mine", "lo", "hi", "sketch")
+    named = many.select("k", "fp", "size").join(joined, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    apart = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
+    spread = _in_cells(named.join(apart, "k"), cell).join(reps.select("fp", "n", "sketch"), "fp")
 
     def possible(group: pa.Table) -> pa.Table:
-        n, at, side, c = (group.column(x).to_numpy() for x in ("n", "at", "mine", "c"))
+        n, side, c = (group.column(x).to_numpy() for x in ("n", "mine", "c"))
         marks = _sketches(group.column("sketch"))
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
         kept = np.zeros(len(n), bool)
         for x in left:
-            y = right[c[right] != c[x]]
-            common = np.minimum(n[x] - at[x], n[y] - at[y])
-            y = y[common * (100 + percent) >= (n[x] + n[y]) * percent]
-            y = y[_sketches_near(marks[x], marks[y], n[x], n[y], percent)]
+            y = right[(c[right] != c[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
+            y = y[_may_be_near(marks[x], marks[y], n[x], n[y], percent)]
             kept[y] = True
             kept[x] |= len(y) > 0
         return group.select(["k", "fp", "c", "mine", "lo", "hi"]).filter(pa.array(kept))
 
     kind = "k bigint, fp bigint, c bigint, mine int, lo int, hi int"
+    spread = spread.select("k", "fp", "n", "c", "mine", "lo", "hi", "sketch")
     spread = written(spread.groupBy("k", "lo", "hi").applyInArrow(possible, kind), "simhash-holders")
     spread = spread.join(sets.of(spread.select("fp").distinct()), "fp")
 
@@ -503,21 +548,26 @@ def similar_links(reps: DataFrame, sets: _Sets, percent: int, hot: int, cell: in
 
     spread = spread.select("k", "fp", "shingles", "c", "mine", "lo", "hi")
     dense = spread.groupBy("k", "lo", "hi").applyInArrow(forest, "a bigint, b bigint")
-    return edges.unionByName(near).unionByName(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return edges.unionByName(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _grouped(prints: DataFrame, reps: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """``prints`` with component_id: the smallest key among all rows of a component.
+    """``prints`` with component_id: the smallest key among all rows of a component; ``reps`` has fp, first and copies.
 
-    Only rows whose fingerprint is shared or linked need the join; the names
-    are a row for each fingerprint.
+    A text with more than a ``HOT_SHARE``th of all rows is no key of the
+    shuffle: there are fewer than ``HOT_SHARE`` of those, so they are broadcast.
     """
     linked = components(edges)
     labelled = linked.join(reps.select(F.col("fp").alias("node"), "first"), "node")
     least = labelled.groupBy("root").agg(F.min("first").alias("least"))
     label = labelled.join(least, "root").select(F.col("node").alias("fp"), "least")
-    names = reps.select("fp", "first").join(label, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(names, "fp", "left")
+    names = reps.join(label, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "copies")
+    names = written(names, "simhash-names")
+    most = prints.count() / HOT_SHARE
+    hot = names.where(F.col("copies") > max(1, most)).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
+    marked = prints.join(F.broadcast(hot), "fp", "left")
+    rest = marked.where("is_hot is null").drop("hot_id", "is_hot").join(names.select("fp", "component_id"), "fp", "left")
+    return marked.where("is_hot").select(key, "fp", F.col("hot_id").alias("component_id")).unionByName(rest.select(key, "fp", "component_id"))
 
 
 def near_duplicates(
@@ -525,7 +575,7 @@ def near_duplicates(
 ) -> DataFrame:
     """``key``, fp and component_id of every row of ``docs``: links within ``radius`` of 64 bits, none missed."""
     prints = written(fingerprints(docs, key, text, width), "simhash")
-    reps = written(prints.groupBy("fp").agg(F.min(key).alias("first")), "simhash-reps")
+    reps = written(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies")), "simhash-reps")
     edges = links(reps.select("fp"), radius, hot, cell, n=reps.count())
     return _grouped(prints, reps, edges, key).select(key, "fp", "component_id")
 
@@ -537,11 +587,13 @@ def similar_documents(
 
     fp names the set of shingles; no such link is missed and no other is made.
     """
-    prints = written(prefixes(docs, key, text, width, percent, frequent_shingles(docs, text, width)), "simhash-prefixes")
-    same = [F.first(x).alias(x) for x in ("n", "sketch", "prefix")]
-    reps = prints.groupBy("fp").agg(F.min(key).alias("first"), *same)
-    reps = written(reps, "simhash-reps")
-    edges = similar_links(reps, _Sets(docs, prints, key, text, width), percent, hot, cell)
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
+    prints = written(keyed_sets(docs, key, text, width, percent, frequent_blocks(docs, text, width, percent)), "simhash-keys")
+    same = [F.first(x).alias(x) for x in ("n", "sketch")]
+    reps = written(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"), *same), "simhash-reps")
+    entries = prints.select(F.explode("keys").alias("k"), "fp")
+    edges = similar_links(reps.select("fp", "n", "sketch"), entries, _Sets(docs, reps.select("fp", "first"), key, text, width), percent, hot, cell)
     return _grouped(prints.select(key, "fp"), reps, edges, key).select(key, "fp", "component_id")
 
 

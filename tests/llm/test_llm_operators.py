@@ -32,7 +32,7 @@ def docs(spark, rows=ODD):
 
 def clashing(df):
     """Extra columns with the names that the operators use inside."""
-    for c in ("id", "key", "pos", "h1", "k", "fp", "host", "score", "pack", "part", "print", "page", "t"):
+    for c in ("id", "key", "pos", "h1", "k", "fp", "host", "score", "pack", "part", "print", "page", "t", "lines", "drop", "rest", "_ts_id", "size", "first", "copies", "component_id", "n", "ids", "found"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit("x"))
     return df
@@ -363,7 +363,7 @@ def test_line_dedup_equals_brute_force(spark, batches, fanout):
     df = clashing(docs(spark, [(k, t, "", "", 0) for k, t in rows]))
     got = line_dedup.deduplicate(df, batches=batches, fanout=fanout)
     assert set(df.columns) < set(got.columns)
-    assert sorted((r.doc_id, r._n_lines, r._n_dropped, r.text) for r in got.collect()) == brute_lines(rows, 40, 5)
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == brute_lines(rows, 40, 5)
 
 
 def test_runs_compact_and_new_batches_meet_them(spark):
@@ -379,7 +379,7 @@ def test_runs_compact_and_new_batches_meet_them(spark):
 
 def test_line_dedup_odd_cases(spark):
     got = {(r.doc_id, r.text): r for r in line_dedup.deduplicate(docs(spark)).collect()}
-    assert got[(1, None)]._n_lines == 1 and got[(2, "")]._n_lines == 1
+    assert got[(1, None)].n_lines == 1 and got[(2, "")].n_lines == 1
     assert line_dedup.deduplicate(docs(spark, [])).count() == 0
 
 
