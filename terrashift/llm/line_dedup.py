@@ -148,11 +148,10 @@ def strip_lines(
     """The documents with ``text`` as it stays, and the columns ``lines`` and ``dropped`` (None: without it).
 
     A document that keeps all its lines keeps its very text (null too). The
-    other columns are packed away meanwhile, so no name of theirs matters.
+    other columns are packed away meanwhile, so no name of theirs matters, but
+    for columns that have the names of the counts: those replace them.
     """
-    for name in (lines, dropped):
-        if name in docs.columns:
-            raise ValueError(f"the documents have a column {name} already; name the counts otherwise")
+    docs = docs.drop(*(c for c in (lines, dropped) if c is not None))
     drop = dropped_positions(docs, runs, key, text, min_chars, min_docs)
     rows = docs.select(
         _ordered_id(key).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"), F.struct(*(c for c in docs.columns if c != text)).alias("rest")

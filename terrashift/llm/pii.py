@@ -21,13 +21,16 @@ the cycle until one is valid, which is a permutation of the valid values.
 Each text is one row's work: nothing is shuffled. Defined results: null stays
 null, text without such values stays the very same; digits that are not valid
 (a 16-digit number that fails Luhn, 31 February) are left alone. Other columns
-pass through.
+pass through, but for one that has the name of the counts: they replace it.
+Values over ``CHUNK`` characters are permuted part by part, each under a label
+that the parts before it make, in time proportional to their length.
 """
 
 from __future__ import annotations
 
 import datetime
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -36,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROUNDS = 8
+CHUNK = 64  # characters that one permutation takes; longer values are chains of them
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 ACCENTED = "".join(chr(c) for c in range(0xE0, 0xFF) if c != 0xF7)  # the letters of Latin-1 that have a capital there
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -49,7 +53,7 @@ class Permutation:
         self.key = blake2b(key, digest_size=32).digest()
 
     def _round(self, label: str, n: int, k: int, x: int, m: int) -> int:
-        data = f"{label}|{n}|{k}|{x}".encode()
+        data = b"%s|%d|%x|%x" % (label.encode(), k, n, x)
         size = min(64, (m.bit_length() + 7) // 8 + 8)
         out, part = b"", 0
         while len(out) < size or len(out) * 8 < m.bit_length() + 64:
@@ -110,9 +114,19 @@ def calendar_day(y: str, m: str, d: str) -> int | None:
     return day if 0 <= day < DAYS else None
 
 
+def _kin(c: str) -> tuple[int, str]:
+    """Block of 128 code points and category: letters of one script and case, or digits."""
+    return ord(c) >> 7, unicodedata.category(c)
+
+
+@lru_cache(None)
+def _kindred(block: int, category: str) -> str:
+    return "".join(c for c in map(chr, range(block << 7, block + 1 << 7)) if unicodedata.category(c) == category)
+
+
 # One alternation; each kind is validated by its function, which may leave the value alone.
 PATTERN = re.compile(
-    r"(?P<email>[^\W_][\w.+%\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})"
+    r"(?<![\w.+%\-])(?P<email>[\w.+%\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?i:\b(?:api[_ \-]?key|access[_ \-]?key|token|secret|passwd|password)\b)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9_\-./+]{8,})"
     r"|(?<![0-9A-Za-z])(?P<hex>[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
@@ -163,19 +177,22 @@ class Pseudonyms:
 
     def _chars(self, label: str, value: str, alphabet: str, fold: bool = False) -> str:
         low = [c.lower() if fold and len(c.lower()) == 1 else c for c in value]
-        at = [k for k, c in enumerate(low) if c in alphabet]
-        if not at:
-            return value
-        x = 0
-        for k in at:
-            x = x * len(alphabet) + alphabet.index(low[k])
-        n = len(alphabet) ** len(at)
-        x = self.permutation.map(x, f"{label}|{len(at)}", n)
+        index = {c: k for k, c in enumerate(alphabet)}
+        at = [k for k, c in enumerate(low) if c in index]
         out = list(value)
-        for k in reversed(at):
-            x, r = divmod(x, len(alphabet))
-            c = alphabet[r]
-            out[k] = c.upper() if value[k] != low[k] and len(c.upper()) == 1 else c
+        seen = blake2b(digest_size=16)
+        for first in range(0, len(at), CHUNK):  # what stands before is part of the label: still a permutation of the whole
+            part = at[first : first + CHUNK]
+            x = 0
+            for k in part:
+                x = x * len(alphabet) + index[low[k]]
+            mark = f"|{first}|{seen.hexdigest()}" if first else ""
+            x = self.permutation.map(x, f"{label}|{len(part)}{mark}", len(alphabet) ** len(part))
+            seen.update("".join(low[k] for k in part).encode())
+            for k in reversed(part):
+                x, r = divmod(x, len(alphabet))
+                c = alphabet[r]
+                out[k] = c.upper() if value[k] != low[k] and len(c.upper()) == 1 else c
         return "".join(out)
 
     def _alnum(self, label: str, value: str, letters: str) -> str:
@@ -187,10 +204,13 @@ class Pseudonyms:
             out = step(out)
         return out
 
-    def _email(self, value: str) -> str:
+    def _email(self, value: str) -> str | None:
         name, _, domain = value.rpartition("@")
+        for kin in sorted({_kin(c) for c in name if c.isalnum() and c > "\u00ff"}):
+            name = self._chars(f"email-{kin}", name, _kindred(*kin))
         name = self._chars("email-a", name, ACCENTED, fold=True)
-        return f"{self._alnum('email', name, LOWER)}@{domain}"
+        new = f"{self._alnum('email', name, LOWER)}@{domain}"
+        return new if new != value else None  # no letter or digit in the name
 
     def _secret(self, value: str) -> str:
         return self._alnum("secret", value, LOWER)
@@ -267,6 +287,7 @@ KINDS = ("email", "secret", "hex", "iban", "ip", "ymd", "dmy", "ssn", "card", "p
 
 def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", found: str = "private") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and the column ``found``: MAP of kind to count."""
+    docs = docs.drop(found)
     at = docs.columns.index(text)
     names = [*docs.columns, found]
 

@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is
-    made and registered as the checkpoint folder of the context.
+    Only where that setting is absent and the master is local (tests, a
+    laptop) a temporary folder is made and registered as the checkpoint folder
+    of the context. On a cluster its absence is an error: executors would not
+    see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrashift-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")

@@ -142,12 +142,40 @@ def test_pseudonyms_keep_format_and_validity():
     assert len(seen) == 599
 
 
+def test_long_values_and_other_scripts_take_no_time():
+    import time
+
+    q = pii.Pseudonyms(b"key")
+    texts = [
+        "x" * 1_000_000 + " @",
+        "dead8eef" * 1250,
+        "password=" + "abcdefghij" * 1000,
+        "token=" + "Ab3/" * 250_000,
+        "a@" + "b." * 200_000,
+        "\u0438\u0432\u0430\u043d@mail.ru and \u03b1\u03b2\u03b3.\u6771\u4eac@x.org",
+    ]
+    for text in texts:
+        began = time.perf_counter()
+        new, counts = q.replace(text)
+        assert time.perf_counter() - began < 5
+        assert len(new) == len(text) and (new != text) == bool(counts) and q.replace(text)[0] == new
+    assert q.replace(texts[1])[1] == q.replace(texts[2])[1] == q.replace(texts[3])[1] == {"secret": 1}
+    new, counts = q.replace(texts[5])
+    assert counts == {"email": 2} and not set(new.split("@")[0]) & set(texts[5][:4]) - set(new[:4]) and new[4:12] == "@mail.ru"
+    assert all("\u0400" <= c <= "\u047f" for c in new[:4])
+    seen = {q.replace("secret=" + "a" * k + "b" + "a" * (199 - k))[0] for k in range(200)}
+    assert len(seen) == 200
+    assert q.replace("...@x.org") == ("...@x.org", {})
+
+
 def test_pii_odd_cases(spark):
     got = pii.pseudonymised(clashing(docs(spark, [*ODD, (8, "mail bob@site.org", "en", "s", 1)])), b"k").collect()
     old = {r[0]: r[1] for r in ODD}
     assert len(got) == 10 and all(r.text == old[r.doc_id] for r in got if r.doc_id != 8)
     assert [r.private for r in got if r.doc_id == 8] == [{"email": 1}]
     assert pii.pseudonymised(docs(spark, []), b"k").count() == 0
+    taken = pii.pseudonymised(docs(spark).withColumn("private", F.lit("mine")), b"k")
+    assert taken.columns.count("private") == 1 and taken.first().private == {}
 
 
 # --- 4 order minhash
@@ -200,6 +228,36 @@ def test_numbering_equals_counting(spark):
         assert len({next(iter(v)) for v in upper.values()}) == len(upper) == len(hashes)
 
 
+def test_order_minhash_takes_the_least_of_all_kmers(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(60)}" for _ in range(2000)]
+    rows = [(k, " ".join(words[:n]), "", "", 0) for k, n in enumerate((0, 1, 3, 4, 5, 20, 70, 500, 2000))]
+    text = F.col("text")
+    hashes = order_minhash.kmers(text, 3, 8)
+    df = docs(spark, rows).select(order_minhash.numbered(hashes).alias("n"), order_minhash.fingerprint(text).alias("p"))
+    tuples = []
+    for r in df.collect():
+        upper = [(x >> 32) + (1 << 31) for x in r.n]
+        assert len(r.p) == 32 and len(set(upper)) == len(upper)
+        for j in range(32):
+            point = j << 27
+            order = sorted(range(len(upper)), key=lambda i: (upper[i] - point - 1) % (1 << 32))
+            least = sorted(order[:2], key=lambda i: r.n[i] & order_minhash.MASK)
+            tuples.append((tuple(upper[i] for i in least), r.p[j]))
+    assert len(dict(tuples)) == len({v for _, v in tuples}) == len(set(tuples))  # one value for each tuple, and the other way
+
+
+def test_order_minhash_likeness_has_no_bias_by_length(spark):
+    rng = random.Random(10)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        rows += [(2 * k, " ".join(words), "", "", 0), (2 * k + 1, " ".join(words[:750]), "", "", 0)]
+    prints = {r.doc_id: r.p for r in docs(spark, rows).select("doc_id", order_minhash.fingerprint(F.col("text")).alias("p")).collect()}
+    alike = [sum(a == b for a, b in zip(prints[2 * k], prints[2 * k + 1])) / 32 for k in range(60)]
+    assert abs(sum(alike) / 60 - 0.75**2) < 0.05
+
+
 def test_order_minhash_odd_cases(spark):
     rows = order_minhash.with_edits(clashing(docs(spark))).collect()
     assert len(rows) == len(ODD) and {r.doc_id for r in rows} == {r[0] for r in ODD}
