@@ -3,13 +3,16 @@
 A text becomes tokens (runs without white space, long ones cut every
 ``token_chars`` characters, so unspaced text has tokens too) and the k-mers of
 ``k`` neighbouring tokens. A k-mer is numbered by its occurrence, which makes
-the multiset a set. Of the numbered k-mers the ``sample`` with the least hash
-are kept with their places in the text; for each of ``functions`` further hash
-functions the ``tuple_size`` least of those are taken, put back into text
-order, and their hashes are hashed together. The fingerprint is the list of
-these ``functions`` values, and the likeness of two fingerprints the share of
-equal values: an estimate that falls with the edit distance, since a moved
-passage changes the order within tuples and not only the set.
+the multiset a set. The hashes of the numbered k-mers lie on a circle. Each of
+the ``functions`` is a point of it, and orders all k-mers of any text by their
+distance behind that point; it takes the ``tuple_size`` least of all k-mers of
+the text, which are put back into text order and hashed together. So one hash
+and one sort serve all functions and each of them is min-wise over every k-mer
+(on texts with fewer k-mers than points, neighbouring functions often agree:
+the estimate is as right on average and varies more). The fingerprint is the
+list of these ``functions`` values, and the likeness of two fingerprints the
+share of equal values: an estimate that falls with the edit distance, since a
+moved passage changes the order within tuples and not only the set.
 
 Everything happens within the row, on arrays: hashing, numbering (only where
 a k-mer repeats: a sort of the upper half of the hash and the place packed into one BIGINT, then run starts by pointer doubling,
@@ -22,8 +25,8 @@ partition and the last of each looks up the next partition's first.
 
 Defined results: null, empty and blank texts have no k-mers and one common
 fingerprint, as alike as any equal texts; a text of fewer than ``k`` tokens is
-one k-mer; fewer than ``tuple_size`` k-mers make shorter tuples. A null key
-comes before all others. Of rows that repeat a key, the one with the least
+one k-mer; fewer than ``tuple_size`` k-mers make shorter tuples. Keys are whole
+numbers (they are compared as BIGINT). A null key comes before all others. Of rows that repeat a key, the one with the least
 (text, fingerprint) is the successor of the key before it.
 """
 
@@ -96,24 +99,28 @@ def numbered(hashes: Column) -> Column:
     return _let(F.transform(hashes, lambda h, i: _kmer(h).bitwiseOR(i.cast("bigint"))), choose)
 
 
-def fingerprint(
-    text: Column, k: int = 3, tuple_size: int = 2, functions: int = 32, sample: int = 64, token_chars: int = 8
-) -> Column:
-    """The Order MinHash of a text: ARRAY<INT> of ``functions`` values."""
-    least = F.slice(F.sort_array(numbered(kmers(text, k, token_chars))), 1, sample)
-    in_order = F.transform(F.sort_array(F.transform(least, _by_place)), _by_place)
-    slots = (1 << (sample - 1).bit_length()) - 1
+def fingerprint(text: Column, k: int = 3, tuple_size: int = 2, functions: int = 32, token_chars: int = 8) -> Column:
+    """The Order MinHash of a text: ARRAY<INT> of ``functions`` values (a power of two)."""
+    step = (1 << 64) // functions
+    points = F.array(*(F.lit((j * step | MASK) - (1 << 63)) for j in range(functions)))  # no k-mer has this place
 
-    def tuples(kept: Column) -> Column:
-        def value(j: Column) -> Column:
-            ranked = F.transform(kept, lambda x, i: F.xxhash64(_kmer(x), j).bitwiseAND(F.lit(~slots)).bitwiseOR(i.cast("bigint")))
-            chosen = F.slice(F.sort_array(ranked), 1, tuple_size)
-            ordered = F.sort_array(F.transform(chosen, lambda r: r.bitwiseAND(F.lit(slots))))
-            return F.hash(F.transform(ordered, lambda i: _kmer(F.get(kept, i.cast("int")))))
+    def is_point(x: Column) -> Column:
+        return _place(x) == MASK
 
-        return F.transform(F.sequence(F.lit(1), F.lit(functions)), value)
+    def circle(marked: Column) -> Column:
+        before = F.filter(F.transform(marked, lambda x, i: F.when(is_point(x), i).otherwise(F.lit(-1))), lambda i: i >= 0)
 
-    return _let(in_order, tuples)
+        def tuples(s: Column) -> Column:
+            def value(at: Column, j: Column) -> Column:
+                chosen = F.transform(F.sequence(F.lit(0), F.least(F.size(s), F.lit(tuple_size)) - 1), lambda t: F.get(s, F.pmod(at - j + t, F.size(s))))
+                ordered = F.sort_array(F.transform(chosen, _by_place))
+                return F.hash(F.transform(ordered, _place))
+
+            return F.when(F.size(s) == 0, F.array_repeat(F.hash(F.array().cast("array<bigint>")), functions)).otherwise(F.transform(before, value))
+
+        return _let(F.filter(marked, lambda x: ~is_point(x)), tuples)
+
+    return _let(F.sort_array(F.concat(numbered(kmers(text, k, token_chars)), points)), circle)
 
 
 def _by_place(packed: Column) -> Column:
