@@ -197,6 +197,29 @@ def _worker() -> ModuleType:
     return sys.modules.setdefault("_terrashift_worker", ModuleType("_terrashift_worker"))
 
 
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes: visible ones as themselves, the rest by letters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _letters(word: bytes) -> str | None:
+    """The byte-level spelling of a word of small Latin letters, which no normaliser changes and nothing parts; else None."""
+    if word.isalpha() and word.islower():  # ASCII
+        return word.decode()
+    text = word.decode("utf-8", "replace")
+    if text.isalpha() and max(text) < "\u0250" and text == text.lower():
+        return word.decode("latin-1").translate(BYTE_LETTERS)
+    return None
+
+
 def _ends_word(stem: bytes) -> bool:
     """Whether the last character is a letter or digit, and stays one when it is lower-cased."""
     last = stem[-4:].decode("utf-8", "ignore")[-1:]
@@ -208,29 +231,40 @@ class WordEncoder:
 
     A word is what lies between ASCII white space, A-Z lower-cased if the
     tokenizer lower-cases. Only words that are not in memory reach the
-    library, many in one call: they are joined by a separator that none of
-    them holds and whose id parts their ids again. A word that ends in full
-    stops or commas after a letter or digit is its stem's ids and theirs, as
-    the pre-tokenizer parts them there; both shortcuts are tried on samples
+    library. Words of small Latin letters go straight to its model. The others
+    go many in one call: they are joined by a separator that none of them
+    holds and whose id parts their ids again. A word that ends in ASCII
+    punctuation after a letter or digit is its stem's ids and theirs, as the
+    pre-tokenizer parts them there. All three shortcuts are tried on samples
     when the encoder is made and dropped if the tokenizer disagrees.
+
+    The memory is two generations of ``most / 2`` words: what was not used
+    since the last one was full is forgotten.
     """
 
     GROUP = 256
-    TRIALS = ("Stem, word. A.B, x.. it's 12,5. \u00e9t\u00e9., don't,. ***, e\u0301.", "ONE, two,three ,. three. (four),")
+    TRIALS = (
+        "Stem, word. A.B, x.. it's 12,5. \u00e9t\u00e9., don't,. ***, e\u0301.",
+        "ONE, two,three ,. three. (four), five!! a%%% b&&&' c-- dogs' 'tis' it's'",
+        "plain words unaccountably stra\u00dfe \u00f1and\u00fa \u0153uvre \u00aa\u00ba na\u00efvet\u00e9 \u00c9T\u00c9 zzzqxj",
+    )
 
-    def __init__(self, tokenizer_json: str, end_id: int | None, most: int = 600_000):
+    def __init__(self, tokenizer_json: str, end_id: int | None, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.pack = struct.Struct("<H" if self.kind == "<u2" else "<I").pack
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
         self.most = most
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.lower = self._ids("ABC xYz") == self._ids("abc xyz")
-        self.words_apart = self.parts = self.joins = True
+        self.words_apart = self.parts = self.joins = self.direct = True
         comma = self._ids(",")
         self.comma = comma[0] if len(comma) == 1 else -1
-        for flag in ("parts", "joins", "words_apart"):
+        for flag in ("direct", "parts", "joins", "words_apart"):
             for t in self.TRIALS:
                 if self.encode([t])[0] != self._bytes(self._ids(t)) + self.end:
                     setattr(self, flag, False)
@@ -250,10 +284,15 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Put words into memory."""
-        held = self.words
+        held, pack, tokenize = self.words, self.pack, self.model.tokenize
         joined, single = [], []
         for w in new:
-            (joined if self.joins and self.comma >= 0 and b"," not in w and b"<|" not in w else single).append(w)
+            if self.direct and (letters := _letters(w)):
+                held[w] = b"".join([pack(t.id) for t in tokenize(letters)])
+            elif self.joins and self.comma >= 0 and b"," not in w and b"<|" not in w:
+                joined.append(w)
+            else:
+                single.append(w)
         texts = [b" , ".join(joined[k : k + self.GROUP]).decode("utf-8", "replace") for k in range(0, len(joined), self.GROUP)]
         for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
@@ -270,24 +309,33 @@ class WordEncoder:
             for w, e in zip(single, found):
                 held[w] = self._bytes(e.ids)
 
+    def _recalled(self, words: set[bytes]) -> set[bytes]:
+        """Those of the words that neither generation holds; the older one's come into the younger."""
+        new = words.difference(self.words)
+        again = new & self.older.keys()
+        for w in again:
+            self.words[w] = self.older[w]
+        return new - again
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids, little-endian, with the end id."""
         if not self.words_apart:
             found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [self._bytes(e.ids) + self.end for e in found]
         cut = [self._cut(t) for t in texts]
-        if len(self.words) > self.most:
-            self.words.clear()
+        if len(self.words) > self.most // 2:
+            self.older, self.words = self.words, {}
         held = self.words
-        new = {w for words in cut for w in words if w not in held}
+        new = self._recalled(set().union(*cut))
         stems: dict[bytes, tuple[bytes, bytes]] = {}
         if self.parts:
             for w in new:
-                stem = w.rstrip(b".,")
-                if len(stem) < len(w) and stem and (stem[-1:].isalnum() or _ends_word(stem)):
-                    stems[w] = (stem, w[len(stem) :])
-        wanted = {p for pair in stems.values() for p in pair} | (new - stems.keys())
-        self._learn([w for w in wanted if w not in held])
+                if not w[-1:].isalnum() and w[-1] < 128 and b"<|" not in w:
+                    stem = w.rstrip(PUNCTUATION)
+                    if stem and (stem[-1:].isalnum() or _ends_word(stem)):
+                        stems[w] = (stem, w[len(stem) :])
+        wanted = {p for pair in stems.values() for p in pair}
+        self._learn([*(new - stems.keys()), *self._recalled(wanted - new), *(wanted & new & stems.keys())])
         for w, (stem, rest) in stems.items():
             held[w] = held[stem] + held[rest]
         known = held.__getitem__
@@ -312,8 +360,8 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int | None, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 ids = pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
