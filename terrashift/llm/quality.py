@@ -151,7 +151,7 @@ def train_ftrl(
 
     for _ in range(epochs):
         for k in order.permutation(len(vectors)):
-            index, value = vectors[k]
+            index, value = vectors[k][0], vectors[k][1].astype(np.float64)
             w = leader(index)
             margin = bias + float(w @ value)
             slope = 1.0 / (1.0 + np.exp(-min(max(margin, -35.0), 35.0))) - labels[k]
@@ -199,11 +199,14 @@ def fit(
 
     rows = training_rows(docs, labels, max_rows, key, text)
     got = rows.mapInArrow(run, "k string, quality int, i array<int>, v array<float>").toArrow()
-    order = np.argsort(np.array(got.column("k").to_pylist(), dtype=object), kind="stable") if got.num_rows else []
-    index, value, quality = (got.column(c).combine_chunks() if got.num_rows else None for c in ("i", "v", "quality"))
-    vectors = [(index[int(k)].values.to_numpy(), value[int(k)].values.to_numpy().astype(np.float64)) for k in order]
-    marks = np.array([quality[int(k)].as_py() for k in order], np.float64)
-    return train_ftrl(vectors, marks, bits)
+    order = got.column("k").to_pylist()
+    vectors, marks = [], []
+    for chunk in got.to_batches():
+        index, value = chunk.column("i"), chunk.column("v")
+        vectors += [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(index, value)]  # views
+        marks += chunk.column("quality").to_pylist()
+    at = sorted(range(len(order)), key=lambda k: order[k])
+    return train_ftrl([vectors[k] for k in at], np.array([marks[k] for k in at], np.float64), bits)
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:

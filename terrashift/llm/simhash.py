@@ -342,24 +342,58 @@ def block_keys(hashes: np.ndarray, percent: int, known: np.ndarray, ranks: np.nd
     return np.concatenate(out)
 
 
-BUCKETS = 128
+BUCKETS = 128  # of a sketch, or as many as bring 8 to 16 shingles to each
 
 
 def sketch(hashes: np.ndarray) -> bytes:
     """How many of a set's hashes each bucket has, up to 255: two sketches differ by no more than their sets do."""
-    return np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    bits = max(BUCKETS.bit_length() - 1, len(hashes).bit_length() - 4)
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BUCKETS).astype(np.int16)
+def _folded(sketches: list[bytes], buckets: int) -> np.ndarray:
+    """Sketches with neighbouring buckets added up, so that each has ``buckets``."""
+    return np.array([np.frombuffer(x, np.uint8).reshape(buckets, -1).sum(axis=1, dtype=np.int32) for x in sketches], np.int32)
 
 
-def _may_be_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of ``n`` and ``m`` shingles with these sketches can be that similar, pair by pair."""
-    apart = np.abs(x - y).sum(axis=1, dtype=np.int64)  # at most the shingles that one of the two has
+def _may_be_near(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles can be that similar if at least ``apart`` are in one of them only."""
     return apart * (100 + percent) <= (n.astype(np.int64) + m) * (100 - percent)
 
 
+def _pairs_near(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The same for pairs of sketches, each by the coarser of its two."""
+    buckets = np.array([min(len(a), len(b)) for a, b in zip(x, y)], np.int64)
+    near = np.zeros(len(x), bool)
+    for size in np.unique(buckets):
+        at = np.flatnonzero(buckets == size)
+        for part in np.array_split(at, -(-len(at) * size // (1 << 22))):
+            apart = np.abs(_folded([x[k] for k in part], size) - _folded([y[k] for k in part], size)).sum(axis=1, dtype=np.int64)
+            near[part] = _may_be_near(apart, n[part], m[part], percent)
+    return near
+
+
+class _Marks:
+    """The sketches of a group, for one against many."""
+
+    def __init__(self, sketches: list[bytes], n: np.ndarray, percent: int):
+        self.n, self.percent = n, percent
+        self.length = np.array([len(x) for x in sketches], np.int64)
+        self.folded = {size: _folded([x if len(x) >= size else bytes(size) for x in sketches], size) for size in np.unique(self.length).tolist()}
+
+    def near(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of ``y`` that may be near ``x``."""
+        n = self.n
+        y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * self.percent]
+        size = np.minimum(self.length[y], self.length[x])
+        out = []
+        for t in np.unique(size).tolist():
+            at, marks = y[size == t], self.folded[t]
+            apart = np.abs(marks[at] - marks[x]).sum(axis=1, dtype=np.int64)
+            out.append(at[_may_be_near(apart, n[at], n[x], self.percent)])
+        return np.concatenate(out) if out else y
+
+
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
     flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -447,7 +481,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, n, m = (batch.column(k) for k in range(2, 6))
-            near = _may_be_near(_sketches(x), _sketches(y), n.to_numpy(), m.to_numpy(), percent)
+            near = _pairs_near(x.to_pylist(), y.to_pylist(), n.to_numpy(), m.to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     sized = pairs.join(one, "a").join(two, "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
@@ -490,13 +524,13 @@ def similar_links(reps: DataFrame, entries: DataFrame, sets: _Sets, percent: int
     """a, b (a < b): links that connect what all pairs of that similarity connect.
 
     ``reps`` has fp, n and sketch of each set, ``entries`` its keys (k, fp).
-    Holders of a key meet in pairs where they are at most ``hot``. The holders
-    of a hot key are held against one of them first, which joins a tight
-    family by few rows; those that aren't in one component by then go by
-    cells, twice: by sketches, which leaves the holders that may have a link,
-    and by their sets.
+    Holders of a key meet in pairs where they are at most ``hot``, so the rows
+    of that join are in proportion to the entries. The holders of a hot key are
+    held against two of them first, which joins a tight family by few rows;
+    those that aren't in one component by then go by cells, twice: by sketches,
+    which leaves the holders that may have a link, and by their sets.
     """
-    shared = entries.groupBy("k").agg(F.min("fp").alias("hub"), F.max("fp").alias("high")).where("hub <> high").select("k", "hub")
+    shared = entries.groupBy("k").agg(F.min("fp").alias("hub"), F.max("fp").alias("high")).where("hub <> high")
     held = written(entries.join(shared, "k").distinct(), "simhash-shared")
     sizes = held.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
     held = written(held.join(sizes, "k"), "simhash-sized")
@@ -505,10 +539,12 @@ def similar_links(reps: DataFrame, entries: DataFrame, sets: _Sets, percent: int
     cold = held.where(F.col("size") <= hot).select("k", F.col("fp").alias("a"))
     near = cold.join(cold.select("k", F.col("a").alias("b")), "k").where("a < b").select("a", "b")
     many = held.where(F.col("size") > hot)
-    star = many.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    star = many.select(F.explode(F.array("hub", "high")).alias("h"), "fp").where("h <> fp").select(F.least("h", "fp").alias("a"), F.greatest("h", "fp").alias("b"))
     pairs = written(_possible(near.unionByName(star).distinct(), reps, percent), "simhash-pairs")
     found = sets.of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     edges = written(_verified(pairs, found, percent), "simhash-links")
+    if many.isEmpty():
+        return edges.distinct()
 
     joined = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("c"))
     named = many.select("k", "fp", "size").join(joined, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
@@ -517,13 +553,12 @@ def similar_links(reps: DataFrame, entries: DataFrame, sets: _Sets, percent: int
 
     def possible(group: pa.Table) -> pa.Table:
         n, side, c = (group.column(x).to_numpy() for x in ("n", "mine", "c"))
-        marks = _sketches(group.column("sketch"))
+        marks = _Marks(group.column("sketch").to_pylist(), n, percent)
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
         kept = np.zeros(len(n), bool)
         for x in left:
-            y = right[(c[right] != c[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
-            y = y[_may_be_near(marks[x], marks[y], n[x], n[y], percent)]
+            y = marks.near(x, right[c[right] != c[x]])
             kept[y] = True
             kept[x] |= len(y) > 0
         return group.select(["k", "fp", "c", "mine", "lo", "hi"]).filter(pa.array(kept))
@@ -581,7 +616,7 @@ def near_duplicates(
 
 
 def similar_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, hot: int = 64, cell: int = 2048
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, hot: int = 8, cell: int = 2048
 ) -> DataFrame:
     """``key``, fp and component_id: links where the sets of shingles have a Jaccard similarity of ``percent`` hundredths and more.
 
