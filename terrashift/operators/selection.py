@@ -100,7 +100,7 @@ def stratified(candidates: DataFrame, budget: int | None, seed: int = 42) -> Dat
     if budget is None:
         return candidates.orderBy("city", "tile_id")
     ranked = W.partitionBy("city").orderBy(F.xxhash64(F.lit(seed), "tile_id"), "tile_id")
-    calls = F.broadcast(allocation(candidates, budget).select("city", "calls"))  # one row for each city
+    calls = allocation(candidates, budget).select("city", "calls")
     drawn = candidates.withColumn("_rank", F.row_number().over(ranked)).join(calls, "city").where("_rank <= calls")
     return drawn.drop("_rank", "calls").orderBy("city", "tile_id")
 

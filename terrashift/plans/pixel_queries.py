@@ -170,14 +170,17 @@ def tile_summary(spark, d):
     "tile_sliding_stride",
     chain(
         "px",
-        """SELECT px.scene, CAST(r.i AS INT) AS "row", CAST(c.i AS INT) AS "col", count(*) AS n, round(avg(red1), 6) AS red
+        """SELECT px.scene, CAST(r.i AS INT) AS "row", CAST(c.i AS INT) AS "col", count(*) AS n,
+        floor(CAST(sum(CAST(round(red1 * 1e9) AS BIGINT)) AS DOUBLE) / count(red1) / 1000.0E0 + 0.5E0) / 1000000.0E0 AS red
         FROM px JOIN range(0, 7) r(i) ON y >= r.i * 4 AND y < r.i * 4 + 8 JOIN range(0, 7) c(i) ON x >= c.i * 4 AND x < c.i * 4 + 8
         GROUP BY 1, 2, 3""",
     ),
 )
 def tile_sliding_stride(spark, d):
     covered = tiles.assign(views.px(spark, d), size=8, stride=4, height=32, width=32)
-    return covered.groupBy(*TILE_KEYS).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("red1"), 6).alias("red"))
+    exact = F.sum(F.round(F.col("red1") * 1e9).cast("bigint")).cast("double")  # sums of whole numbers don't depend on their order
+    millionths = F.floor(exact / F.count("red1") / 1000.0 + 0.5).cast("double")
+    return covered.groupBy(*TILE_KEYS).agg(F.count(F.lit(1)).alias("n"), (millionths / 1000000.0).alias("red"))
 
 
 @query(

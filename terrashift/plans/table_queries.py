@@ -205,12 +205,12 @@ def join_nearest_time(spark, d):
 
 @query(
     "setops_band_mismatch",
-    """(SELECT p_brand, 'left' AS side FROM part WHERE p_partkey <= 12 EXCEPT SELECT p_brand, 'left' FROM part WHERE p_partkey BETWEEN 10 AND 24)
-    UNION ALL (SELECT p_brand, 'right' AS side FROM part WHERE p_partkey BETWEEN 10 AND 24 EXCEPT SELECT p_brand, 'right' FROM part WHERE p_partkey <= 12)""",
+    """(SELECT p_brand, p_type, 'left' AS side FROM part WHERE p_size <= 25 EXCEPT SELECT p_brand, p_type, 'left' FROM part WHERE p_size > 25)
+    UNION ALL (SELECT p_brand, p_type, 'right' AS side FROM part WHERE p_size > 25 EXCEPT SELECT p_brand, p_type, 'right' FROM part WHERE p_size <= 25)""",
 )
 def setops_band_mismatch(spark, d):
     rows = table(spark, d, "part")
-    return joins.set_difference(rows.where("p_partkey <= 12"), rows.where("p_partkey BETWEEN 10 AND 24"), ["p_brand"])
+    return joins.set_difference(rows.where("p_size <= 25"), rows.where("p_size > 25"), ["p_brand", "p_type"])
 
 
 @query(
@@ -338,12 +338,13 @@ def ingest_capability(spark, d):
 
 @query(
     "ingest_manifest_problems",
-    """SELECT name, 'missing' AS problem FROM (SELECT DISTINCT p_brand AS name FROM part) WHERE name NOT IN (SELECT p_brand FROM part WHERE p_partkey <= 10)
-    UNION ALL SELECT p_brand AS name, 'duplicate' AS problem FROM part GROUP BY p_brand HAVING count(*) > 1""",
+    """WITH m AS (SELECT p_brand || ' ' || p_type AS name, p_size FROM part)
+    SELECT name, 'missing' AS problem FROM (SELECT DISTINCT name FROM m) WHERE name NOT IN (SELECT name FROM m WHERE p_size <= 25)
+    UNION ALL SELECT name, 'duplicate' AS problem FROM m GROUP BY name HAVING count(*) > 1""",
 )
 def ingest_manifest_problems(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_brand").alias("name"), "p_partkey")
-    return ingest.manifest_problems(rows.select("name"), rows.where("p_partkey <= 10"))
+    rows = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("name"), "p_size")
+    return ingest.manifest_problems(rows.select("name"), rows.where("p_size <= 25"))
 
 
 @query(
