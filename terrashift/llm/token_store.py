@@ -19,7 +19,8 @@ decoder verifies; a mismatch raises.
 
 Encoding is by the given tokenizer. A text is cut at ASCII white space, which
 the vocabularies used here never cross, and each distinct word is encoded once
-by the library and remembered up to a bound.
+by the library and remembered up to a bound. A tokenizer for which that fails
+on samples gets whole texts.
 
 The document order needs one range exchange of the ids. Starts are prefix sums
 in two levels (within a partition, then over partitions). Only the frequency
@@ -35,7 +36,7 @@ from __future__ import annotations
 import struct
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import numpy as np
@@ -226,23 +227,35 @@ def _ends_word(stem: bytes) -> bool:
     return last.isalnum() and last.lower()[-1:].isalnum()
 
 
+class _Memory(dict):
+    """Words to ids; a word that is in neither generation is encoded once, when it is asked for."""
+
+    def __init__(self, older: dict[bytes, bytes], encoded: Callable[[bytes], bytes]):
+        self.older, self.encoded = older, encoded
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoded(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Texts to ids through a bounded memory of words.
 
     A word is what lies between ASCII white space, A-Z lower-cased if the
     tokenizer lower-cases. Only words that are not in memory reach the
-    library. Words of small Latin letters go straight to its model. The others
-    go many in one call: they are joined by a separator that none of them
-    holds and whose id parts their ids again. A word that ends in ASCII
-    punctuation after a letter or digit is its stem's ids and theirs, as the
-    pre-tokenizer parts them there. All three shortcuts are tried on samples
-    when the encoder is made and dropped if the tokenizer disagrees.
-
-    The memory is two generations of ``most / 2`` words: what was not used
-    since the last one was full is forgotten.
+    library: words of small Latin letters its model, others the whole of it. A
+    word that ends in ASCII punctuation after a letter or digit is its stem's
+    ids and theirs, as the pre-tokenizer parts them there. These shortcuts are
+    tried on samples when the encoder is made and dropped if the tokenizer
+    disagrees.
+
+    The memory is two generations of ``most / 2`` words and those of one call:
+    what was not used since the last one was full is forgotten.
     """
 
-    GROUP = 256
     TRIALS = (
         "Stem, word. A.B, x.. it's 12,5. \u00e9t\u00e9., don't,. ***, e\u0301.",
         "ONE, two,three ,. three. (four), five!! a%%% b&&&' c-- dogs' 'tis' it's'",
@@ -258,13 +271,10 @@ class WordEncoder:
         self.pack = struct.Struct("<H" if self.kind == "<u2" else "<I").pack
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
         self.most = most
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.lower = self._ids("ABC xYz") == self._ids("abc xyz")
-        self.words_apart = self.parts = self.joins = self.direct = True
-        comma = self._ids(",")
-        self.comma = comma[0] if len(comma) == 1 else -1
-        for flag in ("direct", "parts", "joins", "words_apart"):
+        self.words_apart = self.parts = self.direct = True
+        self.words = _Memory({}, self._encoded)
+        for flag in ("direct", "parts", "words_apart"):
             for t in self.TRIALS:
                 if self.encode([t])[0] != self._bytes(self._ids(t)) + self.end:
                     setattr(self, flag, False)
@@ -282,64 +292,24 @@ class WordEncoder:
             data = data.lower()
         return data.split()
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Put words into memory."""
-        held, pack, tokenize = self.words, self.pack, self.model.tokenize
-        joined, single = [], []
-        for w in new:
-            if self.direct and (letters := _letters(w)):
-                held[w] = b"".join([pack(t.id) for t in tokenize(letters)])
-            elif self.joins and self.comma >= 0 and b"," not in w and b"<|" not in w:
-                joined.append(w)
-            else:
-                single.append(w)
-        texts = [b" , ".join(joined[k : k + self.GROUP]).decode("utf-8", "replace") for k in range(0, len(joined), self.GROUP)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, self.kind)
-            gaps = np.flatnonzero(ids == self.comma).tolist()
-            words = joined[k * self.GROUP : (k + 1) * self.GROUP]
-            if len(gaps) != len(words) - 1:
-                single += words
-                continue
-            data, size = ids.tobytes(), ids.itemsize
-            for w, a, b in zip(words, [-1, *gaps], [*gaps, len(ids)]):
-                held[w] = data[(a + 1) * size : b * size]
-        if single:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in single], add_special_tokens=False)
-            for w, e in zip(single, found):
-                held[w] = self._bytes(e.ids)
-
-    def _recalled(self, words: set[bytes]) -> set[bytes]:
-        """Those of the words that neither generation holds; the older one's come into the younger."""
-        new = words.difference(self.words)
-        again = new & self.older.keys()
-        for w in again:
-            self.words[w] = self.older[w]
-        return new - again
+    def _encoded(self, word: bytes) -> bytes:
+        if self.direct and (letters := _letters(word)):
+            return b"".join([self.pack(t.id) for t in self.model.tokenize(letters)])
+        if self.parts and word[-1] < 128 and not word[-1:].isalnum() and b"<|" not in word:
+            stem = word.rstrip(PUNCTUATION)
+            if stem and len(stem) < len(word) and (stem[-1:].isalnum() or _ends_word(stem)):
+                return self.words[stem] + self.words[word[len(stem) :]]
+        return self._bytes(self._ids(word.decode("utf-8", "replace")))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids, little-endian, with the end id."""
         if not self.words_apart:
             found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [self._bytes(e.ids) + self.end for e in found]
-        cut = [self._cut(t) for t in texts]
         if len(self.words) > self.most // 2:
-            self.older, self.words = self.words, {}
-        held = self.words
-        new = self._recalled(set().union(*cut))
-        stems: dict[bytes, tuple[bytes, bytes]] = {}
-        if self.parts:
-            for w in new:
-                if not w[-1:].isalnum() and w[-1] < 128 and b"<|" not in w:
-                    stem = w.rstrip(PUNCTUATION)
-                    if stem and (stem[-1:].isalnum() or _ends_word(stem)):
-                        stems[w] = (stem, w[len(stem) :])
-        wanted = {p for pair in stems.values() for p in pair}
-        self._learn([*(new - stems.keys()), *self._recalled(wanted - new), *(wanted & new & stems.keys())])
-        for w, (stem, rest) in stems.items():
-            held[w] = held[stem] + held[rest]
-        known = held.__getitem__
-        return [b"".join(map(known, words)) + self.end for words in cut]
+            self.words = _Memory(dict(self.words), self._encoded)
+        known = self.words.__getitem__
+        return [b"".join(map(known, self._cut(t))) + self.end for t in texts]
 
 
 def worker_encoder(tokenizer_json: str, end_id: int | None) -> WordEncoder:
