@@ -4,14 +4,20 @@ Pages of one host are made by one wrapper. Every page becomes a DOM tree whose
 siblings of one label (tag and classes) are folded into a repeated node; the
 tree of the host's pivot page (the least hash of the html) is aligned with
 that of every other page by simple tree matching, so that nodes of different
-pages meet in the pivot's slots. A slot whose text is the same on all distinct
-pages of the host belongs to the template, slots that vary are content.
-
-What a wrapper can't tell apart (navigation, adverts and footers that are
-drawn from a pool vary as well) is told by the elements' meaning: menus,
-headers, footers, side bars, notices, adverts, forms, scripts, styles and
-reader comments are never content, and where a page has ``article`` or
-``main`` elements its content lies in them.
+pages meet in the pivot's slots. A slot is judged by its variety: of the texts
+that it takes on the host, how many stand on several pages. Menus, adverts and
+footers draw from few texts, which come again; headings and paragraphs are a
+page's own. A page is known by its title and first heading, so that versions
+of one article count once and their text does not look like a template. Slots
+where ``RECURRING`` of the texts come again are template; inside ``article``
+and ``main``, where bylines and dates come again too, only slots that never
+vary are.
+
+What varies as content does and still is none (reader comments, related
+links) is told by the elements' meaning: menus, headers, footers, side bars,
+notices, adverts, forms, scripts, styles and reader comments are never
+content, and where a page has ``article`` or ``main`` elements its content
+lies in them. Class words of elements within ``code`` and ``pre`` mean nothing.
 
 Three passes, none of which gathers a host: pages to slot hashes; hashes to
 counts per host and slot (pre-aggregated, so a host with a third of all pages
@@ -20,8 +26,9 @@ as one folded tree. The last join is on the host: adaptive execution
 broadcasts the wrappers where they are small and splits hot hosts where not.
 
 Defined results: null or empty html, and pages without content, give an empty
-text. A host with one distinct page, or whose pages all have the same text,
-has no template: meaning decides alone. A null url, or one without ``://``,
+text. A host of fewer than ``MIN_PAGES`` distinct pages has no template:
+meaning decides alone, and so it does on a page of which the template would
+leave nothing. A null url, or one without ``://``,
 belongs to the host ''. White space in a block becomes one space, blocks are
 joined in page order by one line feed, ``br`` is a space. Elements deeper than
 ``DEEPEST`` are read as if they were children of that depth.
@@ -32,18 +39,19 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrashift.llm.storage import written
 from terrashift.llm.url_filter import url_host
 
 DEEPEST = 100
-MIN_PAGES = 5  # distinct pages that a slot must be the same on to be template
+MIN_PAGES = 5  # distinct pages on which a slot must have a text to be judged
+RECURRING = 0.2  # share of a slot's texts that must stand on several pages for the slot to be template
 
 # Elements of HTML by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -95,7 +103,6 @@ class Node:
         self.children: list[Node | str] = []
 
 
-@lru_cache(20_000)
 def described(tag: str, attributes: str) -> tuple[str, bool]:
     """The label of an element, and whether its meaning rules it out."""
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -106,8 +113,11 @@ def described(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *classes]), tag in NEVER or unseen or bool(words & MARKS and tag not in ("body", "html", "main", "article"))
 
 
-def parse(html: str) -> Node:
-    """The DOM of a page; unclosed and misnested tags are repaired as browsers do in the simple cases."""
+def parse(html: str, describe: Callable[[str, str], tuple[str, bool]] = described) -> Node:
+    """The DOM of a page; unclosed and misnested tags are repaired as browsers do in the simple cases.
+
+    ``describe`` may be a remembering form of ``described``, made in the task.
+    """
     root = Node("#root", "#root", False)
     stack, at, n = [root], 0, len(html)
     while at < n:
@@ -131,7 +141,9 @@ def parse(html: str) -> Node:
             _close(stack, {"p"}, SCOPES)
         if tag in SIBLINGS:
             _close(stack, SIBLINGS[tag], SCOPES)
-        label, hidden = described(tag, m[3].rstrip("/ "))
+        label, hidden = describe(tag, m[3].rstrip("/ "))
+        if hidden and tag in INLINE and any(above.tag in ("pre", "code") for above in stack):
+            hidden = False  # highlighted source text
         node = Node(tag, label, hidden)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -286,46 +298,74 @@ def _blocks(node: Node, blocks: list[str], run: list[str], skip: set[int], slot_
 # --- the passes ---------------------------------------------------------------
 
 
+def page_identity(html: Column) -> Column:
+    """Hash of the title and the first heading, or of the whole html where there is neither."""
+    title, heading = (F.trim(F.regexp_extract(html, f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}", 1)) for tag in ("title", "h1"))
+    named = (title != "") | (heading != "")
+    return F.when(named, F.xxhash64(title, heading)).otherwise(F.xxhash64(html))
+
+
+def inside_main(shape: list) -> list[bool]:
+    """For each slot of a shape whether it lies in an ``article`` or ``main`` element."""
+    out: list[bool] = []
+
+    def walk(node: list, inside: bool) -> None:
+        inside = inside or node[0].split(".")[0] in ("article", "main")
+        out.append(inside)
+        for child in node[1]:
+            walk(child, inside)
+
+    walk(shape, False)
+    return out
+
+
 def page_slots(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """host, page (hash of the html), shape (the folded tree) and slots (a hash for each, null without text)."""
+    """host, page (its identity), shape (the folded tree) and slots (a hash for each, null without text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        describe = lru_cache(20_000)(described)
         for batch in batches:
             shapes, slots = [], []
             for x in batch.column(2):
-                folded = Folded(parse(x.as_py()))
+                folded = Folded(parse(x.as_py(), describe))
                 shapes.append(json.dumps(folded.shape, separators=(",", ":")))
                 slots.append(folded.hashes())
             cols = [batch.column(0), batch.column(1), pa.array(shapes, pa.string()), pa.array(slots, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["host", "page", "shape", "slots"])
 
-    rows = pages.select(url_host(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
+    rows = pages.select(url_host(F.col(url)).alias("host"), page_identity(F.col(html)).alias("page"), F.col(html).alias("html"))
     rows = rows.where("html is not null")
     return rows.mapInArrow(run, "host string, page bigint, shape string, slots array<bigint>")
 
 
-def wrappers(slots: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, pivot (its shape) and template (the pivot's slots that never vary)."""
+def wrappers(slots: DataFrame, min_pages: int = MIN_PAGES, recurring: float = RECURRING) -> DataFrame:
+    """host, pivot (its shape) and template (the pivot's slots whose texts are not the pages' own; null if none)."""
     pivots = slots.groupBy("host").agg(F.min(F.struct("page", "shape")).alias("least")).select("host", F.col("least.shape").alias("pivot"))
     distinct = slots.groupBy("host", "page").agg(F.min(F.struct("shape", "slots")).alias("s")).select("host", "s.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner()
+        within = lru_cache(5_000)(lambda shape: inside_main(json.loads(shape)))
         for batch in batches:
-            row, slot, text = [], [], []
+            row, slot, inside, text = [], [], [], []
             for k, (shape, hashes, pivot) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                main = within(pivot)
                 for mine, theirs in align(shape, pivot).items():
-                    row.append(k)
-                    slot.append(theirs)
-                    text.append(hashes[mine])
+                    if hashes[mine] is not None:
+                        row.append(k)
+                        slot.append(theirs)
+                        inside.append(main[theirs])
+                        text.append(hashes[mine])
             hosts = batch.column(0).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([hosts, pa.array(slot, pa.int32()), pa.array(text, pa.int64())], names=["host", "slot", "text"])
+            cols = [hosts, pa.array(slot, pa.int32()), pa.array(inside, pa.bool_()), pa.array(text, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["host", "slot", "inside", "text"])
 
     aligned = distinct.join(pivots, "host").select("host", "shape", "slots", "pivot")
-    found = aligned.mapInArrow(run, "host string, slot int, text bigint").groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"))
-    constant = found.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.max("text").alias("text"))
-    constant = constant.where((F.col("texts") == 1) & (F.col("n") >= min_pages) & F.col("text").isNotNull())
-    template = constant.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))  # at most the pivot's slots
+    found = aligned.mapInArrow(run, "host string, slot int, inside boolean, text bigint").groupBy("host", "slot", "inside", "text").agg(F.count(F.lit(1)).alias("n"))
+    variety = found.groupBy("host", "slot", "inside").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.count_if(F.col("n") > 1).alias("again"))
+    own = F.when(F.col("inside"), F.col("texts") > 1).otherwise(F.col("again") < recurring * F.col("texts"))
+    judged = variety.where((F.col("n") >= min_pages) & ~own)
+    template = judged.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))  # at most the pivot's slots
     return pivots.join(template, "host", "left")
 
 
@@ -337,10 +377,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner()
+        describe = lru_cache(20_000)(described)
         for batch in batches:
             texts = []
             for source, pivot, template in zip(*batch.columns[2:]):
-                root = parse(source.as_py() or "")
+                root = parse(source.as_py() or "", describe)
                 slots = template.as_py()
                 if slots:
                     folded = Folded(root)

@@ -466,6 +466,22 @@ def test_pages_that_are_all_alike_keep_their_text(spark):
     assert {r.text for r in html_extract.extract(pages(spark, rows)).collect()} == {"the same article"}
 
 
+def test_wrapper_tells_template_from_content_by_variety(spark):
+    """No marked class and no semantic tag: blocks drawn from a pool go, blocks of a page's own stay, versions of one page prove nothing."""
+    pool = ["apples on offer", "pears on offer", "plums on offer"]
+    page = "<html><title>{t}</title><body><div class=x1>{top}</div><div class=x2><h1>{t}</h1><p>{body}</p></div><div class=x3>always</div></body></html>"
+    rows = [(k, "http://h.org/x", page.format(t=f"t{k}", top=pool[k % 3], body=f"body {k}")) for k in range(12)]
+    rows += [(100 + k, "http://v.org/x", page.format(t=f"t{k // 4}", top=f"top {k}", body=f"body {k}")) for k in range(12)]  # four versions each
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert [got[k] for k in range(12)] == [f"t{k}\nbody {k}" for k in range(12)]
+    assert [got[100 + k] for k in range(12)] == [f"top {k}\nt{k // 4}\nbody {k}\nalways" for k in range(12)]
+
+
+def test_class_words_in_source_text_mean_nothing(spark):
+    rows = [(1, "http://h.org/", "<article><pre><code>x = 1 <span class='comment'># keep me</span></code></pre><p>a <span hidden>b</span></p></article>")]
+    assert html_extract.extract(pages(spark, rows)).head().text == "x = 1 # keep me\na"
+
+
 def test_tree_matching():
     a = ["r", [["a", []], ["b", [["c", []]]], ["d", []]]]
     b = ["r", [["b", [["c", []], ["e", []]]], ["d", []], ["a", []]]]
