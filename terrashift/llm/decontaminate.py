@@ -7,7 +7,7 @@ the exact piece hits of all items in one pass over a text. A hit is verified
 upwards in a binary tree over the pieces: a node of m pieces may have m - 1
 edits, and by the same pigeonhole some intact piece has only such nodes above
 it, so a chance hit is rejected after a comparison of two pieces and nothing
-is missed. The root's distance is the result. Distances are Myers' bit-parallel
+is missed. The least of an item's root distances is the result. Distances are Myers' bit-parallel
 ones, for a pattern anywhere in the window.
 
 Both sides are lower-cased and every run of characters that are not letters or
@@ -98,18 +98,20 @@ class Matcher:
         return best_distance(self.masks[item, lo, hi], b - a, text[max(0, start + a - slack) : start + b + slack])
 
     def matches(self, text: str, first: bool = False) -> dict[int, tuple[int, int]]:
-        """item -> (distance, where about it begins); with ``first`` only until something is found."""
+        """item -> (least distance, where about it begins); with ``first`` only until something is found.
+
+        Hits that put the item at one place have one window, which is verified once.
+        """
         found: dict[int, tuple[int, int]] = {}
-        seen: dict[int, list[int]] = {}
+        seen: set[tuple[int, int]] = set()
         if not self.cuts:
             return found
         for end, (size, owners) in self.automaton.iter(text):
             for item, piece in owners:
                 cuts = self.cuts[item]
                 start = end + 1 - size - cuts[piece]
-                places = seen.get(item)
-                if places and any(abs(start - p) < len(cuts) for p in places[-4:]):
-                    continue  # a verified occurrence covers this hit
+                if (item, start) in seen or item in found and found[item][0] == 0:
+                    continue
                 path = self._path(len(cuts) - 1, piece)
                 for lo, hi in path[1:]:
                     distance = self._distance(text, item, lo, hi, start)
@@ -117,7 +119,7 @@ class Matcher:
                         break
                 else:
                     distance = distance if len(path) > 1 else 0
-                    seen.setdefault(item, []).append(start)
+                    seen.add((item, start))
                     if item not in found or distance < found[item][0]:
                         found[item] = (distance, max(0, start))
                     if first:
