@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x100000001B3  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
+BLANK = " \t\n\v\f\r\xa0"
 SLAB = 1 << 20  # code points hashed at a time
 
 
@@ -55,16 +56,16 @@ class Hasher:
         self.down = _powers(INVERSE, SLAB)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        text = text or ""
-        parts = [self._terms(piece) for piece in _slabs(text)]
-        terms = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        parts = [self._tokens(piece) for piece in _slabs(text or "")]
+        terms = self._terms(*map(np.concatenate, zip(*parts))) if parts else np.zeros(0, np.int32)
         if not len(terms):
             return np.zeros(0, np.int32), np.zeros(0)
         index, count = np.unique(terms, return_counts=True)
         value = np.sqrt(count.astype(np.float64))
         return index, value / np.sqrt((value * value).sum())
 
-    def _terms(self, text: str) -> np.ndarray:
+    def _tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and shape of each token."""
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         upper = ((c >= 65) & (c <= 90)) | ((c >= 192) & (c <= 222) & (c != 215))
         digit = (c >= 48) & (c <= 57)
@@ -74,7 +75,7 @@ class Hasher:
         cut = np.flatnonzero(np.diff(kind, prepend=np.int8(-1)) != 0)
         cut = cut[kind[cut] != 0]
         if not len(cut):
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         after = np.flatnonzero(np.diff(kind, append=np.int8(-1)) != 0) + 1
         after = after[kind[after - 1] != 0]
         low = np.where(upper, c + 32, c).astype(np.uint64)
@@ -90,6 +91,11 @@ class Hasher:
             + np.uint64(16) * digit[cut]
             + np.uint64(32) * np.minimum(size, 15).astype(np.uint64)
         )
+        return token, shape
+
+    def _terms(self, token: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        if not len(token):
+            return np.zeros(0, np.int32)
         broad = shape & np.uint64(31)
         terms = [_mixed(token, 1), _mixed(shape, 2)]
         if len(token) > 1:
@@ -102,11 +108,11 @@ class Hasher:
 
 
 def _slabs(text: str) -> Iterator[str]:
-    """The text in pieces of at most SLAB code points, cut at white space where there is any."""
+    """The text in pieces of at most SLAB code points, cut at white space; only a run of SLAB without any is cut inside a token."""
     at = 0
     while at < len(text):
         end = min(len(text), at + SLAB)
-        if end < len(text) and (gap := text.rfind(" ", at + 1, end)) > 0:
+        if end < len(text) and (gap := max(text.rfind(c, at + 1, end) for c in BLANK)) > 0:
             end = gap
         yield text[at:end]
         at = end
