@@ -237,15 +237,17 @@ def tile_components(pixels: DataFrame, keys: list[str], mask: str = "changed", r
     return _grouped(pixels, keys, [mask], one, schema)
 
 
-def cleaned(pixels: DataFrame, keys: list[str], mask: str = "changed", radius: int = 1, min_size: int = 32) -> DataFrame:
-    """keys, y, x and ``mask`` after despeckling within each group."""
+def cleaned(
+    pixels: DataFrame, keys: list[str], mask: str = "changed", radius: int = 1, min_size: int = 32, carry: Iterable[str] = ()
+) -> DataFrame:
+    """keys, y, x, ``mask`` after despeckling within each group, and the columns of ``carry`` as they are."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         y0, x0, h, w = _frame(rows)
         clean = despeckle(_dense(rows, mask, y0, x0, h, w, 0.0) > 0, radius, min_size)
         return rows.assign(**{mask: clean[rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0]})
 
-    wanted = pixels.select(*keys, "y", "x", mask)
+    wanted = pixels.select(*keys, "y", "x", mask, *carry)
     return wanted.groupBy(*keys).applyInPandas(run, wanted.schema)
 
 

@@ -7,18 +7,20 @@ scene that is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrashift.config import GateThresholds, MaskThresholds, QualityThresholds
 from terrashift.functions import indices as ix
+from terrashift.operators.kernels import ellipse_rows
 
 
 def masks(pixels: DataFrame, m: MaskThresholds | None = None) -> DataFrame:
     """obs, snow, cloud, water, dark and valid of both dates, as columns with 1 or 2 behind the name.
 
-    ``dark`` is a shadow only near a cloud (``kernels.shadow``); a cell is
-    valid if it was observed and is neither cloud nor snow. Water stays valid.
+    A cell is valid if it was observed and is neither cloud nor snow; ``dark``
+    is a shadow only near a cloud, which ``with_shadow`` finds and takes out of
+    valid. Water stays valid.
     """
     m = m or MaskThresholds()
     out: dict[str, Column] = {}
@@ -39,9 +41,36 @@ def masks(pixels: DataFrame, m: MaskThresholds | None = None) -> DataFrame:
     return flagged.withColumns({f"valid{t}": F.expr(f"obs{t} and not cloud{t} and not snow{t}") for t in (1, 2)})
 
 
+def with_shadow(flagged: DataFrame, radius: int = 30) -> DataFrame:
+    """shadow1 and shadow2: dark cells within an elliptic radius of a cloud of their date; valid1 and valid2 lose them.
+
+    Clouds fold into runs along a row, and a run shades one interval in each
+    row of the ellipse. A dark cell is shaded if an interval that begins at or
+    before it reaches it, which is a running maximum along the row: pixels are
+    never joined with clouds, and a task holds a row and not a scene.
+    """
+    at = ["scene", "t", "y"]
+    dates = (F.struct(F.lit(t).alias("t"), F.col(f"dark{t}").alias("dark"), F.col(f"cloud{t}").alias("cloud")) for t in (1, 2))
+    cells = flagged.select("scene", "y", "x", F.inline(F.array(*dates)))
+    clouds = cells.where("cloud").withColumn("run", F.col("x") - F.dense_rank().over(Window.partitionBy(*at).orderBy("x")))
+    runs = clouds.groupBy(*at, "run").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    rows = ellipse_rows(radius) if radius > 0 else []
+    spread = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(half).alias("half")) for dy, half in rows))
+    spans = runs.select(*at, "low", "high", F.inline(spread)) if rows else runs.selectExpr(*at, "low", "high", "0 as dy", "0 as half").where("false")
+    begins = spans.selectExpr("scene", "t", "y + dy as y", "low - half as x", "high + half as reach", "false as cell")
+    events = begins.unionByName(cells.where("dark").selectExpr(*at, "x", "cast(null as int) as reach", "true as cell"))
+    reached = F.max("reach").over(Window.partitionBy(*at).orderBy("x", "cell"))
+    shaded = events.withColumn("reached", reached).where("cell and reached >= x")
+    shaded = shaded.groupBy("scene", "y", "x").agg(*(F.max(F.col("t") == t).alias(f"shadow{t}") for t in (1, 2)))
+    got = flagged.join(shaded, ["scene", "y", "x"], "left")
+    got = got.withColumns({f"shadow{t}": F.coalesce(f"shadow{t}", F.lit(False)) for t in (1, 2)})
+    return got.withColumns({f"valid{t}": F.col(f"valid{t}") & ~F.col(f"shadow{t}") for t in (1, 2)})
+
+
 def combined(flagged: DataFrame) -> DataFrame:
     """The union of the defects of both dates, and the cells valid at both."""
-    either = {c: F.col(f"{c}1") | F.col(f"{c}2") for c in ("cloud", "snow", "water", "dark")}
+    defects = [c for c in ("cloud", "snow", "water", "dark", "shadow") if f"{c}1" in flagged.columns]
+    either = {c: F.col(f"{c}1") | F.col(f"{c}2") for c in defects}
     return flagged.withColumns(either | {"valid": F.col("valid1") & F.col("valid2")})
 
 

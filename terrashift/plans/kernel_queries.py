@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from terrashift.operators import gate, kernels, scorers
 from terrashift.plans import views
 from terrashift.plans.registry import query
-from terrashift.plans.sql import GATE, chain
-from terrashift.plans.views import TILE_KEYS
+from terrashift.plans.sql import CLEAR_GATE, chain, clear_chain, components
+from terrashift.plans.views import TILE_KEYS, rounded
 from terrashift.streaming import events as streams
 
 FEATURES = [
@@ -28,19 +28,9 @@ FEATURES = [
 ]
 
 
-@query("kernel_opening")
+@query("kernel_opening", clear_chain("op", 'SELECT scene, trow AS "row", tcol AS "col", y, x, changed FROM op'))
 def kernel_opening(spark, d):
-    return kernels.cleaned(views.ch(spark, d), TILE_KEYS, radius=1, min_size=1)
-
-
-_EDGES = """
-e AS (SELECT scene, trow, tcol, y, x, y*32 + x AS id FROM ch WHERE changed),
-n AS (SELECT a.scene, a.trow, a.tcol, a.id AS a, b.id AS b FROM e a JOIN e b ON a.scene = b.scene AND a.trow = b.trow AND a.tcol = b.tcol
-        AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
-c AS (SELECT scene, trow, tcol, id, id AS root FROM e UNION SELECT c.scene, c.trow, c.tcol, n.b, c.root FROM c JOIN n ON c.scene = n.scene AND c.trow = n.trow
-        AND c.tcol = n.tcol AND c.id = n.a WHERE c.root < n.b),
-m AS (SELECT scene, trow, tcol, id, min(root) AS root FROM c GROUP BY 1, 2, 3, 4),
-s AS (SELECT scene, trow, tcol, root, count(*) AS px FROM m GROUP BY 1, 2, 3, 4)"""
+    return kernels.cleaned(views.cr(spark, d), TILE_KEYS, radius=1, min_size=1)
 
 
 @query(
@@ -50,7 +40,7 @@ s AS (SELECT scene, trow, tcol, root, count(*) AS px FROM m GROUP BY 1, 2, 3, 4)
         """SELECT t.scene, t.trow AS "row", t.tcol AS "col", CAST(coalesce(sum(px), 0) AS INT) AS changed_px, CAST(coalesce(max(px), 0) AS INT) AS largest_component_px,
         CAST(count(root) AS INT) AS n_components FROM (SELECT DISTINCT scene, trow, tcol FROM ch) t
         LEFT JOIN s ON t.scene = s.scene AND t.trow = s.trow AND t.tcol = s.tcol GROUP BY 1, 2, 3""",
-        _EDGES,
+        components("ch"),
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def kernel_components(spark, d):
@@ -60,7 +50,7 @@ def kernel_components(spark, d):
 
 @query("kernel_ssim_phash")
 def kernel_ssim_phash(spark, d):
-    return kernels.tile_similarity(views.ch(spark, d), TILE_KEYS)
+    return kernels.tile_similarity(views.stretched(views.px(spark, d)), TILE_KEYS)
 
 
 @query("kernel_registration")
@@ -73,20 +63,44 @@ def kernel_resample(spark, d):
     return kernels.scene_resample(views.px(spark, d), "red1", 16, 16)
 
 
-@query("kernel_shadow")
+@query("kernel_shadow", clear_chain("mk", "SELECT scene, y, x, shadow1 AS shadow FROM mk"))
 def kernel_shadow(spark, d):
     return kernels.scene_shadow(views.mk(spark, d), 1, radius=3)
 
 
+_SHARE = ", ".join(f"round(avg(CASE WHEN {c} THEN 1.0E0 ELSE 0.0E0 END), 6) AS {c}_fraction" for c in ("shadow", "valid"))
+
+
+@query("mask_shadow_valid", clear_chain("mk", f"SELECT scene, count(*) AS n, {_SHARE} FROM mk GROUP BY scene"))
+def mask_shadow_valid(spark, d):
+    """Shadow by running maxima along the rows (the query above finds it by a kernel), and what it leaves valid."""
+    share = [F.avg(F.col(c).cast("int")).alias(f"{c}_fraction") for c in ("shadow", "valid")]
+    return rounded(views.mk_clear(spark, d).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), *share))
+
+
+@query("change_despeckled", clear_chain("cl", 'SELECT scene, trow AS "row", tcol AS "col", y, x, changed FROM cl'))
+def change_despeckled(spark, d):
+    return views.cl(spark, d).select(*TILE_KEYS, "y", "x", "changed")
+
+
+@query(
+    "gate_clear_despeckled",
+    clear_chain("gt", 'SELECT scene, trow AS "row", tcol AS "col", round(changed_area_percent, 6) AS changed_area_percent, largest_component_px, gate, gate_reason FROM gt'),
+)
+def gate_clear_despeckled(spark, d):
+    """The ladder over shadow-free cells and the despeckled mask."""
+    got = gate.decide(views.fc(spark, d), CLEAR_GATE)
+    return rounded(got.select(*TILE_KEYS, "changed_area_percent", "largest_component_px", "gate", "gate_reason"))
+
+
 @query("gate_full_kernels")
 def gate_full_kernels(spark, d):
-    """The ladder with structure and components from the kernels instead of stand-ins."""
-    pixels = views.ch(spark, d)
-    features = views.ft(spark, d).drop("ssim", "phash_distance", "largest_component_px")
-    parts = kernels.tile_components(pixels, TILE_KEYS, radius=GATE.open_radius_px, min_size=GATE.min_component_size_px)
-    alike = kernels.tile_similarity(pixels, TILE_KEYS).select(*TILE_KEYS, "ssim", "phash_distance")
-    joined = features.join(parts, TILE_KEYS).join(alike, TILE_KEYS)
-    return gate.decide(joined, GATE).select(*TILE_KEYS, "gate", "gate_reason", "gate_confidence")
+    """The ladder with everything from the kernels: shadow, despeckled change, components, and structure of stretched bands."""
+    pixels = views.mk_clear(spark, d)
+    features = views.fc(spark, d).drop("ssim", "phash_distance")
+    alike = kernels.tile_similarity(views.stretched(pixels), TILE_KEYS).select(*TILE_KEYS, "ssim", "phash_distance")
+    joined = features.join(alike, TILE_KEYS)
+    return gate.decide(joined, CLEAR_GATE).select(*TILE_KEYS, "gate", "gate_reason", "gate_confidence")
 
 
 def _scorer(spark, d, kind: str):

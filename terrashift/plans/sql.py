@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from terrashift.config import GateThresholds, MaskThresholds, QualityThresholds
+from terrashift.operators.kernels import ellipse_rows
 
 # The pixel view's values aren't physical reflectances, so the catalogue runs the operators under thresholds that
 # split them; the shipped values are the defaults of the operators.
@@ -35,6 +38,9 @@ GATE = GateThresholds(
     min_component_size_px=1,
     open_radius_px=0,
 )
+# The same with shadow taken out and the change mask despeckled; the cut is the median, so that regions outlive the opening.
+CLEAR_MASKS = replace(MASKS, shadow_search_radius_px=3)
+CLEAR_GATE = replace(GATE, background_sigma=0.0, cva_magnitude_threshold=0.5, open_radius_px=1, min_component_size_px=6)
 TILE = 8
 
 OBS = """
@@ -58,7 +64,7 @@ def _pair() -> str:
     return f"px AS (SELECT scene, y, x, {cols} FROM obs GROUP BY scene, y, x)"
 
 
-def _masks(m: MaskThresholds) -> str:
+def _masks(m: MaskThresholds, shadow: bool = False) -> str:
     steps = []
     for t in (1, 2):
         bright = f"(blue{t}+green{t}+red{t})/3.0E0"
@@ -71,11 +77,14 @@ def _masks(m: MaskThresholds) -> str:
         coalesce({nd(f'green{t}', f'nir{t}')} > {m.water_ndwi_min} AND nir{t} IS NOT NULL, FALSE) AS water{t},
         coalesce(nir{t} < {m.shadow_nir_max} AND {bright} < {m.shadow_brightness_max}, FALSE) AS dark{t}"""
         )
+    near = " OR ".join(f"(b.y - a.y = {dy} AND abs(b.x - a.x) <= {half})" for dy, half in ellipse_rows(m.shadow_search_radius_px)) if shadow else "FALSE"
+    shaded = ", ".join(f"dark{t} AND EXISTS (SELECT 1 FROM mk0 b WHERE b.scene = a.scene AND b.cloud{t} AND ({near})) AS shadow{t}" for t in (1, 2))
     return f"""
 mk0 AS (SELECT px.*, {', '.join(steps)} FROM px),
-mk AS (SELECT mk0.*, (obs1 AND NOT cloud1 AND NOT snow1) AS valid1, (obs2 AND NOT cloud2 AND NOT snow2) AS valid2,
-         (cloud1 OR cloud2) AS cloud, (snow1 OR snow2) AS snow, (water1 OR water2) AS water, (dark1 OR dark2) AS dark,
-         (obs1 AND NOT cloud1 AND NOT snow1 AND obs2 AND NOT cloud2 AND NOT snow2) AS valid FROM mk0)"""
+mk1 AS (SELECT a.*, {shaded if shadow else 'FALSE AS shadow1, FALSE AS shadow2'} FROM mk0 a),
+mk2 AS (SELECT mk1.*, (obs1 AND NOT cloud1 AND NOT snow1 AND NOT shadow1) AS valid1, (obs2 AND NOT cloud2 AND NOT snow2 AND NOT shadow2) AS valid2 FROM mk1),
+mk AS (SELECT mk2.*, (cloud1 OR cloud2) AS cloud, (snow1 OR snow2) AS snow, (water1 OR water2) AS water, (dark1 OR dark2) AS dark,
+         (shadow1 OR shadow2) AS shadow, (valid1 AND valid2) AS valid FROM mk2)"""
 
 
 DELTAS = f"""
@@ -98,7 +107,7 @@ ch AS (SELECT dl.*, cut.cut, coalesce(magnitude > cut.cut OR cva > {g.cva_magnit
        FROM dl JOIN cut ON dl.scene = cut.scene)"""
 
 
-def _features() -> str:
+def _features(pixels: str = "ch") -> str:
     def z(x: str) -> str:
         return f"coalesce({x}, 0.0E0)"
 
@@ -112,14 +121,14 @@ ft0 AS (SELECT scene, trow, tcol, {means}, {z('avg(cva) FILTER (valid)')} AS cva
           {z('quantile_cont(magnitude, 0.95) FILTER (valid)')} AS magnitude_p95, {z('quantile_cont(magnitude, 0.99) FILTER (valid)')} AS magnitude_p99,
           count(*) FILTER (valid) AS n_valid, CAST(count(*) FILTER (changed) AS INT) AS largest_component_px,
           avg(CASE WHEN cloud THEN 1.0E0 ELSE 0.0E0 END) AS cloud_fraction, avg(CASE WHEN valid THEN 1.0E0 ELSE 0.0E0 END) AS valid_fraction
-        FROM ch GROUP BY scene, trow, tcol),
+        FROM {pixels} GROUP BY scene, trow, tcol),
 ft AS (SELECT ft0.*, ndbi_delta_mean - ndvi_delta_mean AS urbanization_score,
          greatest(0.0E0, 1.0E0 - cva_magnitude_mean) AS ssim, CAST(n_valid % 32 AS INT) AS phash_distance,
          (cloud_fraction <= {QUALITY.cloud_fraction_max} AND valid_fraction >= {QUALITY.min_valid_pixel_fraction}) AS valid_observation,
          CASE WHEN (trow + tcol + scene) % 2 = 0 THEN 1 ELSE 0 END AS label FROM ft0)"""
 
 
-def _gate(g: GateThresholds) -> str:
+def _gate(g: GateThresholds, features: str = "ft") -> str:
     def ramp(v: str, lo: float, hi: float) -> str:
         return f"least(greatest(({v} - {lo!r})/{hi - lo!r}, 0.0E0), 1.0E0)"
 
@@ -137,7 +146,7 @@ def _gate(g: GateThresholds) -> str:
         )
     )
     return f"""
-gt0 AS (SELECT ft.*, CASE
+gt0 AS (SELECT {features}.*, CASE
     WHEN NOT valid_observation THEN 'failed Tier 0 quality checks'
     WHEN ndvi_delta_abs_mean >= {g.ndvi_strong_min} OR ndbi_delta_abs_mean >= {g.ndbi_strong_min} THEN 'strong landcover index change'
     WHEN (ndvi_delta_abs_mean >= {g.ndvi_delta_mean_min} OR ndbi_delta_abs_mean >= {g.ndbi_delta_mean_min}) AND {area}
@@ -149,7 +158,7 @@ gt0 AS (SELECT ft.*, CASE
       THEN 'structural break with multi-band change vector'
     WHEN ndwi_delta_abs_mean >= {g.ndwi_delta_mean_min} AND {area} THEN 'water extent change over a large area'
     ELSE 'insufficient change evidence' END AS gate_reason,
-    CASE WHEN valid_observation THEN round(least(greatest({confidence}, 0.0E0), 1.0E0), 4) ELSE 0.0E0 END AS gate_confidence FROM ft),
+    CASE WHEN valid_observation THEN round(least(greatest({confidence}, 0.0E0), 1.0E0), 4) ELSE 0.0E0 END AS gate_confidence FROM {features}),
 gt AS (SELECT gt0.*, CASE gate_reason WHEN 'failed Tier 0 quality checks' THEN 'low_quality' WHEN 'insufficient change evidence' THEN 'no_change'
          ELSE 'candidate_change' END AS gate FROM gt0)"""
 
@@ -163,6 +172,50 @@ def chain(last: str, body: str, *more: str) -> str:
     return "WITH " + ",\n".join([*_CHAIN[: _UP_TO[last]], *more]) + "\n" + body
 
 
+# Opening by a cross within a tile's frame, beyond which everything counts as set; then small components go.
+OPENED = """
+fr AS (SELECT scene, trow, tcol, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM ch GROUP BY 1, 2, 3),
+gd AS (SELECT f.*, CAST(a.v AS INT) AS y, CAST(b.v AS INT) AS x FROM fr f, unnest(range(y0, y1 + 1)) a(v), unnest(range(x0, x1 + 1)) b(v)),
+st AS (SELECT scene, trow, tcol, y, x FROM ch WHERE changed),
+di(dy, dx) AS (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)),
+er AS (SELECT g.scene, g.trow, g.tcol, g.y, g.x FROM gd g, di
+         LEFT JOIN st ON st.scene = g.scene AND st.trow = g.trow AND st.tcol = g.tcol AND st.y = g.y + di.dy AND st.x = g.x + di.dx
+       GROUP BY 1, 2, 3, 4, 5
+       HAVING bool_and(st.y IS NOT NULL OR g.y + di.dy < g.y0 OR g.y + di.dy > g.y1 OR g.x + di.dx < g.x0 OR g.x + di.dx > g.x1)),
+dt AS (SELECT DISTINCT scene, trow, tcol, y + dy AS y, x + dx AS x FROM er, di),
+op AS (SELECT ch.* EXCLUDE (changed), dt.y IS NOT NULL AS changed FROM ch LEFT JOIN dt ON dt.scene = ch.scene AND dt.trow = ch.trow AND dt.tcol = ch.tcol
+         AND dt.y = ch.y AND dt.x = ch.x)"""
+
+
+def components(pixels: str) -> str:
+    """m: each changed pixel of a tile with the root of its 8-connected component; s: the components' sizes."""
+    return f"""
+e AS (SELECT scene, trow, tcol, y, x, y*32 + x AS id FROM {pixels} WHERE changed),
+n AS (SELECT a.scene, a.trow, a.tcol, a.id AS a, b.id AS b FROM e a JOIN e b ON a.scene = b.scene AND a.trow = b.trow AND a.tcol = b.tcol
+        AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+c AS (SELECT scene, trow, tcol, id, id AS root FROM e UNION SELECT c.scene, c.trow, c.tcol, n.b, c.root FROM c JOIN n ON c.scene = n.scene AND c.trow = n.trow
+        AND c.tcol = n.tcol AND c.id = n.a WHERE c.root < n.b),
+m AS (SELECT scene, trow, tcol, id, min(root) AS root FROM c GROUP BY 1, 2, 3, 4),
+s AS (SELECT scene, trow, tcol, root, count(*) AS px FROM m GROUP BY 1, 2, 3, 4)"""
+
+
+_KEPT = f"""
+cl AS (SELECT op.* EXCLUDE (changed), coalesce(s.px >= {CLEAR_GATE.min_component_size_px}, FALSE) AS changed FROM op
+       LEFT JOIN m ON m.scene = op.scene AND m.trow = op.trow AND m.tcol = op.tcol AND m.id = op.y*32 + op.x
+       LEFT JOIN s ON s.scene = m.scene AND s.trow = m.trow AND s.tcol = m.tcol AND s.root = m.root)"""
+_LARGEST = f"""
+big AS (SELECT scene, trow, tcol, CAST(max(px) AS INT) AS px FROM s WHERE px >= {CLEAR_GATE.min_component_size_px} GROUP BY 1, 2, 3),
+fc AS (SELECT ft.* EXCLUDE (largest_component_px), coalesce(big.px, 0) AS largest_component_px FROM ft
+       LEFT JOIN big ON big.scene = ft.scene AND big.trow = ft.trow AND big.tcol = ft.tcol)"""
+_CLEAR = [OBS, _pair(), _masks(CLEAR_MASKS, True), DELTAS, _cut(CLEAR_GATE), OPENED, components("op"), _KEPT, _features("cl"), _LARGEST, _gate(CLEAR_GATE, "fc")]
+_CLEAR_UP_TO = _UP_TO | {"op": 6, "cl": 8, "fc": 10, "gt": 11}
+
+
+def clear_chain(last: str, body: str) -> str:
+    """As ``chain``, with shadow taken out of the valid cells and the change mask opened (op) and despeckled (cl)."""
+    return "WITH RECURSIVE " + ",\n".join(_CLEAR[: _CLEAR_UP_TO[last]]) + "\n" + body
+
+
 def wilson(k: str, n: str) -> tuple[str, str]:
     z = "1.959963984540054E0"
     p = f"(CAST({k} AS DOUBLE)/CAST({n} AS DOUBLE))"

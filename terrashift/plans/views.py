@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashift.operators import gate, scene, tiles
-from terrashift.plans.sql import GATE, MASKS, QUALITY, TILE
+from terrashift.functions import indices as ix
+from terrashift.operators import gate, kernels, scene, tiles
+from terrashift.plans.sql import CLEAR_GATE, CLEAR_MASKS, GATE, MASKS, QUALITY, TILE
 from terrashift.sources.pixels import observations, pair_dates, table
 
 Spark = SparkSession
@@ -32,7 +33,10 @@ def ch(spark: Spark, d: str) -> DataFrame:
 
 def ft(spark: Spark, d: str) -> DataFrame:
     """Tile features; structure and component size are stand-ins that SQL can compute too."""
-    pixels = ch(spark, d)
+    return _features(ch(spark, d))
+
+
+def _features(pixels: DataFrame) -> DataFrame:
     got = scene.tile_features(pixels, TILE_KEYS)
     more = pixels.groupBy(*TILE_KEYS).agg(
         F.count_if("changed").cast("int").alias("largest_component_px"),
@@ -50,6 +54,39 @@ def ft(spark: Spark, d: str) -> DataFrame:
     )
 
 
+def mk_clear(spark: Spark, d: str) -> DataFrame:
+    """The masks with shadow taken out of the valid cells."""
+    return scene.combined(scene.with_shadow(scene.masks(px(spark, d), CLEAR_MASKS), CLEAR_MASKS.shadow_search_radius_px))
+
+
+def cr(spark: Spark, d: str) -> DataFrame:
+    """Changed cells of shadow-free scenes."""
+    pixels = scene.with_magnitude(scene.deltas(mk_clear(spark, d)))
+    return tiles.assign(scene.raw_change(pixels, scene.scene_cut(pixels, CLEAR_GATE), CLEAR_GATE), TILE)
+
+
+def cl(spark: Spark, d: str) -> DataFrame:
+    """The same, despeckled within their tiles."""
+    pixels = cr(spark, d)
+    carry = ["valid", "cloud", "magnitude", "cva", "d_ndvi", "d_ndbi", "d_ndwi"]
+    return kernels.cleaned(pixels, TILE_KEYS, radius=CLEAR_GATE.open_radius_px, min_size=CLEAR_GATE.min_component_size_px, carry=carry)
+
+
+def fc(spark: Spark, d: str) -> DataFrame:
+    """Tile features of the despeckled mask, its largest component among them."""
+    pixels = cl(spark, d)
+    parts = kernels.tile_components(pixels, TILE_KEYS, radius=0, min_size=1).select(*TILE_KEYS, "largest_component_px")
+    return _features(pixels).drop("largest_component_px").join(parts, TILE_KEYS)
+
+
+def stretched(pixels: DataFrame) -> DataFrame:
+    """Tiles of the display bands, both dates stretched together by their scene's 2nd and 98th percentile."""
+    names = [f"{b}{t}" for b in ("red", "green", "blue") for t in (1, 2)]
+    span = F.greatest(F.col("high") - F.col("low"), F.lit(1e-6))
+    scaled = {c: ix.clip((F.col(c) - F.col("low")) / span, 0.0, 1.0) for c in names}
+    return tiles.assign(pixels.join(scene.joint_stretch(pixels), "scene").withColumns(scaled), TILE)
+
+
 def gt(spark: Spark, d: str) -> DataFrame:
     return gate.decide(ft(spark, d), GATE)
 

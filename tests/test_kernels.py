@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrashift.operators import kernels as k
+from terrashift.operators import scene
 
 
 def flood(mask):
@@ -108,3 +110,15 @@ def test_bilinear_keeps_a_plane_and_identity():
     assert np.allclose(half, 2 * (2 * np.mgrid[0:4, 0:4][0] + 0.5) + 3 * (2 * np.mgrid[0:4, 0:4][1] + 0.5))
     assert np.allclose(k.subpixel_shift(plane, 0, 0), plane)
     assert (k.nearest(plane, 8, 8) == plane).all()
+
+
+@pytest.mark.parametrize("radius", [0, 1, 4])
+def test_shadow_by_running_maxima_equals_the_kernel(spark, radius):
+    rng = np.random.default_rng(radius)
+    grid = [(s, y, x, *(bool(rng.random() < p) for p in (0.4, 0.03, 0.3, 0.02))) for s in (1, 2) for y in range(25) for x in range(30) if rng.random() < 0.95]
+    cells = spark.createDataFrame(grid, "scene int, y int, x int, dark1 boolean, cloud1 boolean, dark2 boolean, cloud2 boolean").withColumns({"valid1": F.lit(True), "valid2": F.lit(True)})
+    got = scene.with_shadow(cells, radius).toPandas().set_index(["scene", "y", "x"]).sort_index()
+    assert len(got) == len(grid) and (got.valid1 == ~got.shadow1).all() and (got.valid2 == ~got.shadow2).all()
+    for t in (1, 2):
+        want = k.scene_shadow(cells, t, radius).toPandas().set_index(["scene", "y", "x"]).sort_index()
+        assert (got[f"shadow{t}"] == want.shadow).all() and (radius == 0 or want.shadow.any())
