@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,34 +16,55 @@ INSUFFICIENT = "insufficient change evidence"
 RGB_ONLY_MISSING = ["ndvi", "ndbi", "ndwi", "cva"]
 
 
-def evidence(g: GateThresholds) -> dict[str, Column]:
-    """The terms that the rules are made of."""
-
-    def c(name: str) -> Column:
-        return F.col(name)
-
-    return {
-        "strong": (c("ndvi_delta_abs_mean") >= g.ndvi_strong_min) | (c("ndbi_delta_abs_mean") >= g.ndbi_strong_min),
-        "moderate": (c("ndvi_delta_abs_mean") >= g.ndvi_delta_mean_min) | (c("ndbi_delta_abs_mean") >= g.ndbi_delta_mean_min),
-        "water": c("ndwi_delta_abs_mean") >= g.ndwi_delta_mean_min,
-        "area": c("changed_area_percent") >= g.min_changed_area_percent,
-        "structural": (c("ssim") < g.ssim_no_change_min) | (c("phash_distance") > g.phash_no_change_max),
-        "vector": c("cva_magnitude_mean") >= g.cva_magnitude_mean_min,
-        "urban": c("urbanization_score") >= g.urbanization_score_min,
-        "dense": (c("magnitude_p95") >= g.magnitude_p95_min) & (c("largest_component_px") >= g.min_largest_component_px),
-    }
-
-
-def rules(g: GateThresholds) -> list[tuple[Column, str]]:
-    """(condition, reason) in order; the reasons are fixed values that reports are keyed by."""
-    e = evidence(g)
+def holds(name: str, value: float) -> Column:
+    """The one condition that a threshold decides."""
+    column, sign = {
+        "ndvi_strong_min": ("ndvi_delta_abs_mean", ">="),
+        "ndbi_strong_min": ("ndbi_delta_abs_mean", ">="),
+        "ndvi_delta_mean_min": ("ndvi_delta_abs_mean", ">="),
+        "ndbi_delta_mean_min": ("ndbi_delta_abs_mean", ">="),
+        "ndwi_delta_mean_min": ("ndwi_delta_abs_mean", ">="),
+        "min_changed_area_percent": ("changed_area_percent", ">="),
+        "ssim_no_change_min": ("ssim", "<"),
+        "phash_no_change_max": ("phash_distance", ">"),
+        "cva_magnitude_mean_min": ("cva_magnitude_mean", ">="),
+        "urbanization_score_min": ("urbanization_score", ">="),
+        "magnitude_p95_min": ("magnitude_p95", ">="),
+        "min_largest_component_px": ("largest_component_px", ">="),
+    }[name]
+    c, v = F.col(column), F.lit(value)
+    return c >= v if sign == ">=" else c > v if sign == ">" else c < v
+
+
+# The thresholds that only alter the decision: they may be swept over the same features.
+DECIDING = (
+    "ndvi_strong_min",
+    "ndbi_strong_min",
+    "ndvi_delta_mean_min",
+    "ndbi_delta_mean_min",
+    "ndwi_delta_mean_min",
+    "min_changed_area_percent",
+    "ssim_no_change_min",
+    "phash_no_change_max",
+    "cva_magnitude_mean_min",
+    "urbanization_score_min",
+    "magnitude_p95_min",
+    "min_largest_component_px",
+)
+
+
+def rules(met: Callable[[str], Column]) -> list[tuple[Column, str]]:
+    """(condition, reason) in order, from ``met(threshold)``; the reasons are fixed values that reports are keyed by."""
+    area = met("min_changed_area_percent")
+    moderate = met("ndvi_delta_mean_min") | met("ndbi_delta_mean_min")
+    structural = met("ssim_no_change_min") | met("phash_no_change_max")
     return [
-        (e["strong"], "strong landcover index change"),
-        (e["moderate"] & e["area"], "moderate landcover change over a large area"),
-        (e["urban"] & e["area"], "built-up gain with vegetation loss"),
-        (e["dense"], "concentrated high-magnitude change region"),
-        (e["area"] & e["structural"] & e["vector"], "structural break with multi-band change vector"),
-        (e["water"] & e["area"], "water extent change over a large area"),
+        (met("ndvi_strong_min") | met("ndbi_strong_min"), "strong landcover index change"),
+        (moderate & area, "moderate landcover change over a large area"),
+        (met("urbanization_score_min") & area, "built-up gain with vegetation loss"),
+        (met("magnitude_p95_min") & met("min_largest_component_px"), "concentrated high-magnitude change region"),
+        (area & structural & met("cva_magnitude_mean_min"), "structural break with multi-band change vector"),
+        (met("ndwi_delta_mean_min") & area, "water extent change over a large area"),
     ]
 
 
@@ -65,7 +88,7 @@ def decide(features: DataFrame, g: GateThresholds | None = None) -> DataFrame:
     """``features`` with gate, gate_reason and gate_confidence (4 decimals); a projection."""
     g = g or GateThresholds()
     reason = F.when(~F.col("valid_observation"), REFUSED)
-    for condition, text in rules(g):
+    for condition, text in rules(lambda name: holds(name, getattr(g, name))):
         reason = reason.when(condition, text)
     reason = reason.otherwise(INSUFFICIENT)
     gate = F.when(F.col("gate_reason") == REFUSED, LOW_QUALITY).when(F.col("gate_reason") == INSUFFICIENT, NO_CHANGE).otherwise(CANDIDATE)

@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrashift.config import GateThresholds
+from terrashift.config import MASK_CHANGING, GateThresholds
 from terrashift.functions import stats
 from terrashift.operators import gate as gates
 
 GRID_STEPS = 200  # fixed value: thresholds 0, 1/200, ..., 1
 
+# The axes that are swept by default.
+SWEEP_AXES: dict[str, list[float]] = {
+    "background_sigma": [2.0, 3.0, 4.5, 6.0],
+    "min_changed_area_percent": [2.0, 5.0, 10.0, 20.0, 35.0],
+    "ndvi_strong_min": [0.04, 0.08, 0.14, 0.25],
+    "ndbi_strong_min": [0.04, 0.08, 0.14, 0.25],
+    "ndvi_delta_mean_min": [0.02, 0.05, 0.10],
+    "ndbi_delta_mean_min": [0.02, 0.05, 0.10],
+    "urbanization_score_min": [0.05, 0.10, 0.20],
+}
+
 
 def _grid(steps: int = GRID_STEPS):
     return F.explode(F.sequence(F.lit(0), F.lit(steps)))
@@ -91,29 +105,63 @@ def split_groups(names: list[str], share: float = 0.3, seed: int = 42) -> tuple[
 def sweep(features: DataFrame, grid: list[dict[str, float]], base: GateThresholds | None = None, truth: str = "label") -> DataFrame:
     """combo (its place in ``grid``), counts and balanced accuracy of every combination, best first, the first on a tie.
 
-    The features are read once: each row makes one array of its decisions
-    under all combinations, and the counts are summed by combination before
-    the shuffle, so the grid costs expressions and not a cross join.
+    A tile's decision depends only on which values of each swept threshold it
+    meets. Tiles are counted by label and these answers first; there are no more
+    such cells than combinations of answers, however many tiles there are. The
+    stated grid then meets the cells and never the tiles. Thresholds that change
+    the mask are refused: ``sweep_masks`` makes the features again for those.
     """
-    from dataclasses import replace
+    base = base or GateThresholds()
+    names = sorted({n for values in grid for n in values})
+    if other := set(names) - set(gates.DECIDING):
+        raise ValueError(f"can't be swept over given features: {sorted(other)}")
+    axes = {n: sorted({values.get(n, getattr(base, n)) for values in grid}) for n in names}
+    met = {n: F.array(*(F.coalesce(gates.holds(n, v), F.lit(False)) for v in axes.get(n, [getattr(base, n)]))) for n in gates.DECIDING}
+    cells = features.where("valid_observation").groupBy(F.col(truth).alias("y"), *(c.alias(f"met_{n}") for n, c in met.items())).agg(F.count(F.lit(1)).alias("n"))
+    places = [(k, *(axes[n].index(values.get(n, getattr(base, n))) for n in names)) for k, values in enumerate(grid)]
+    combos = features.sparkSession.createDataFrame(places, ", ".join(["combo int", *(f"at_{n} int" for n in names)]))
+    hit = F.lit(False)
+    for condition, _ in gates.rules(lambda n: F.get(f"met_{n}", F.col(f"at_{n}") if n in axes else F.lit(0))):
+        hit = hit | condition
+    judged = cells.crossJoin(combos).select("combo", "y", "n", hit.alias("hit"))
+    of = {"tp": "y = 1 and hit", "fp": "y = 0 and hit", "fn": "y = 1 and not hit", "tn": "y = 0 and not hit"}
+    got = judged.groupBy("combo").agg(*(F.expr(f"coalesce(sum(n) filter (where {k}), 0)").alias(c) for c, k in of.items()))
+    got = combos.select("combo").join(got, "combo", "left").na.fill(0, list(of))  # a row for each combination even without tiles
+    score = F.coalesce(stats.balanced_accuracy(*(F.col(c) for c in of)), F.lit(0.0))
+    return got.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "combo")
 
+
+def sweep_masks(
+    features_of: Callable[[GateThresholds], DataFrame], axes: dict[str, list[float]], base: GateThresholds | None = None, truth: str = "label"
+) -> DataFrame:
+    """As ``sweep`` over the product of ``axes``, the features made anew for each value of a threshold that changes the mask.
+
+    Those axes are the outer ones, so combinations are numbered with them first.
+    """
     base = base or GateThresholds()
-    flags = []
-    for k, values in enumerate(grid):
+    outer = product_grid({n: v for n, v in axes.items() if n in MASK_CHANGING})
+    inner = product_grid({n: v for n, v in axes.items() if n not in MASK_CHANGING})
+    parts = []
+    for k, values in enumerate(outer):
         g = replace(base, **values)
-        hit = F.lit(False)
-        for condition, _ in gates.rules(g):
-            hit = hit | condition
-        flags.append(F.struct(F.lit(k).alias("combo"), F.coalesce(hit, F.lit(False)).alias("hit")))
-    rows = features.where("valid_observation").select(F.col(truth).alias("y"), F.inline(F.array(*flags)))
-    got = rows.groupBy("combo").agg(
-        F.count_if((F.col("y") == 1) & F.col("hit")).alias("tp"),
-        F.count_if((F.col("y") == 0) & F.col("hit")).alias("fp"),
-        F.count_if((F.col("y") == 1) & ~F.col("hit")).alias("fn"),
-        F.count_if((F.col("y") == 0) & ~F.col("hit")).alias("tn"),
-    )
-    score = F.coalesce(stats.balanced_accuracy(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))), F.lit(0.0))
-    return got.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "combo")
+        parts.append(sweep(features_of(g), inner, g, truth).withColumn("combo", F.col("combo") + k * len(inner)))
+    return reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "combo")
+
+
+def best_and_baseline(
+    features_of: Callable[[GateThresholds], DataFrame], axes: dict[str, list[float]], base: GateThresholds | None = None, truth: str = "label"
+) -> DataFrame:
+    """Two rows, ``best`` and ``baseline``: the swept thresholds, counts, score, and how many combinations were tried."""
+    base = base or GateThresholds()
+    outer = {n: v for n, v in axes.items() if n in MASK_CHANGING}
+    ordered = {**outer, **{n: v for n, v in axes.items() if n not in MASK_CHANGING}}
+    names = list(ordered)
+    tried = product_grid(ordered)
+    known = features_of(base).sparkSession.createDataFrame([(k, *(float(v[n]) for n in names)) for k, v in enumerate(tried)], ", ".join(["combo int", *(f"{n} double" for n in names)]))
+    best = sweep_masks(features_of, axes, base, truth).limit(1).join(known, "combo").withColumn("which", F.lit("best"))
+    held = sweep(features_of(base), [{}], base, truth).withColumns({"which": F.lit("baseline"), **{n: F.lit(float(getattr(base, n))) for n in names}})
+    columns = ["which", *names, "tp", "fp", "fn", "tn", "score"]
+    return best.select(*columns).unionByName(held.select(*columns)).withColumn("n_evaluated", F.lit(len(tried)))
 
 
 def product_grid(axes: dict[str, list[float]]) -> list[dict[str, float]]:

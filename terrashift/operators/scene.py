@@ -133,8 +133,8 @@ def valid_observation(scenes: DataFrame, q: QualityThresholds | None = None) ->
     return scenes.withColumn("valid_observation", registered & F.when(F.col("assessed"), clear).otherwise(F.lit(True)))
 
 
-def tile_features(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Means, signed percentiles, tails and changed area of each tile in one aggregation."""
+def tile_features(pixels: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """Means, signed percentiles, tails and changed area of each tile in one aggregation, with ``more`` aggregates of the caller's."""
 
     def over(c: str) -> Column:
         return F.when(F.col("valid") & ix.finite(F.col(c)), F.col(c))
@@ -153,7 +153,7 @@ def tile_features(pixels: DataFrame, keys: list[str]) -> DataFrame:
         "magnitude_p95": or_zero(F.percentile(over("magnitude"), 0.95)),
         "magnitude_p99": or_zero(F.percentile(over("magnitude"), 0.99)),
         "n_valid": n,
-    }
+    } | (more or {})
     got = pixels.groupBy(*keys).agg(*(v.alias(k) for k, v in agg.items()))
     return got.withColumn("urbanization_score", F.col("ndbi_delta_mean") - F.col("ndvi_delta_mean"))
 

@@ -9,7 +9,7 @@ from terrashift.functions import stats
 from terrashift.operators import cost, metrics, risk, selection
 from terrashift.plans import views
 from terrashift.plans.registry import query
-from terrashift.plans.sql import GATE, SCORED, chain, wilson
+from terrashift.plans.sql import GATE, SCORED, baseline_gate, chain, swept_features, wilson
 from terrashift.plans.views import rounded, table
 
 _C = """CAST(count(*) FILTER (label = 1 AND score >= 0.5E0) AS BIGINT) AS tp, CAST(count(*) FILTER (label = 0 AND score >= 0.5E0) AS BIGINT) AS fp,
@@ -341,32 +341,70 @@ def split_calibration(spark, d):
     return spark.createDataFrame([(c, "calibration") for c in cal] + [(c, "fit") for c in fit], "city string, side string")
 
 
-_AXES = {"ndvi_strong_min": [0.26, 0.3, 0.34], "min_changed_area_percent": [2.0, 6.0], "urbanization_score_min": [0.02, 0.06]}
-_GRID = risk.product_grid(_AXES)
+# The default axes in number and length, at values that split these tables.
+_AXES = {
+    "background_sigma": [0.0, 0.5, 1.0, 2.0],
+    "min_changed_area_percent": [2.0, 4.0, 6.0, 10.0, 20.0],
+    "ndvi_strong_min": [0.26, 0.28, 0.3, 0.34],
+    "ndbi_strong_min": [0.26, 0.28, 0.3, 0.34],
+    "ndvi_delta_mean_min": [0.2, 0.22, 0.24],
+    "ndbi_delta_mean_min": [0.2, 0.22, 0.24],
+    "urbanization_score_min": [0.02, 0.06, 0.1],
+}
 
 
-def _sweep_sql() -> str:
-    rows = ", ".join(f"({k}, {g['ndvi_strong_min']}E0, {g['min_changed_area_percent']}E0, {g['urbanization_score_min']}E0)" for k, g in enumerate(_GRID))
+def _sweep_sql(body: str) -> str:
     g = GATE
-    hit = f"""(ndvi_delta_abs_mean >= s OR ndbi_delta_abs_mean >= {g.ndbi_strong_min}
-      OR ((ndvi_delta_abs_mean >= {g.ndvi_delta_mean_min} OR ndbi_delta_abs_mean >= {g.ndbi_delta_mean_min}) AND changed_area_percent >= a)
-      OR (urbanization_score >= u AND changed_area_percent >= a)
+    axes = list(_AXES.items())[1:]
+    grid = ", ".join(f"(VALUES {', '.join(f'({i}, {v}E0)' for i, v in enumerate(values))}) a{k}(i{k}, v{k})" for k, (_, values) in enumerate(axes, 1))
+    combo = "i0"
+    for k, (_, values) in enumerate(axes, 1):
+        combo = f"({combo})*{len(values)} + i{k}"
+    hit = f"""(ndvi_delta_abs_mean >= v2 OR ndbi_delta_abs_mean >= v3
+      OR ((ndvi_delta_abs_mean >= v4 OR ndbi_delta_abs_mean >= v5) AND changed_area_percent >= v1)
+      OR (urbanization_score >= v6 AND changed_area_percent >= v1)
       OR (magnitude_p95 >= {g.magnitude_p95_min} AND largest_component_px >= {g.min_largest_component_px})
-      OR (changed_area_percent >= a AND (ssim < {g.ssim_no_change_min} OR phash_distance > {g.phash_no_change_max}) AND cva_magnitude_mean >= {g.cva_magnitude_mean_min})
-      OR (ndwi_delta_abs_mean >= {g.ndwi_delta_mean_min} AND changed_area_percent >= a))"""
+      OR (changed_area_percent >= v1 AND (ssim < {g.ssim_no_change_min} OR phash_distance > {g.phash_no_change_max}) AND cva_magnitude_mean >= {g.cva_magnitude_mean_min})
+      OR (ndwi_delta_abs_mean >= {g.ndwi_delta_mean_min} AND changed_area_percent >= v1))"""
+    tally = """CAST(count(*) FILTER (label = 1 AND hit) AS BIGINT) AS tp, CAST(count(*) FILTER (label = 0 AND hit) AS BIGINT) AS fp,
+      CAST(count(*) FILTER (label = 1 AND NOT hit) AS BIGINT) AS fn, CAST(count(*) FILTER (label = 0 AND NOT hit) AS BIGINT) AS tn"""
+    score = """round(CASE WHEN tn + fp > 0 THEN (CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE)/(tp + fn) ELSE 0.0E0 END + CAST(tn AS DOUBLE)/(tn + fp))/2.0E0
+        ELSE 0.0E0 END, 6) AS score"""
     return chain(
-        "ft",
-        """SELECT combo, tp, fp, fn, tn, round(CASE WHEN tn + fp > 0 THEN (CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE)/(tp + fn) ELSE 0.0E0 END + CAST(tn AS DOUBLE)/(tn + fp))/2.0E0
-        ELSE 0.0E0 END, 6) AS score FROM sw""",
-        f"""sw AS (SELECT CAST(combo AS INT) AS combo, count(*) FILTER (label = 1 AND {hit}) AS tp, count(*) FILTER (label = 0 AND {hit}) AS fp,
-          count(*) FILTER (label = 1 AND NOT {hit}) AS fn, count(*) FILTER (label = 0 AND NOT {hit}) AS tn
-          FROM ft, (VALUES {rows}) g(combo, s, a, u) WHERE valid_observation GROUP BY combo)""",
+        "dl",
+        body,
+        swept_features(_AXES["background_sigma"]),
+        f"gr AS (SELECT * FROM (SELECT CAST(range AS INT) AS i0 FROM range(0, {len(_AXES['background_sigma'])})), {grid})",
+        f"jd AS (SELECT CAST({combo.replace('i0', 'gr.i0')} AS INT) AS combo, label, {hit} AS hit FROM gr LEFT JOIN fs ON fs.i0 = gr.i0 AND valid_observation)",
+        f"sw AS (SELECT combo, tp, fp, fn, tn, {score} FROM (SELECT combo, {tally} FROM jd GROUP BY combo))",
+        f"""bl AS (SELECT tp, fp, fn, tn, {score} FROM (SELECT {tally} FROM (SELECT label, gate = 'candidate_change' AS hit FROM
+          (WITH {baseline_gate()} SELECT label, gate FROM gt WHERE valid_observation))))""",
     )
 
 
-@query("sweep_argmax", _sweep_sql())
+def _best_sql() -> str:
+    names = list(_AXES)
+    at, left = {}, "combo"
+    for n in reversed(names):
+        values = _AXES[n]
+        at[n] = f"[{', '.join(f'{v}E0' for v in values)}][{left} % {len(values)} + 1]"
+        left = f"({left} // {len(values)})"
+    best = ", ".join(f"{at[n]} AS {n}" for n in names)
+    held = ", ".join(f"CAST({getattr(GATE, n)} AS DOUBLE) AS {n}" for n in names)
+    return _sweep_sql(
+        f"""SELECT 'best' AS which, {best}, tp, fp, fn, tn, score, 8640 AS n_evaluated FROM (SELECT * FROM sw ORDER BY score DESC, combo LIMIT 1)
+        UNION ALL SELECT 'baseline', {held}, tp, fp, fn, tn, score, 8640 FROM bl"""
+    )
+
+
+@query("sweep_argmax", _sweep_sql("SELECT combo, tp, fp, fn, tn, score FROM sw"))
 def sweep_argmax(spark, d):
-    return risk.sweep(views.ft(spark, d), _GRID, GATE)
+    return risk.sweep_masks(lambda g: views.ft(spark, d, g), _AXES, GATE)
+
+
+@query("sweep_best", _best_sql())
+def sweep_best(spark, d):
+    return risk.best_and_baseline(lambda g: views.ft(spark, d, g), _AXES, GATE)
 
 
 @query("stat_hoeffding_bound", """SELECT r_regionkey AS k, round(least(1.0E0, r_regionkey/10.0E0 + sqrt(ln(10.0E0)/(2.0E0*(r_regionkey*10 + 5)))), 6) AS bound FROM region""")

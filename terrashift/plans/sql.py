@@ -172,6 +172,19 @@ def chain(last: str, body: str, *more: str) -> str:
     return "WITH " + ",\n".join([*_CHAIN[: _UP_TO[last]], *more]) + "\n" + body
 
 
+def swept_features(sigmas: list[float]) -> str:
+    """fs: the tile features under each background sigma, with its place in the list."""
+    parts = (
+        f"SELECT * FROM (WITH {_cut(replace(GATE, background_sigma=s))},\n{_features()} SELECT {k} AS i0, ft.* FROM ft)" for k, s in enumerate(sigmas)
+    )
+    return "fs AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+def baseline_gate() -> str:
+    """The views from the cut to the ladder, for use over ``dl``."""
+    return ",\n".join([_cut(GATE), _features(), _gate(GATE)])
+
+
 # Opening by a cross within a tile's frame, beyond which everything counts as set; then small components go.
 OPENED = """
 fr AS (SELECT scene, trow, tcol, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM ch GROUP BY 1, 2, 3),

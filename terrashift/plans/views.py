@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrashift.config import GateThresholds
 from terrashift.functions import indices as ix
 from terrashift.operators import gate, kernels, scene, tiles
 from terrashift.plans.sql import CLEAR_GATE, CLEAR_MASKS, GATE, MASKS, QUALITY, TILE
@@ -26,25 +27,25 @@ def dl(spark: Spark, d: str) -> DataFrame:
     return scene.with_magnitude(scene.deltas(mk(spark, d)))
 
 
-def ch(spark: Spark, d: str) -> DataFrame:
+def ch(spark: Spark, d: str, g: GateThresholds = GATE) -> DataFrame:
     pixels = dl(spark, d)
-    return tiles.assign(scene.raw_change(pixels, scene.scene_cut(pixels, GATE), GATE), TILE)
+    return tiles.assign(scene.raw_change(pixels, scene.scene_cut(pixels, g), g), TILE)
 
 
-def ft(spark: Spark, d: str) -> DataFrame:
+def ft(spark: Spark, d: str, g: GateThresholds = GATE) -> DataFrame:
     """Tile features; structure and component size are stand-ins that SQL can compute too."""
-    return _features(ch(spark, d))
+    return _features(ch(spark, d, g))
 
 
 def _features(pixels: DataFrame) -> DataFrame:
-    got = scene.tile_features(pixels, TILE_KEYS)
-    more = pixels.groupBy(*TILE_KEYS).agg(
-        F.count_if("changed").cast("int").alias("largest_component_px"),
-        F.avg(F.col("cloud").cast("double")).alias("cloud_fraction"),
-        F.avg(F.col("valid").cast("double")).alias("valid_fraction"),
-    )
+    more = {
+        "largest_component_px": F.count_if("changed").cast("int"),
+        "cloud_fraction": F.avg(F.col("cloud").cast("double")),
+        "valid_fraction": F.avg(F.col("valid").cast("double")),
+    }
+    got = scene.tile_features(pixels, TILE_KEYS, more)
     clear = (F.col("cloud_fraction") <= QUALITY.cloud_fraction_max) & (F.col("valid_fraction") >= QUALITY.min_valid_pixel_fraction)
-    return got.join(more, TILE_KEYS).withColumns(
+    return got.withColumns(
         {
             "ssim": F.greatest(F.lit(0.0), 1.0 - F.col("cva_magnitude_mean")),
             "phash_distance": (F.col("n_valid") % 32).cast("int"),

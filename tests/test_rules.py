@@ -153,6 +153,27 @@ def test_sweep_takes_the_first_of_equals(spark):
     assert best.combo == 0 and best.score == 1.0
 
 
+def test_sweep_equals_the_ladder_under_every_combination(spark):
+    values = [FEATURE | {"ndvi_delta_abs_mean": k / 40, "changed_area_percent": k % 7 * 1.0, "urbanization_score": k % 5 / 20, "label": k % 3 % 2, "valid_observation": k % 11 > 0} for k in range(60)]
+    df = rows(spark, values)
+    grid = risk.product_grid({"ndvi_strong_min": [0.3, 1.1], "min_changed_area_percent": [1.0, 5.0], "ndbi_strong_min": [0.9], "urbanization_score_min": [0.05, 0.2]})
+    got = {r.combo: (r.tp, r.fp, r.fn, r.tn) for r in risk.sweep(df, grid).collect()}
+    assert len(got) == len(grid) == 8
+    for k, changed in enumerate(grid):
+        judged = gate.decide(df, GateThresholds(**changed)).where("valid_observation")
+        c = metrics.counts(judged, F.col("label"), F.col("gate") == "candidate_change").first()
+        assert got[k] == (c.tp, c.fp, c.fn, c.tn)
+
+
+def test_sweep_refuses_what_changes_the_mask(spark):
+    with pytest.raises(ValueError, match="background_sigma"):
+        risk.sweep(rows(spark, [FEATURE | {"label": 1}]), [{"background_sigma": 3.0}])
+
+
+def test_default_sweep_has_its_full_size():
+    assert len(risk.product_grid(risk.SWEEP_AXES)) == 8640
+
+
 def scenes():
     """Two 64 x 64 scenes: one with vegetation turned into buildings, one unchanged."""
     rng = np.random.default_rng(20260810)
