@@ -39,25 +39,37 @@ def derived(confusion: DataFrame, digits: int = 6) -> DataFrame:
 def distinct_scores(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """score, p and n: positives and negatives at each distinct score.
 
-    What follows is on distinct scores (rounded in every report), not rows;
-    its running sums are the only global order that is needed.
+    What follows is on distinct scores, not rows.
     """
     return rows.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n")
     )
 
 
+SLICES = 200
+
+
+def running_down(points: DataFrame, sums: dict[str, str], by: str = "score") -> DataFrame:
+    """``points`` with running sums (new name: summed column) from the highest ``by`` down.
+
+    Points are dealt into slices at approximate quantiles. Each slice is summed
+    on its own and starts at the sum of those above it, so only the slices' own
+    totals, at most 201 rows, ever meet in one task. Slices only deal the work:
+    the sums are exact wherever the cuts fall.
+    """
+    cuts = points.agg(F.percentile_approx(by, [k / SLICES for k in range(1, SLICES)], 10000).alias("_cuts"))
+    at = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(by))), F.lit(0))
+    placed = points.crossJoin(cuts).withColumn("_slice", at).drop("_cuts")
+    totals = placed.groupBy("_slice").agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    before = W.orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    above = totals.select("_slice", *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums))
+    within = W.partitionBy("_slice").orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return placed.join(above, "_slice").select(*points.columns, *((F.col(f"_{k}") + F.sum(c).over(within)).alias(k) for k, c in sums.items()))
+
+
 def curve(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """The precision-recall curve: a point for each distinct score, from the highest down."""
-    d = distinct_scores(rows, truth, score)
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return d.select(
-        "score",
-        "p",
-        "n",
-        F.sum("p").over(down).alias("tp"),
-        F.sum("n").over(down).alias("fp"),
-    )
+    return running_down(distinct_scores(rows, truth, score), {"tp": "p", "fp": "n"})
 
 
 def average_precision(rows: DataFrame, truth: str, score: str) -> DataFrame:
@@ -70,16 +82,16 @@ def average_precision(rows: DataFrame, truth: str, score: str) -> DataFrame:
 
 def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """The chance that a positive outscores a negative; a tie counts half."""
-    below = F.sum("n").over(W.partitionBy()) - F.col("fp")
-    pairs = curve(rows, truth, score).withColumn("wins", F.col("p") * (below + F.col("n") / 2.0))
-    return pairs.agg(F.round(F.sum("wins") / (F.sum("p") * F.sum("n")), 6).alias("roc_auc"))
+    p, n, fp = (F.col(c).cast("double") for c in ("p", "n", "fp"))
+    pairs = F.sum(p) * F.sum(n)
+    return curve(rows, truth, score).agg(F.round((pairs - F.sum(p * fp) + F.sum(p * n) / 2.0) / pairs, 6).alias("roc_auc"))
 
 
 def precision_at_recall(rows: DataFrame, truth: str, score: str, recalls: list[float]) -> DataFrame:
     """For each wanted recall the best precision at it or above, and the threshold that gives it."""
     c = curve(rows, truth, score)
-    total = F.sum("p").over(W.partitionBy())
-    c = c.withColumns({"recall": F.col("tp") / total, "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
+    c = c.crossJoin(c.agg(F.sum("p").alias("total")))
+    c = c.withColumns({"recall": F.col("tp") / F.col("total"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
     wanted = F.explode(F.array(*(F.lit(r) for r in recalls)))
     got = c.select("*", wanted.alias("wanted")).where("recall >= wanted")
     best = got.groupBy("wanted").agg(F.max(F.struct("precision", "score")).alias("b"))

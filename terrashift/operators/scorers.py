@@ -45,14 +45,14 @@ class Scorer:
         return out.withColumn("p_change", p).select(*rows.columns, "p_change")
 
 
-def fit(rows: DataFrame, names: list[str], kind: str = "logistic", truth: str = "label", seed: int = 42) -> Scorer:
-    """A logistic regression on standardised features, or boosted trees of depth 3; fitted by Spark on the executors."""
+def fit(rows: DataFrame, names: list[str], kind: str = "logistic", truth: str = "label", seed: int = 42, rounds: int = 200) -> Scorer:
+    """A logistic regression on standardised features, or ``rounds`` boosted trees of depth 3; fitted by Spark on the executors."""
     assemble = VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="keep")
     if kind == "logistic":
         scale = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)
         stages = [assemble, scale, LogisticRegression(featuresCol="_features", labelCol=truth, maxIter=50, regParam=0.01)]
     elif kind == "boosted":
-        stages = [assemble, GBTClassifier(featuresCol="_raw", labelCol=truth, maxDepth=3, maxIter=20, seed=seed)]
+        stages = [assemble, GBTClassifier(featuresCol="_raw", labelCol=truth, maxDepth=3, maxIter=rounds, seed=seed)]
     else:
         raise ValueError(f"unknown scorer {kind!r}")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == 1).alias("p")).first()

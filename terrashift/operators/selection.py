@@ -6,13 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrashift.operators.metrics import running_down
+
 
 def cumulative(rows: DataFrame, score: str, truth: str | None = None) -> DataFrame:
     """score, flagged (rows at or above it) and hits (positives among them), on distinct scores."""
     hit = F.count_if(F.col(truth) == 1) if truth else F.lit(0).cast("bigint")
     d = rows.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), hit.alias("p"))
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return d.select("score", F.sum("n").over(down).alias("flagged"), F.sum("p").over(down).alias("hits"))
+    return running_down(d, {"flagged": "n", "hits": "p"}).select("score", "flagged", "hits")
+
+
+def within_calls(c: DataFrame, calls: DataFrame, k: str) -> DataFrame:
+    """Each distinct ``k`` of ``calls`` with b, the lowest point of ``c`` that flags at most k rows; NULL if there is none.
+
+    ``calls`` is a short stated list. Each point goes to the least k that it
+    fits, one point of each k is left, and a running maximum over the list
+    does the rest: points and list are never multiplied.
+    """
+    listed = calls.select(k).distinct()
+    ks = listed.agg(F.array_sort(F.collect_set(k)).alias("_ks"))
+    least = F.get(F.filter("_ks", lambda v: v >= F.col("flagged")), F.lit(0))
+    lowest = c.crossJoin(ks).groupBy(least.alias(k)).agg(F.max(F.struct("flagged", "score", "hits")).alias("_b"))
+    upto = W.orderBy(k).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return listed.join(lowest, k, "left").select(k, F.max("_b").over(upto).alias("b"))
 
 
 def thresholds_for_calls(rows: DataFrame, calls: DataFrame, score: str) -> DataFrame:
@@ -20,23 +36,21 @@ def thresholds_for_calls(rows: DataFrame, calls: DataFrame, score: str) -> DataF
 
     A tie that would break the budget is left out as a whole: the budget wins.
     """
-    c = cumulative(rows, score)
-    met = calls.join(c, c.flagged <= calls.k, "left")
-    return met.groupBy("k").agg(F.min("score").alias("threshold"), F.coalesce(F.max("flagged"), F.lit(0)).alias("flagged"))
+    met = within_calls(cumulative(rows, score), calls, "k")
+    return met.select("k", F.col("b.score").alias("threshold"), F.coalesce("b.flagged", F.lit(0)).alias("flagged"))
 
 
 def operating_points(rows: DataFrame, budgets: list[float], cost: float, score: str, truth: str) -> DataFrame:
     """A row for each budget: calls it buys, threshold, flagged, unused calls, recall, precision and spend.
 
-    The budgets are a short stated list, exploded onto the distinct scores.
+    The budgets are a short stated list.
     """
     c = cumulative(rows, score, truth)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == 1).alias("positives"))
     wanted = total.select("n", "positives", F.explode(F.array(*(F.lit(float(b)) for b in budgets))).alias("budget"))
     buys = F.least(F.floor(F.col("budget") / cost), F.col("n")) if cost > 0 else F.col("n")
     wanted = wanted.withColumn("calls", F.greatest(buys, F.lit(0)).cast("bigint"))
-    met = wanted.join(c, c.flagged <= wanted.calls, "left")
-    best = met.groupBy("budget", "n", "positives", "calls").agg(F.max(F.struct("flagged", "score", "hits")).alias("b"))
+    best = wanted.join(within_calls(c, wanted, "calls"), "calls")
     flagged, hits = F.coalesce("b.flagged", F.lit(0)), F.coalesce("b.hits", F.lit(0))
     return best.select(
         "budget",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,10 +57,38 @@ def running_spend(events: DataFrame, cap: float) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return its result as a table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """Run a stream over what is there now and return its result as a table.
+
+    Executors write each batch as Parquet below ``spark.checkpoint.dir``; nothing
+    passes through the driver. In complete mode a batch replaces the one before
+    it, in append mode every batch is kept; a batch that is run again after a
+    failure overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    root = f"{_shared(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{root}/rows/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        if mode == "complete":
+            last.clear()
+        if path not in last:
+            last.append(path)
+
+    writer = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", checkpoint or f"{root}/state").start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(*last) if last else spark.createDataFrame([], stream.schema)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only on a local master."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="terrashift-")
