@@ -185,6 +185,11 @@ def baseline_gate() -> str:
     return ",\n".join([_cut(GATE), _features(), _gate(GATE)])
 
 
+def gate_from_pixels() -> str:
+    """The views from the masks to the ladder, for use over another ``px``."""
+    return ",\n".join([_masks(MASKS), DELTAS, baseline_gate()])
+
+
 # Opening by a cross within a tile's frame, beyond which everything counts as set; then small components go.
 OPENED = """
 fr AS (SELECT scene, trow, tcol, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM ch GROUP BY 1, 2, 3),

@@ -34,10 +34,10 @@ def ch(spark: Spark, d: str, g: GateThresholds = GATE) -> DataFrame:
 
 def ft(spark: Spark, d: str, g: GateThresholds = GATE) -> DataFrame:
     """Tile features; structure and component size are stand-ins that SQL can compute too."""
-    return _features(ch(spark, d, g))
+    return features(ch(spark, d, g))
 
 
-def _features(pixels: DataFrame) -> DataFrame:
+def features(pixels: DataFrame) -> DataFrame:
     more = {
         "largest_component_px": F.count_if("changed").cast("int"),
         "cloud_fraction": F.avg(F.col("cloud").cast("double")),
@@ -77,7 +77,7 @@ def fc(spark: Spark, d: str) -> DataFrame:
     """Tile features of the despeckled mask, its largest component among them."""
     pixels = cl(spark, d)
     parts = kernels.tile_components(pixels, TILE_KEYS, radius=0, min_size=1).select(*TILE_KEYS, "largest_component_px")
-    return _features(pixels).drop("largest_component_px").join(parts, TILE_KEYS)
+    return features(pixels).drop("largest_component_px").join(parts, TILE_KEYS)
 
 
 def stretched(pixels: DataFrame) -> DataFrame:

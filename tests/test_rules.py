@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrashift.config import GateThresholds, Settings, classify_overrides
 from terrashift.functions import indices as ix
 from terrashift.functions import scalars, stats
-from terrashift.operators import cost, embedding, gate, ingest, joins, ledger, metrics, risk, scene, selection
+from terrashift.operators import cost, embedding, evaluation, gate, ingest, joins, ledger, metrics, risk, scene, selection
 from terrashift.sources import files
 from terrashift.sources.pixels import pair_dates, scene_arrays
 
@@ -313,3 +313,30 @@ def test_vectors_and_boxes(spark):
         joins.require_same(rows(spark, [("a",)], "b string"), rows(spark, [("c",)], "b string"), ["b"], "bands")
     pixels = ingest.rescaled(rows(spark, [(5, ), (0, )], "red int"), ["red"], 10.0, 0.0, nodata=0)
     assert [r.red for r in pixels.collect()] == [0.5, None]
+
+
+def test_refused_tiles_are_no_negatives_and_the_report_is_published(spark, tmp_path):
+    values = [FEATURE | {"city": c, "label": y, "ndvi_delta_abs_mean": v, "valid_observation": ok} for c, y, v, ok in [("a", 1, 0.9, True), ("a", 0, 0.0, True), ("b", 1, 0.9, False), ("a", 1, 0.0, True)]]
+    judged, report = evaluation.evaluate(rows(spark, values))
+    got = report.first()
+    assert (got.n_tiles, got.n_low_quality, got.tp, got.fp, got.fn, got.tn) == (4, 1, 1, 0, 1, 1)
+    assert got.groups == ["a", "b"] and got.groups_scored == ["a"] and got.tier0_refused_pct == 25.0
+    evaluation.publish(judged, report, str(tmp_path), "test")
+    text = [r.value for r in spark.read.text(f"{tmp_path}/report").collect()]
+    assert text[0] == "# Gate evaluation: test" and any(line.startswith("| recall | 0.5 | [") for line in text)
+    assert spark.read.json(f"{tmp_path}/summary").first().n_tiles == 4 and spark.read.csv(f"{tmp_path}/features", header=True).count() == 4
+
+
+def test_report_of_no_tiles(spark):
+    got = evaluation.summary(gate.decide(rows(spark, [FEATURE | {"city": "a", "label": 1}]).where("false"))).first()
+    assert got.n_tiles == 0 and got.total_reduction_pct == 0.0 and got.groups == []
+
+
+def test_running_sums_equal_a_plain_loop(spark):
+    values = [((k * 37 % 1000) / 7.0, k % 3, k % 5) for k in range(1000)]
+    got = metrics.running_down(rows(spark, values, "score double, p long, n long"), {"tp": "p", "fp": "n"}).collect()
+    tp = fp = 0
+    for r in sorted(got, key=lambda r: -r.score):
+        tp, fp = tp + r.p, fp + r.n
+        assert (r.tp, r.fp) == (tp, fp)
+    assert len(got) == 1000
