@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashift.llm import decontaminate, html_extract, line_dedup, order_minhash, packing, pii, quality, simhash, token_store, url_filter
+from terrashift.llm import decontaminate, fill_middle, html_extract, line_dedup, order_minhash, packing, pii, prefix_join, quality, resample, simhash, token_store, url_filter
 from terrashift.llm.storage import table
 
 
@@ -96,6 +96,29 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checksums(spark, path)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1, rate=90, spm_rate=20)
+    return found.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resample.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, seed=2024)
+    return resample.with_ranks(scored, percent=10, min_words=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit": op1_best_fit,
@@ -108,10 +131,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_store": op10_token_store,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_resample": op12_resample,
+        "op13_prefix_join": op13_prefix_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from terrashift.llm import sql
 
-    return {"op2_url_filter": sql.OP2, "op6_line_dedup": sql.OP6}
+    return {"op2_url_filter": sql.OP2, "op6_line_dedup": sql.OP6, "op11_fill_middle": sql.OP11, "op12_resample": sql.OP12}
