@@ -59,11 +59,11 @@ def scene_dates(lines: DataFrame) -> DataFrame:
 
 
 def label_changed(value: Column, encoding: Column) -> Column:
-    """Whether a label pixel says changed: ``gt127``, ``eq2`` (1 or 2) or ``eq1`` (0 or 1); other values raise."""
+    """Whether a label pixel says changed: ``gt127``, ``eq2`` (1 or 2, 0 outside the labelled area) or ``eq1`` (0 or 1); other values raise."""
     bad = F.raise_error(F.concat(F.lit("illegal label value "), value.cast("string"))).cast("boolean")
     return (
         F.when(encoding == "gt127", value > 127)
-        .when((encoding == "eq2") & value.isin(1, 2), value == 2)
+        .when((encoding == "eq2") & value.isin(0, 1, 2), value == 2)
         .when((encoding == "eq1") & value.isin(0, 1), value == 1)
         .otherwise(bad)
     )
