@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from terrashift.config import GateThresholds, MaskThresholds, QualityThresholds
 from terrashift.functions import indices as ix
+from terrashift.operators import quantiles
 from terrashift.operators.kernels import ellipse_rows
+from terrashift.sources.storage import written
 
 
 def masks(pixels: DataFrame, m: MaskThresholds | None = None) -> DataFrame:
@@ -95,19 +97,30 @@ def with_magnitude(pixels: DataFrame, over_water: bool = True) -> DataFrame:
     return pixels.withColumn("magnitude", ix.change_magnitude(F.col("d_ndvi"), F.col("d_ndbi"), F.col("d_ndwi"), water))
 
 
-def scene_cut(pixels: DataFrame, g: GateThresholds | None = None) -> DataFrame:
-    """scene, median, mad and cut: median + sigma * 1.4826 * MAD between the floor and the ceiling.
+def scene_spread(pixels: DataFrame) -> DataFrame:
+    """scene, median and mad (the median distance from the median) of the change magnitude, exact.
 
     The pool is the valid cells, or all cells where a scene has no valid one.
+    ``pixels`` is read several times: give a written table.
     """
-    g = g or GateThresholds()
-    pool = pixels.join(pixels.groupBy("scene").agg(F.max("valid").alias("some")), "scene").where("valid or not some")
-    medians = pool.groupBy("scene").agg(F.median("magnitude").alias("median"))
-    spread = pool.join(medians, "scene").groupBy("scene", "median").agg(F.median(F.abs(F.col("magnitude") - F.col("median"))).alias("mad"))
+    groups = quantiles.medians(pixels, ["scene", "valid"], "magnitude")
+    pool = written(groups.groupBy("scene").agg(F.max(F.struct("valid", "median")).alias("p")).select("scene", "p.valid", "p.median"), "scene-medians")
+    apart = pixels.join(pool, ["scene", "valid"]).select("scene", F.abs(F.col("magnitude") - F.col("median")).alias("apart"))
+    mad = quantiles.medians(apart, ["scene"], "apart")
+    return pool.select("scene", "median").join(mad.select("scene", F.col("median").alias("mad")), "scene")
+
+
+def cut_at(sigma: float | Column, g: GateThresholds) -> Column:
+    """median + sigma * 1.4826 * MAD between the floor and the ceiling, or the fixed threshold."""
     if not g.adaptive_threshold:
-        return spread.withColumn("cut", F.lit(g.index_delta_small))
-    adaptive = F.col("median") + g.background_sigma * 1.4826 * F.col("mad")
-    return spread.withColumn("cut", ix.clip(adaptive, g.min_absolute_delta, g.max_absolute_delta))
+        return F.lit(g.index_delta_small)
+    return ix.clip(F.col("median") + sigma * 1.4826 * F.col("mad"), g.min_absolute_delta, g.max_absolute_delta)
+
+
+def scene_cut(pixels: DataFrame, g: GateThresholds | None = None) -> DataFrame:
+    """scene, median, mad and cut, in a written table; ``pixels`` is read several times."""
+    g = g or GateThresholds()
+    return written(scene_spread(pixels).withColumn("cut", cut_at(g.background_sigma, g)), "scene-cuts")
 
 
 def raw_change(pixels: DataFrame, cuts: DataFrame, g: GateThresholds | None = None) -> DataFrame:
@@ -159,22 +172,22 @@ def tile_features(pixels: DataFrame, keys: list[str], more: dict[str, Column] |
 
 
 def joint_stretch(pixels: DataFrame, bands: tuple[str, ...] = ("red", "green", "blue")) -> DataFrame:
-    """scene, low and high: the 2nd and 98th percentile of both dates' finite display bands together."""
-    values = F.array(*(F.col(f"{b}{t}") for b in bands for t in (1, 2)))
-    spread = pixels.select("scene", F.explode(values).alias("v")).where(ix.finite(F.col("v")))
-    got = spread.groupBy("scene").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    return got.select("scene", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    """scene, low and high: the 2nd and 98th percentile of both dates' finite display bands together; ``pixels`` is read several times."""
+    shown = F.array(*(F.col(f"{b}{t}") for b in bands for t in (1, 2)))
+    spread = pixels.select("scene", F.explode(shown).alias("v")).where(ix.finite(F.col("v")))
+    got = quantiles.quantiles(spread, ["scene"], "v", [0.02, 0.98])
+    return got.select("scene", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def robust_fit(pixels: DataFrame, min_pixels: int = 256) -> DataFrame:
     """band, gain and offset that map ``after`` onto ``before`` through the quartiles; (1, 0) where it can't be told.
 
     ``pixels`` has scene, band, before and after; gains are kept in [0.5, 2].
+    It is read several times: give a written table.
     """
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    got = pixels.groupBy("scene", "band").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("after", quartiles).alias("x"), F.percentile("before", quartiles).alias("y")
-    )
+    sides = F.array(F.struct(F.lit("y").alias("side"), F.col("before").alias("v")), F.struct(F.lit("x").alias("side"), F.col("after").alias("v")))
+    both = quantiles.quantiles(pixels.select("scene", "band", F.inline(sides)), ["scene", "band", "side"], "v", [0.25, 0.5, 0.75])
+    got = both.groupBy("scene", "band").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("side") == s, F.col("q"))).alias(s) for s in ("x", "y")))
     spread = F.col("x")[2] - F.col("x")[0]
     told = (F.col("n") >= min_pixels) & (F.abs(spread) >= 1e-6)
     gain = F.when(told, ix.clip((F.col("y")[2] - F.col("y")[0]) / spread, 0.5, 2.0)).otherwise(F.lit(1.0))
@@ -189,20 +202,24 @@ def normalise_to_reference(
     """scene, band, gain, offset after refitting on the cells that changed least.
 
     Each round ranks the valid cells by spectral distance under the present
-    fit and refits from the original second date, so gains don't compound.
+    fit and refits from the original second date, so gains don't compound. The
+    valid cells are written once; a round reads them and writes what its fit
+    needs, and a scene is never gathered.
     """
     valid = pixels.where(F.col("valid") & ix.all_finite(*(F.col(f"{b}{t}") for b in bands for t in (1, 2))))
+    valid = written(valid.select("scene", *(f"{b}{t}" for b in bands for t in (1, 2))), "normalise-valid")
     held = None
     for _ in range(iterations):
         after = {b: F.col(f"{b}2") for b in bands}
         rows = valid
         if held is not None:
             wide = held.groupBy("scene").agg(*(F.max(F.when(F.col("band") == b, F.struct("gain", "offset"))).alias(f"_{b}") for b in bands))
-            rows = valid.join(wide, "scene")
+            rows = valid.join(written(wide, "normalise-fit"), "scene")
             after = {b: F.col(f"{b}2") * F.col(f"_{b}.gain") + F.col(f"_{b}.offset") for b in bands}
         rows = rows.withColumn("_d", ix.cva([(F.col(f"{b}1"), after[b]) for b in bands]))
-        cut = rows.groupBy("scene").agg(F.percentile("_d", percentile).alias("_cut"))
+        rows = written(rows.select(*valid.columns, "_d"), "normalise-distance")
+        cut = quantiles.quantiles(rows, ["scene"], "_d", [percentile]).select("scene", F.col("q")[0].alias("_cut"))
         steady = rows.join(cut, "scene").where("_d <= _cut")
         pairs = F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"{b}1").alias("before"), F.col(f"{b}2").alias("after")) for b in bands))
-        held = robust_fit(steady.select("scene", F.inline(pairs)), min_pixels)
+        held = robust_fit(written(steady.select("scene", F.inline(pairs)), "normalise-steady"), min_pixels)
     return held

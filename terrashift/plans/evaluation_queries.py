@@ -76,7 +76,7 @@ def eval_baselines(spark, d):
 
 def _judge(pixels):
     """Judged tiles of paired pixels under the catalogue's thresholds."""
-    found = scene.with_magnitude(scene.deltas(scene.combined(scene.masks(pixels, MASKS))))
+    found = views.written(scene.with_magnitude(scene.deltas(scene.combined(scene.masks(pixels, MASKS)))), "deltas")
     changed = tiles.assign(scene.raw_change(found, scene.scene_cut(found, GATE), GATE), TILE)
     return gate.decide(views.features(changed), GATE)
 

@@ -10,6 +10,7 @@ from terrashift.plans import views
 from terrashift.plans.registry import query
 from terrashift.plans.sql import GATE, QUALITY, TILE, chain, nd
 from terrashift.plans.views import TILE_KEYS, rounded
+from terrashift.sources.storage import written
 
 CELL = ["scene", "y", "x"]
 
@@ -111,7 +112,7 @@ def stat_tail_p95_p99(spark, d):
 
 @query("stat_scene_cut_mad", chain("ch", 'SELECT scene, round(med, 6) AS "median", round(mad, 6) AS mad, round(cut, 6) AS cut FROM cut'))
 def stat_scene_cut_mad(spark, d):
-    return rounded(scene.scene_cut(views.dl(spark, d), GATE).select("scene", "median", "mad", "cut"))
+    return rounded(scene.scene_cut(written(views.dl(spark, d).select("scene", "valid", "magnitude"), "magnitudes"), GATE).select("scene", "median", "mad", "cut"))
 
 
 @query("px_change_mask_raw", chain("ch", "SELECT scene, y, x, valid, changed FROM ch"))
@@ -219,7 +220,7 @@ _DISPLAY = " UNION ALL ".join(f"SELECT scene, {b}{t} AS v FROM px" for b in ("re
     chain("px", f"SELECT scene, round(quantile_cont(v, 0.02), 6) AS low, round(quantile_cont(v, 0.98), 6) AS high FROM ({_DISPLAY}) WHERE v IS NOT NULL GROUP BY scene"),
 )
 def stretch_joint_p2_p98(spark, d):
-    return rounded(scene.joint_stretch(views.px(spark, d)))
+    return rounded(scene.joint_stretch(written(views.px(spark, d), "pairs")))
 
 
 _FIT_BANDS = ("red", "nir", "swir")
@@ -237,7 +238,7 @@ def _fit_sql(source: str) -> str:
 @query("pif_robust_fit", chain("mk", _fit_sql(_FIT)))
 def pif_robust_fit(spark, d):
     pairs = F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"{b}1").alias("before"), F.col(f"{b}2").alias("after")) for b in _FIT_BANDS))
-    return rounded(scene.robust_fit(views.mk(spark, d).where("valid").select("scene", F.inline(pairs)), min_pixels=64))
+    return rounded(scene.robust_fit(written(views.mk(spark, d).where("valid").select("scene", F.inline(pairs)), "pairs"), min_pixels=64))
 
 
 @query("pif_normalise")

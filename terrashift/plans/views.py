@@ -10,6 +10,7 @@ from terrashift.functions import indices as ix
 from terrashift.operators import gate, kernels, scene, tiles
 from terrashift.plans.sql import CLEAR_GATE, CLEAR_MASKS, GATE, MASKS, QUALITY, TILE
 from terrashift.sources.pixels import observations, pair_dates, table
+from terrashift.sources.storage import written
 
 Spark = SparkSession
 TILE_KEYS = ["scene", "row", "col"]
@@ -28,7 +29,7 @@ def dl(spark: Spark, d: str) -> DataFrame:
 
 
 def ch(spark: Spark, d: str, g: GateThresholds = GATE) -> DataFrame:
-    pixels = dl(spark, d)
+    pixels = written(dl(spark, d), "deltas")
     return tiles.assign(scene.raw_change(pixels, scene.scene_cut(pixels, g), g), TILE)
 
 
@@ -62,7 +63,7 @@ def mk_clear(spark: Spark, d: str) -> DataFrame:
 
 def cr(spark: Spark, d: str) -> DataFrame:
     """Changed cells of shadow-free scenes."""
-    pixels = scene.with_magnitude(scene.deltas(mk_clear(spark, d)))
+    pixels = written(scene.with_magnitude(scene.deltas(mk_clear(spark, d))), "deltas")
     return tiles.assign(scene.raw_change(pixels, scene.scene_cut(pixels, CLEAR_GATE), CLEAR_GATE), TILE)
 
 
@@ -82,6 +83,7 @@ def fc(spark: Spark, d: str) -> DataFrame:
 
 def stretched(pixels: DataFrame) -> DataFrame:
     """Tiles of the display bands, both dates stretched together by their scene's 2nd and 98th percentile."""
+    pixels = written(pixels, "display")
     names = [f"{b}{t}" for b in ("red", "green", "blue") for t in (1, 2)]
     span = F.greatest(F.col("high") - F.col("low"), F.lit(1e-6))
     scaled = {c: ix.clip((F.col(c) - F.col("low")) / span, 0.0, 1.0) for c in names}

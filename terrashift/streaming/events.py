@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from terrashift.sources.storage import shared_dir
+
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -65,7 +66,7 @@ def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str
     failure overwrites its own folder.
     """
     spark = stream.sparkSession
-    root = f"{_shared(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
     last: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -83,12 +84,3 @@ def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str
         raise query.exception()
     rows = spark.read.schema(stream.schema)
     return rows.parquet(*last) if last else spark.createDataFrame([], stream.schema)
-
-
-def _shared(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only on a local master."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="terrashift-")
