@@ -22,9 +22,11 @@ never which links are found: any order gives the same links.
 
 Hot shingles. A shingle in more than ``hot`` prefixes, a group with more than
 ``hot`` members and a pair of groups with more than ``hot`` squared pairs of
-members are not expanded: their members meet two hubs first and then, cell by
-cell, what is in other components (``simhash.similar_links``). That returns
-links which connect whatever all links connect.
+members are not expanded. The shingles of a family have nearly the same
+holders, so holders gather around the least of them, their hub, in one crowd
+for all shingles that share it. A crowd meets two of its members first and
+then, cell by cell, what is in other components (``simhash.similar_links``).
+That returns links which connect whatever all links connect.
 
 Defined results: a null text and a text without words have the empty set,
 which is linked with nothing, so its component is its own id. Repeated rows
@@ -181,7 +183,9 @@ def set_links(prints: DataFrame, reps: DataFrame, sets: _Sets, percent: int, hot
     by_shingle = held.where(F.col("holders") > hot).join(members, "grp").select("k", "fp")
     by_group = members.join(sizes.where(F.col("members") > hot), "grp").select(F.col("grp").alias("k"), "fp")
     both = near.where("many").select(F.xxhash64("g", "h").alias("k"), F.explode(F.array("g", "h")).alias("grp"))
-    crowds = written(by_shingle.unionByName(by_group).unionByName(both.join(members, "grp").select("k", "fp")), "prefix-crowds")
+    many = written(by_shingle.unionByName(by_group).unionByName(both.join(members, "grp").select("k", "fp")), "prefix-many")
+    hubs = many.groupBy("k").agg(F.min("fp").alias("hub"))
+    crowds = written(many.join(hubs, "k").select(F.col("hub").alias("k"), "fp").distinct(), "prefix-crowds")
     if crowds.isEmpty():
         return edges
     return edges.unionByName(similar_links(reps.select("fp", "n", "sketch"), crowds, sets, percent, hot, cell)).distinct()
