@@ -52,21 +52,26 @@ def _removed(spark: SparkSession, path: str) -> None:
             raise
 
 
-def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """The names of the folders in ``path`` that begin with ``prefix``; none where there is no such path."""
     fs, where = _fs(spark, path)
     if not fs.exists(where):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory() and s.getPath().getName().startswith(prefix))
 
 
-def is_complete(spark: SparkSession, folder: str) -> bool:
-    fs, where = _fs(spark, f"{folder}/{COMPLETE}")
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
     return bool(fs.exists(where))
 
 
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    return exists(spark, f"{folder}/{COMPLETE}")
+
+
 def versions(spark: SparkSession, path: str) -> list[str]:
     """The complete versions below ``path``, the oldest first."""
-    return [v for v in _folders(spark, path, VERSION) if is_complete(spark, f"{path}/{v}")]
+    return [v for v in folders(spark, path, VERSION) if is_complete(spark, f"{path}/{v}")]
 
 
 def current(spark: SparkSession, path: str, part: str = "") -> str:
@@ -91,7 +96,7 @@ def publish(spark: SparkSession, path: str, parts: dict[str, Callable[[str], Non
     marker. The newest ``keep`` versions stay, so that readers of the former one
     can finish; what broken runs left goes.
     """
-    for left in _folders(spark, path, STAGING):
+    for left in folders(spark, path, STAGING):
         _removed(spark, f"{path}/{left}")
     aside = f"{path}/{STAGING}{uuid.uuid4().hex}"
     try:
@@ -100,7 +105,7 @@ def publish(spark: SparkSession, path: str, parts: dict[str, Callable[[str], Non
     except BaseException:
         _removed(spark, aside)
         raise
-    number = max([int(v[len(VERSION) :].split("-")[0]) for v in _folders(spark, path, VERSION)], default=0) + 1
+    number = max([int(v[len(VERSION) :].split("-")[0]) for v in folders(spark, path, VERSION)], default=0) + 1
     folder = f"{path}/{VERSION}{number:08d}-{uuid.uuid4().hex[:8]}"
     fs, source = _fs(spark, aside)
     if not fs.rename(source, _fs(spark, folder)[1]):
@@ -111,7 +116,7 @@ def publish(spark: SparkSession, path: str, parts: dict[str, Callable[[str], Non
     finally:
         out.close()
     held = versions(spark, path)
-    for old in _folders(spark, path, VERSION):
+    for old in folders(spark, path, VERSION):
         if old < held[-1] and old not in held[-max(1, keep) :]:
             _removed(spark, f"{path}/{old}")
     return folder
