@@ -9,9 +9,10 @@ that it takes on the host, how many stand on several pages. Menus, adverts and
 footers draw from few texts, which come again; headings and paragraphs are a
 page's own. A page is known by its title and first heading, so that versions
 of one article count once and their text does not look like a template. Slots
-where ``RECURRING`` of the texts come again are template; inside ``article``
-and ``main``, where bylines and dates come again too, only slots that never
-vary are.
+where ``RECURRING`` of the texts come again are template. Inside ``article``
+and ``main`` no slot is: section headings, table heads and bylines come again
+there and are content all the same, so a page's article has the same text
+whether its host has one page or a million.
 
 What varies as content does and still is none (reader comments, related
 links) is told by the elements' meaning: menus, headers, footers, side bars,
@@ -87,14 +88,53 @@ MARKS = set(
     "signup login popup modal dialog alert overlay toolbar pagination pager search complementary contentinfo".split()
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*+)", re.S)
+TAG_REST = re.compile(r"((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)(?:>|\Z)")
+QUOTE_OR_END = re.compile(r"[\"'>]|\Z")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:\-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLANKS = re.compile(r"\s+")
 
 
+class TagEnds:
+    """Where the tags of one page end; a ``>`` within quotes ends none, and a quote that is never closed is no tag's.
+
+    After the first tag that fails, quotes that lead nowhere and the distance to
+    the next special character are remembered, so that a page full of broken
+    tags is still read in time proportional to its length.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.broken = html, False
+        self.dead: set[int] = set()
+        self.known = (0, -1)  # no quote and no end from the first to before the second
+
+    def _special(self, at: int) -> int:
+        if not self.known[0] <= at <= self.known[1]:
+            self.known = (at, QUOTE_OR_END.search(self.html, at).start())
+        return self.known[1]
+
+    def end(self, at: int) -> int | None:
+        """The place of the ``>`` (or of the page's end) that ends the attributes which begin at ``at``."""
+        html = self.html
+        if not self.broken:
+            m = TAG_REST.match(html, at)
+            if m is not None:
+                return m.end(1)
+            self.broken = True
+        passed = []
+        while True:
+            at = self._special(at)
+            if at == len(html) or html[at] == ">":
+                return at
+            passed.append(at)
+            close = -1 if at in self.dead else html.find(html[at], at + 1)
+            if close < 0:
+                self.dead.update(passed)
+                return None
+            at = close + 1
+
+
 class Node:
     __slots__ = ("tag", "label", "children", "hidden")
 
@@ -113,6 +153,12 @@ def described(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *classes]), tag in NEVER or unseen or bool(words & MARKS and tag not in ("body", "html", "main", "article"))
 
 
+@lru_cache(20_000)
+def marked_header(label: str) -> bool:
+    """Whether the classes of a label call the element a header, and nothing else that rules it out."""
+    return {w.lower() for w in WORDS.findall(label.partition(".")[2])} & MARKS == {"header"}
+
+
 def parse(html: str, describe: Callable[[str, str], tuple[str, bool]] = described) -> Node:
     """The DOM of a page; unclosed and misnested tags are repaired as browsers do in the simple cases.
 
@@ -120,16 +166,23 @@ def parse(html: str, describe: Callable[[str, str], tuple[str, bool]] = describe
     """
     root = Node("#root", "#root", False)
     stack, at, n = [root], 0, len(html)
+    ends, look = TagEnds(html), 0
     while at < n:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, look)
         if m is None:
             stack[-1].children.append(html[at:])
             break
+        end = m.end()
+        if m[2] is not None and (end := ends.end(m.end())) is None:
+            look = m.start() + 1  # no tag: the text goes on
+            continue
         if m.start() > at:
             stack[-1].children.append(html[at : m.start()])
-        at = m.end() if m.end() > m.start() else m.start() + 1
         if m[2] is None:
+            at = look = end
             continue
+        attributes = html[m.end() : end]
+        at = look = min(n, end + 1)
         tag = m[2].lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
@@ -141,15 +194,15 @@ def parse(html: str, describe: Callable[[str, str], tuple[str, bool]] = describe
             _close(stack, {"p"}, SCOPES)
         if tag in SIBLINGS:
             _close(stack, SIBLINGS[tag], SCOPES)
-        label, hidden = describe(tag, m[3].rstrip("/ "))
+        label, hidden = describe(tag, attributes.rstrip("/ "))
         if hidden and tag in INLINE and any(above.tag in ("pre", "code") for above in stack):
             hidden = False  # highlighted source text
         node = Node(tag, label, hidden)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
+            close = re.compile(rf"</{tag}\s*+>", re.I).search(html, at)
+            at = look = close.end() if close else n
+        elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
     return root
 
@@ -200,34 +253,52 @@ class Folded:
 def simple_tree_matching(a: list, b: list) -> dict[int, int]:
     """The alignment of two shapes with the most node pairs: slot of ``a`` -> slot of ``b``."""
     sizes: dict[int, int] = {}
+    tables: dict[tuple[int, int], list[list[int]]] = {}
 
     def size(x: list) -> int:
         if id(x) not in sizes:
             sizes[id(x)] = 1 + sum(map(size, x[1]))
         return sizes[id(x)]
 
-    def match(x: list, y: list, i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
-        if x[0] != y[0]:
-            return 0, []
-        xs, ys = x[1], y[1]
-        at_x, at_y = [i + 1], [j + 1]
-        for c in xs:
-            at_x.append(at_x[-1] + size(c))
-        for c in ys:
-            at_y.append(at_y[-1] + size(c))
-        best: list[list[tuple[int, list]]] = [[(0, [])] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    def places(x: list, at: int) -> list[int]:
+        out = [at + 1]
+        for child in x[1]:
+            out.append(out[-1] + size(child))
+        return out
+
+    def score(x: list, y: list, i: int, j: int) -> int:
+        """Pairs of the best alignment of two nodes with one label; its table of scores is kept for the way back."""
+        xs, ys, at_x, at_y = x[1], y[1], places(x, i), places(y, j)
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for p in range(1, len(xs) + 1):
+            row, above = best[p], best[p - 1]
             for q in range(1, len(ys) + 1):
-                top = max(best[p - 1][q], best[p][q - 1], key=lambda v: v[0])
+                top = max(above[q], row[q - 1])
                 if xs[p - 1][0] == ys[q - 1][0]:
-                    n, pairs = match(xs[p - 1], ys[q - 1], at_x[p - 1], at_y[q - 1])
-                    if best[p - 1][q - 1][0] + n > top[0]:
-                        top = (best[p - 1][q - 1][0] + n, best[p - 1][q - 1][1] + [pairs])
-                best[p][q] = top
-        n, lists = best[len(xs)][len(ys)]
-        return n + 1, [(i, j), *(pair for pairs in lists for pair in pairs)]
+                    top = max(top, above[q - 1] + score(xs[p - 1], ys[q - 1], at_x[p - 1], at_y[q - 1]))
+                row[q] = top
+        tables[i, j] = best
+        return 1 + best[-1][-1]
+
+    out: dict[int, int] = {}
+
+    def back(x: list, y: list, i: int, j: int) -> None:
+        out[i] = j
+        xs, ys, at_x, at_y, best = x[1], y[1], places(x, i), places(y, j), tables[i, j]
+        p, q = len(xs), len(ys)
+        while p and q:
+            if best[p][q] == best[p - 1][q]:
+                p -= 1
+            elif best[p][q] == best[p][q - 1]:
+                q -= 1
+            else:
+                p, q = p - 1, q - 1
+                back(xs[p], ys[q], at_x[p], at_y[q])
 
-    return dict(match(a, b, 0, 0)[1])
+    if a[0] == b[0]:
+        score(a, b, 0, 0)
+        back(a, b, 0, 0)
+    return out
 
 
 class Aligner:
@@ -287,7 +358,7 @@ def _blocks(node: Node, blocks: list[str], run: list[str], skip: set[int], slot_
                 _blocks(child, blocks, run, skip, slot_of, inside, heads and node.tag not in HEADINGS)
         else:
             _flush(run, blocks)
-            header = child.tag == "header" or child.label.startswith(("div.header", "div.post-header"))
+            header = child.tag == "header" or child.hidden and marked_header(child.label)
             if header and inside:  # an article's own header: only its headings
                 _blocks(child, blocks, run, skip, slot_of, inside, True)
             elif not child.hidden and child.tag != "header":
@@ -363,8 +434,7 @@ def wrappers(slots: DataFrame, min_pages: int = MIN_PAGES, recurring: float = RE
     aligned = distinct.join(pivots, "host").select("host", "shape", "slots", "pivot")
     found = aligned.mapInArrow(run, "host string, slot int, inside boolean, text bigint").groupBy("host", "slot", "inside", "text").agg(F.count(F.lit(1)).alias("n"))
     variety = found.groupBy("host", "slot", "inside").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.count_if(F.col("n") > 1).alias("again"))
-    own = F.when(F.col("inside"), F.col("texts") > 1).otherwise(F.col("again") < recurring * F.col("texts"))
-    judged = variety.where((F.col("n") >= min_pages) & ~own)
+    judged = variety.where(~F.col("inside") & (F.col("n") >= min_pages) & (F.col("again") >= recurring * F.col("texts")))
     template = judged.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))  # at most the pivot's slots
     return pivots.join(template, "host", "left")
 

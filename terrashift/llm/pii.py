@@ -13,6 +13,13 @@ notation. The map is a permutation of the format that depends only on key and
 kind, so equal values stay equal and different ones different, in every
 document and on every executor, and nothing has to be shared or looked up.
 
+Dates whose day is beyond 12 stay such, and the others too: only the former
+show whether day or month stands first, so both kinds are closed in every
+notation, and no result can be read as another date's. A date has the same
+pseudonym in every notation with two-digit days and months; notations with a
+one-digit day or month are closed sets of their own, as widths are kept.
+Where day or month may come first (both up to 12) the day is read first.
+
 The permutation is x -> P^-1(P(x) + s), with P an alternating Feistel network
 whose round function is keyed BLAKE2b: it has no fixed point, so no value
 stays as it was. Values that fail validation after the map are walked along
@@ -31,6 +38,7 @@ from __future__ import annotations
 import datetime
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -114,6 +122,17 @@ def calendar_day(y: str, m: str, d: str) -> int | None:
     return day if 0 <= day < DAYS else None
 
 
+@lru_cache(None)
+def days_like(late: bool, month_width: int, day_width: int) -> tuple[int, ...]:
+    """The days beyond the 12th of their month, or the others, that can be written in these widths."""
+    found = []
+    for day in range(DAYS):
+        d = datetime.date.fromordinal(FIRST_DAY + day)
+        if (d.day > 12) == late and (month_width > 1 or d.month < 10) and (day_width > 1 or d.day < 10):
+            found.append(day)
+    return tuple(found)
+
+
 def _kin(c: str) -> tuple[int, str]:
     """Block of 128 code points and category: letters of one script and case, or digits."""
     return ord(c) >> 7, unicodedata.category(c)
@@ -244,25 +263,28 @@ class Pseudonyms:
         x = self.permutation.map(int.from_bytes(bytes(parts), "big"), "ip", 1 << 32)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def _day(self, day: int) -> datetime.date:
-        return datetime.date.fromordinal(FIRST_DAY + self.permutation.map(day, "date", DAYS))
+    def _day(self, day: int, month_width: int, day_width: int) -> datetime.date:
+        late = datetime.date.fromordinal(FIRST_DAY + day).day > 12
+        like = days_like(late, month_width, day_width)
+        new = self.permutation.map(bisect_left(like, day), f"date|{late}|{month_width}|{day_width}", len(like))
+        return datetime.date.fromordinal(FIRST_DAY + like[new])
 
     def _ymd(self, value: str) -> str | None:
         y, m, d = re.split(r"[\-/.]", value)
         day = calendar_day(y, m, d)
         if day is None:
             return None
-        new, sep = self._day(day), value[4]
+        new, sep = self._day(day, len(m), len(d)), value[4]
         return f"{new.year}{sep}{new.month:0{len(m)}d}{sep}{new.day:0{len(d)}d}"
 
     def _dmy(self, value: str) -> str | None:
         a, b, y = re.split(r"[\-/.]", value)
         sep = value[len(a)]
         if (day := calendar_day(y, b, a)) is not None:  # day first; else month first
-            new = self._day(day)
+            new = self._day(day, len(b), len(a))
             a, b = f"{new.day:0{len(a)}d}", f"{new.month:0{len(b)}d}"
         elif (day := calendar_day(y, a, b)) is not None:
-            new = self._day(day)
+            new = self._day(day, len(a), len(b))
             a, b = f"{new.month:0{len(a)}d}", f"{new.day:0{len(b)}d}"
         else:
             return None

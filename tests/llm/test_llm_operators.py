@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 import zlib
 
 import numpy as np
@@ -178,6 +179,26 @@ def test_pii_odd_cases(spark):
     assert taken.columns.count("private") == 1 and taken.first().private == {}
 
 
+def test_dates_stay_distinct_in_every_notation():
+    """All days of two centuries: no two values of a notation get one pseudonym, widths stay, and day-first and month-first never meet."""
+    p = pii.Pseudonyms(b"k")
+    first = datetime.date(1900, 1, 1)
+    forms = {"ymd": lambda d: f"{d:%Y-%m-%d}", "day first": lambda d: f"{d:%d/%m/%Y}", "month first": lambda d: f"{d:%m/%d/%Y}", "short": lambda d: f"{d.day}.{d.month}.{d.year}", "short ymd": lambda d: f"{d.year}-{d.month}-{d.day}"}
+    seen, day_of = {}, {}
+    for k in range(0, pii.DAYS):
+        d = first + datetime.timedelta(k)
+        for name, write in forms.items():
+            if name.startswith("short") and k % 7 or name == "month first" and d.day <= 12:
+                continue  # a month-first value with a day up to 12 reads as a day-first one
+            value = write(d)
+            new = p._ymd(value) if "ymd" in name else p._dmy(value)
+            assert len(new) == len(value) and new != value and [len(x) for x in re.split("[-/.]", new)] == [len(x) for x in re.split("[-/.]", value)]
+            assert seen.setdefault(new, value) == value, (new, value, seen[new])
+            if not name.startswith("short"):
+                y, m, e = new.split("-") if name == "ymd" else (new[6:], *((new[3:5], new[:2]) if name == "day first" else (new[:2], new[3:5])))
+                assert day_of.setdefault(k, (y, m, e)) == (y, m, e)  # the same in each notation
+
+
 # --- 4 order minhash
 
 
@@ -455,12 +476,30 @@ def test_html_extraction(spark):
     rows = [(k, "http://h.org/x", PAGE.replace("{k}", f"n{k}")) for k in range(6)] + [(6, "http://other.org/", PAGE.replace("{k}", "z"))]
     rows += [(7, None, None), (8, "x", ""), (9, "http://h.org/", "just text &lt; here"), (10, "http://h.org/", "<article><p>cut off <b>he"), (11, "http://d.org/", "<div>" * 5000 + "deep" + "</div>" * 5000)]
     got = {r.page_id: r.text for r in html_extract.extract(clashing(pages(spark, rows))).collect()}
-    assert got[0] == "Head n0\nBody of n0 & more line\nsecond bold n0"  # the last heading never varies on this host: template
+    assert got[0] == "Head n0\nBody of n0 & more line\nsecond bold n0\nSign up for our letter"  # a heading in the article stays, however often it comes again
     assert got[6] == "Head z\nBody of z & more line\nsecond bold z\nSign up for our letter"
     assert got[7] == "" and got[8] == "" and got[9] == "just text < here" and got[10] == "cut off he" and got[11] == "deep"
     assert html_extract.extract(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 6, 100])
+def test_an_article_has_the_same_text_however_many_pages_its_host_has(spark, n):
+    page = "<body><div class=x>same on all</div><article><h1>Title {k}</h1><h2>Introduction</h2><p>intro {k}</p><h2>Results</h2><p>results {k}</p><table><tr><th>Year</th><th>Value</th></tr><tr><td>2000</td><td>{k}</td></tr></table></article></body>"
+    found = html_extract.extract(pages(spark, [(k, "http://h.org/", page.replace("{k}", str(k))) for k in range(n)]))
+    assert {r.page_id: r.text for r in found.collect()}[0] == "Title 0\nIntroduction\nintro 0\nResults\nresults 0\nYear\nValue\n2000\n0"
+
+
+def test_broken_tags_are_read_in_linear_time():
+    import time
+
+    for page in ("<a " * 350_000 + '"', "<a \">\" " * 150_000 + '"', "<a '\">" * 150_000, "<!--" * 250_000, "<p>" * 300_000, "</" * 500_000, "<script>" * 100_000):
+        began = time.perf_counter()
+        html_extract.parse(page)
+        assert time.perf_counter() - began < 15, page[:20]
+    assert html_extract.main_text(html_extract.parse('<p>one</p><a href="x>two</a><p title="a>b">three</p>'), set(), {}) == "one\nb\">three"
+    assert html_extract.main_text(html_extract.parse("<p title='a>b'>three</p><b class=\"x"), set(), {}) == "three\n<b class=\"x"
+
+
 def test_pages_that_are_all_alike_keep_their_text(spark):
     rows = [(k, "http://h.org/x", f"<div class=ad>{k}</div><article><p>the same article</p></article>") for k in range(8)]
     assert {r.text for r in html_extract.extract(pages(spark, rows)).collect()} == {"the same article"}
