@@ -58,3 +58,15 @@ def pixel_lonlat(x: Column, y: Column, width: Column, height: Column, west: Colu
     lon = west + (x.cast("double") + 0.5) / width.cast("double") * (east - west)
     lat = north - (y.cast("double") + 0.5) / height.cast("double") * (north - south)
     return lon, lat
+
+
+def instant(text: Column) -> Column:
+    """A TIMESTAMP of an ISO 8601 text: Z or an offset counts, a text without either is UTC, a date is its midnight; else NULL."""
+    plain = F.trim(text)
+    zoned = plain.rlike(r"(?i)(z|[+\-]\d{2}(:?\d{2})?)$") & plain.contains(":")
+    whole = plain.rlike(r"(?i)^\d{4}-\d{2}-\d{2}([t ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(z|[+\-]\d{2}(:?\d{2})?)?)?$")
+    timed = F.when(plain.contains(":"), plain).otherwise(F.concat(plain, F.lit("T00:00:00")))
+    upper = F.regexp_replace(F.upper(F.when(zoned, timed).otherwise(F.concat(timed, F.lit("Z")))), r"([+\-]\d{2}):?(\d{2})?$", "$1:$2")
+    fixed = F.regexp_replace(upper, r"([+\-]\d{2}):$", "$1:00")
+    seconds = F.regexp_replace(fixed, r"([T ]\d{2}:\d{2})(Z|[+\-])", "$1:00$2")
+    return F.when(whole, F.try_to_timestamp(seconds))

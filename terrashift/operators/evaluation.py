@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrashift.functions import indices as ix
 from terrashift.functions import stats
 from terrashift.operators import gate, kernels, metrics
+from terrashift.sources import storage
 
 BANDS = ("blue", "green", "red", "nir", "swir")
 REPORTED = ("precision", "recall", "specificity", "f1", "balanced_accuracy", "iou")
@@ -148,8 +149,12 @@ def markdown(report: DataFrame, split: str) -> DataFrame:
     return report.select(F.posexplode(F.array(*lines)).alias("line", "value"))
 
 
-def publish(judged: DataFrame, report: DataFrame, path: str, split: str) -> None:
-    """features (CSV with a header), summary (JSON) and report (Markdown) below ``path``, each replaced as a whole."""
-    judged.write.mode("overwrite").csv(f"{path}/features", header=True)
-    report.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    markdown(report, split).coalesce(1).sortWithinPartitions("line").select("value").write.mode("overwrite").text(f"{path}/report")
+def publish(judged: DataFrame, report: DataFrame, path: str, split: str, note: dict | None = None) -> str:
+    """features (CSV with a header), summary (JSON) and report (Markdown) as one new version of ``path``, all or nothing; its folder."""
+    lines = markdown(report, split).coalesce(1).sortWithinPartitions("line").select("value")
+    parts = {
+        "features": lambda folder: judged.write.csv(folder, header=True),
+        "summary": lambda folder: report.coalesce(1).write.json(folder),
+        "report": lambda folder: lines.write.text(folder),
+    }
+    return storage.publish(judged.sparkSession, path, parts, {"split": split} | (note or {}))

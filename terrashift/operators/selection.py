@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrashift.operators.metrics import running_down
+from terrashift.sources.storage import written
 
 
 def cumulative(rows: DataFrame, score: str, truth: str | None = None) -> DataFrame:
@@ -73,50 +74,56 @@ def sequential(candidates: DataFrame, budget: int | None) -> DataFrame:
 def allocation(candidates: DataFrame, budget: int) -> DataFrame:
     """city, n and calls: proportional shares by largest remainder, at least one call for each city, never over budget.
 
-    Works on one row for each city. With fewer calls than cities the largest
-    cities get one each. Otherwise the reconciliation is a sequential walk
-    over that small table (``reconcile``).
+    With fewer calls than cities the largest cities get one each. Otherwise a
+    city starts with its whole share, one call at least. Calls that are left go
+    to the largest remainders; calls too many come from the smallest ones of
+    cities with more than one, again and again while that is needed. A city's
+    remainder moves by one with each step, so all steps are keys that are
+    known beforehand, and the first of them in order are taken: a bounded
+    top-k over cities and steps, and no walk.
     """
     sizes = candidates.groupBy("city").agg(F.count(F.lit(1)).alias("n"))
-    rows = [(r.city, r.n) for r in sizes.orderBy("city").toLocalIterator()]
-    calls = reconcile(rows, budget)
-    known = candidates.schema["city"].dataType.simpleString()
-    return candidates.sparkSession.createDataFrame([(c, n, calls[c]) for c, n in rows], f"city {known}, n bigint, calls bigint")
-
-
-def reconcile(cities: list[tuple[object, int]], budget: int) -> dict[object, int]:
-    """The calls of each city."""
-    total = sum(n for _, n in cities)
-    if budget >= total:
-        return dict(cities)
     if budget <= 0:
-        return {c: 0 for c, _ in cities}
-    if budget < len(cities):
-        largest = sorted(cities, key=lambda x: (-x[1], x[0]))[:budget]
-        return {c: int((c, n) in largest) for c, n in cities}
-    fair = {c: budget * n / total for c, n in cities}
-    size = dict(cities)
-    calls = {c: min(n, max(1, int(fair[c]))) for c, n in cities}
-    left = budget - sum(calls.values())
-    while left:
-        step = 1 if left > 0 else -1
-        open_ = [c for c in calls if (calls[c] < size[c] if step > 0 else calls[c] > 1)]
-        if not open_:
-            break
-        pick = (max if step > 0 else min)(open_, key=lambda c: (fair[c] - calls[c], c))
-        calls[pick] += step
-        left -= step
-    return calls
+        return sizes.withColumn("calls", F.lit(0).cast("bigint"))
+    sizes = written(sizes, "cities")
+    total, cities = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if budget >= total:
+        return sizes.withColumn("calls", F.col("n"))
+    if budget < cities:
+        largest = sizes.orderBy(F.desc("n"), "city").limit(budget).select("city", F.lit(1).cast("bigint").alias("calls"))
+        return sizes.join(largest, "city", "left").na.fill(0, ["calls"])
+    fair = F.lit(budget) * F.col("n") / F.lit(total)
+    start = F.least(F.col("n"), F.greatest(F.lit(1), F.floor(fair))).cast("bigint")
+    held = written(sizes.withColumns({"start": start, "rest": fair - start}), "shares")
+    left = budget - held.agg(F.sum("start")).first()[0]
+    if left >= 0:  # a city that could take more has a remainder, and there are at least as many as calls left
+        steps = held.where("start < n").orderBy(F.desc("rest"), F.desc("city")).limit(left).select("city", F.lit(1).alias("step"))
+    else:
+        room = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("start") - 2, F.lit(-left - 1)))
+        each = held.where("start > 1").select("city", F.explode(room).alias("k"), "rest")
+        steps = each.orderBy(F.col("rest") + F.col("k"), "city").limit(-left).select("city", F.lit(-1).alias("step"))
+    moved = steps.groupBy("city").agg(F.sum("step").alias("moved"))
+    got = held.join(moved, "city", "left")
+    return got.select("city", "n", (F.col("start") + F.coalesce("moved", F.lit(0))).alias("calls"))
+
+
+def drawn_order(seed: int, key: str = "tile_id") -> Column:
+    """A seeded order of ids, the same on any cluster."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 def stratified(candidates: DataFrame, budget: int | None, seed: int = 42) -> DataFrame:
-    """Each city's share of the budget, drawn by a seeded hash of the id, so the draw is the same on any cluster."""
+    """Each city's share of the budget, drawn by a seeded hash of the id.
+
+    No city takes more than the budget, which is said as a number: each task
+    keeps so many of a city before they meet, however large the city is.
+    """
     if budget is None:
         return candidates.orderBy("city", "tile_id")
-    ranked = W.partitionBy("city").orderBy(F.xxhash64(F.lit(seed), "tile_id"), "tile_id")
+    ranked = W.partitionBy("city").orderBy(drawn_order(seed), "tile_id")
     calls = allocation(candidates, budget).select("city", "calls")
-    drawn = candidates.withColumn("_rank", F.row_number().over(ranked)).join(calls, "city").where("_rank <= calls")
-    return drawn.drop("_rank", "calls").orderBy("city", "tile_id")
+    first = candidates.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= max(0, budget))
+    return first.join(calls, "city").where("_rank <= calls").drop("_rank", "calls").orderBy("city", "tile_id")
 
 
 def select_candidates(candidates: DataFrame, budget: int | None, strategy: str = "stratified", seed: int = 42) -> DataFrame:
@@ -127,5 +134,5 @@ def select_candidates(candidates: DataFrame, budget: int | None, strategy: str =
 
 def sample_tiles(tiles: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     """n tiles by the least seeded hash, in order of id; None or a larger n gives all."""
-    drawn = tiles if n is None else tiles.orderBy(F.xxhash64(F.lit(seed), "tile_id"), "tile_id").limit(n)
+    drawn = tiles if n is None else tiles.orderBy(drawn_order(seed), "tile_id").limit(n)
     return drawn.orderBy("tile_id")

@@ -9,7 +9,7 @@ from terrashift.operators import ingest
 from terrashift.plans import views
 from terrashift.plans.registry import query
 from terrashift.plans.sql import OBS, chain
-from terrashift.sources import geotiff
+from terrashift.sources import arrays, geotiff
 from terrashift.sources.pixels import pair_dates
 
 NAMES = {"blue": "B02", "green": "B03", "red": "B04", "nir": "B08", "swir": "B11"}
@@ -134,3 +134,22 @@ def ingest_crop_pixels(spark, d):
     known = {"step_x": F.lit(10.0), "step_y": F.lit(10.0), "north": F.lit(5000.0), "epsg": F.lit(32631), "rotated": F.lit(False)}
     placed = frames.withColumns({f"{c}{t}": v for t in (1, 2) for c, v in known.items()} | {"west1": F.lit(0.0), "west2": F.lit(50.0)})
     return pair_dates(ingest.cropped(rows, ingest.crop_windows(placed)), ("red", "nir")).select("scene", "y", "x", "red1", "red2", "nir1", "nir2")
+
+
+@query(
+    "embedding_blocks",
+    """SELECT vec_id, len(embedding) AS dims, round(CAST(embedding[1] AS DOUBLE), 7) AS first, round(CAST(embedding[-1] AS DOUBLE), 7) AS last,
+    round(list_sum([CAST(x AS DOUBLE) for x in embedding]), 6) AS total FROM embeddings""",
+)
+def embedding_blocks(spark, d):
+    """The vectors as blocks of 16 by 16, written and read as NPY files."""
+    rows = views.table(spark, d, "embeddings")
+    dims = rows.select(F.max(F.size("embedding"))).first()[0] or 1
+    at = F.col("vec_id") % 256
+    cells = rows.select((F.col("vec_id") - at).alias("first_id"), F.floor(at / 16).cast("int").alias("y"), (at % 16).cast("int").alias("x"), "embedding")
+    back = arrays.decoded(arrays.blobs(cells, ["first_id"], 16, 16, dims), ["first_id"], dims).where("embedding is not null")
+    e = F.col("embedding").cast("array<double>")
+    return views.rounded(back.select(
+        (F.col("first_id") + F.col("y") * 16 + F.col("x")).alias("vec_id"), F.size(e).cast("bigint").alias("dims"), F.round(e[0], 7).alias("first"),
+        F.round(F.element_at(e, -1), 7).alias("last"), F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
+    ), 7)

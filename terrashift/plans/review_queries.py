@@ -288,12 +288,22 @@ def select_stratified_alloc(spark, d):
     return selection.allocation(_candidates(spark, d), 200)
 
 
-@query("select_stratified_draw")
+_ALLOC = [
+    _FUNNEL,
+    "s AS (SELECT city, count(*) AS n FROM fn WHERE gate = 'candidate_change' GROUP BY city)",
+    "a AS (SELECT city, n, 200.0E0*n/sum(n) OVER () AS fair, least(n, greatest(1, CAST(floor(200.0E0*n/sum(n) OVER ()) AS BIGINT))) AS base FROM s)",
+    "r AS (SELECT *, row_number() OVER (ORDER BY fair - base DESC, city DESC) AS rk, 200 - sum(base) OVER () AS left_over FROM a)",
+    "k AS (SELECT city, CASE WHEN sum(n) OVER () <= 200 THEN n ELSE base + CASE WHEN rk <= left_over THEN 1 ELSE 0 END END AS calls FROM r)",
+    "o AS (SELECT city, tile_id, row_number() OVER (PARTITION BY city ORDER BY md5('42:' || tile_id), tile_id) AS place FROM fn WHERE gate = 'candidate_change')",
+]
+
+
+@query("select_stratified_draw", "WITH " + ",\n".join(_ALLOC) + " SELECT o.city, o.tile_id FROM o JOIN k ON k.city = o.city WHERE o.place <= k.calls")
 def select_stratified_draw(spark, d):
     return selection.select_candidates(_candidates(spark, d), 200, "stratified")
 
 
-@query("sample_tiles_seeded")
+@query("sample_tiles_seeded", f"WITH {_FUNNEL} SELECT tile_id, city FROM fn ORDER BY md5('42:' || tile_id), tile_id LIMIT 100")
 def sample_tiles_seeded(spark, d):
     return selection.sample_tiles(_funnel(spark, d).select("tile_id", "city"), 100)
 

@@ -364,3 +364,20 @@ def artifact_resolve(spark, d):
 def ingest_rescale(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return rounded(ingest.rescaled(rows, ["l_quantity"], scale=50.0, offset=5.0, nodata=13.0))
+
+
+@query(
+    "scalar_zulu_times",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 5 THEN NULL ELSE s - CASE o_orderkey % 7 WHEN 1 THEN 7200 WHEN 2 THEN -19800 ELSE 0 END END AS at
+    FROM (SELECT o_orderkey, CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + CASE WHEN o_orderkey % 7 = 4 THEN 0 ELSE o_orderkey % 86400 END AS s FROM orders)""",
+)
+def scalar_zulu_times(spark, d):
+    """Zulu, offsets, no zone, a date and a broken text."""
+    k = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(k % 86400 / 3600), F.floor(k % 3600 / 60), k % 60)
+    kind = k % 7
+    text = F.when(kind == 0, F.concat(day, F.lit("T"), clock, F.lit("Z"))).when(kind == 1, F.concat(day, F.lit("T"), clock, F.lit("+02:00")))
+    text = text.when(kind == 2, F.concat(day, F.lit("T"), clock, F.lit("-0530"))).when(kind == 4, day).when(kind == 5, F.concat(day, F.lit("T25:61")))
+    text = text.otherwise(F.concat(day, F.lit(" "), clock, F.lit(".5")))
+    return table(spark, d, "orders").select("o_orderkey", F.unix_seconds(scalars.instant(text)).alias("at"))

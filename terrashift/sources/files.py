@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrashift.functions.scalars import compact_date
+from terrashift.sources import storage
 
 LEDGER = (
     "tile_id string, city string, split string, label int, gate string, gate_reason string, gate_confidence double, "
@@ -58,6 +59,47 @@ def scene_dates(lines: DataFrame) -> DataFrame:
     return dates.groupBy("pair_id").agg(*(F.max(F.when(F.col("t") == str(t), F.col("d"))).alias(f"date_t{t}") for t in (1, 2)))
 
 
+def list_pairs(manifest: DataFrame, split: str = "all") -> DataFrame:
+    """The pairs of one split, or all; another word is an error."""
+    if split not in ("train", "test", "all"):
+        raise ValueError(f"split must be train, test or all, got {split!r}")
+    return manifest if split == "all" else manifest.where(F.col("split") == split)
+
+
+def label_files(files: DataFrame) -> DataFrame:
+    """pair_id, path and encoding of each pair's label: ``cm/cm.png``, else ``cm/<pair>-cm.tif``, else ``cm/cm.tif``.
+
+    The kind of file states its encoding; it can't be told from the pixels.
+    """
+    pair, name = F.regexp_extract("path", r"([^/]+)/cm/([^/]+)$", 1), F.regexp_extract("path", r"([^/]+)/cm/([^/]+)$", 2)
+    rank = F.when(name == "cm.png", 0).when(name == F.concat(pair, F.lit("-cm.tif")), 1).when(name == "cm.tif", 2)
+    best = files.select(pair.alias("pair_id"), rank.alias("rank"), "path").where("rank is not null").groupBy("pair_id").agg(F.min(F.struct("rank", "path")).alias("b"))
+    return best.select("pair_id", "b.path", F.when(F.col("b.rank") == 0, "gt127").otherwise("eq2").alias("encoding"))
+
+
+def verify_layout(manifest: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: ok, and what was found (pairs by split, and how many have a label)."""
+    both = manifest.join(labels.select("pair_id", F.lit(1).alias("_has")), "pair_id", "left")
+    got = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("train"), F.count("_has").alias("labelled"))
+    found = F.format_string("%d pairs (%d train / %d test), %d labelled", "n", "train", F.col("n") - F.col("train"), "labelled")
+    return got.select((F.col("n") > 0).alias("ok"), F.when(F.col("n") > 0, found).otherwise("no pairs").alias("message"))
+
+
+def save_tile_index(tiles: DataFrame, path: str, note: dict | None = None) -> str:
+    """tiles (JSON lines in order of id) and summary (JSON, a row for each split) as one new version of ``path``."""
+    names = [c.split()[0] for c in TILE.split(", ")]
+    per_split = tiles.groupBy("split").agg(F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"), F.countDistinct("city").alias("cities"))
+    parts = {
+        "tiles": lambda folder: tiles.select(*names).orderBy("tile_id").write.json(folder),
+        "summary": lambda folder: per_split.coalesce(1).write.json(folder),
+    }
+    return storage.publish(tiles.sparkSession, path, parts, note)
+
+
+def saved_tiles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TILE).json(storage.current(spark, path, "tiles"), mode="FAILFAST")
+
+
 def label_changed(value: Column, encoding: Column) -> Column:
     """Whether a label pixel says changed: ``gt127``, ``eq2`` (1 or 2, 0 outside the labelled area) or ``eq1`` (0 or 1); other values raise."""
     bad = F.raise_error(F.concat(F.lit("illegal label value "), value.cast("string"))).cast("boolean")

@@ -8,7 +8,7 @@ from terrashift.config import GateThresholds, Settings, classify_overrides
 from terrashift.functions import indices as ix
 from terrashift.functions import scalars, stats
 from terrashift.operators import cost, embedding, evaluation, gate, ingest, joins, ledger, metrics, risk, scene, selection
-from terrashift.sources import files
+from terrashift.sources import files, storage
 from terrashift.sources.pixels import pair_dates, scene_arrays
 
 FEATURE = {
@@ -84,14 +84,39 @@ def test_zero_budget_flags_nothing(spark):
     assert got.threshold is None and got.flagged == 0 and got.recall == 0.0 and got.precision is None
 
 
-@pytest.mark.parametrize("budget", [0, 1, 2, 3, 5, 7, 10, 50, 105, 106, 200])
-def test_budget_always_wins(budget):
-    cities = [("a", 100), ("b", 3), ("c", 2), ("d", 1)]
-    calls = selection.reconcile(cities, budget)
-    assert sum(calls.values()) == min(budget, 106)
-    assert all(0 <= calls[c] <= n for c, n in cities)
-    if budget >= 4:
-        assert all(v >= 1 for v in calls.values())
+def walked(cities, budget):
+    """Shares by the sequential walk: one call moves at a time."""
+    total, size = sum(n for _, n in cities), dict(cities)
+    if budget >= total:
+        return size
+    if budget <= 0:
+        return dict.fromkeys(size, 0)
+    if budget < len(cities):
+        largest = sorted(cities, key=lambda x: (-x[1], x[0]))[:budget]
+        return {c: int((c, n) in largest) for c, n in cities}
+    fair = {c: budget * n / total for c, n in cities}
+    calls = {c: min(n, max(1, int(fair[c]))) for c, n in cities}
+    while left := budget - sum(calls.values()):
+        step = 1 if left > 0 else -1
+        free = [c for c in calls if (calls[c] < size[c] if step > 0 else calls[c] > 1)]
+        calls[(max if step > 0 else min)(free, key=lambda c: (fair[c] - calls[c], c))] += step
+    return calls
+
+
+@pytest.mark.parametrize("cities", [[("a", 100), ("b", 3), ("c", 2), ("d", 1)], [(f"c{k:02d}", 1 + k % 2) for k in range(30)] + [("big", 400), ("other", 300)], [(f"c{k}", 7) for k in range(9)], [("one", 5)]])
+def test_budget_always_wins(spark, cities):
+    df = rows(spark, [(c, f"{c}-{i}") for c, n in cities for i in range(n)], "city string, tile_id string")
+    total = sum(n for _, n in cities)
+    for budget in sorted({0, 1, 2, len(cities) - 1, len(cities), len(cities) + 1, total // 3, total // 2, total - 1, total, total + 9}):
+        calls = {r.city: r.calls for r in selection.allocation(df, budget).collect()}
+        assert calls == walked(cities, budget), budget
+        assert sum(calls.values()) == min(budget, total)
+
+
+def test_a_city_is_cut_before_it_is_gathered(spark):
+    df = rows(spark, [("a", f"a{i}") for i in range(50)], "city string, tile_id string")
+    plan = selection.stratified(df, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
 
 
 def test_selection_strategies(spark):
@@ -322,9 +347,10 @@ def test_refused_tiles_are_no_negatives_and_the_report_is_published(spark, tmp_p
     assert (got.n_tiles, got.n_low_quality, got.tp, got.fp, got.fn, got.tn) == (4, 1, 1, 0, 1, 1)
     assert got.groups == ["a", "b"] and got.groups_scored == ["a"] and got.tier0_refused_pct == 25.0
     evaluation.publish(judged, report, str(tmp_path), "test")
-    text = [r.value for r in spark.read.text(f"{tmp_path}/report").collect()]
+    at = storage.current(spark, str(tmp_path))
+    text = [r.value for r in spark.read.text(f"{at}/report").collect()]
     assert text[0] == "# Gate evaluation: test" and any(line.startswith("| recall | 0.5 | [") for line in text)
-    assert spark.read.json(f"{tmp_path}/summary").first().n_tiles == 4 and spark.read.csv(f"{tmp_path}/features", header=True).count() == 4
+    assert spark.read.json(f"{at}/summary").first().n_tiles == 4 and spark.read.csv(f"{at}/features", header=True).count() == 4
 
 
 def test_report_of_no_tiles(spark):
