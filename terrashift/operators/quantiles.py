@@ -10,9 +10,11 @@ are then counted one by one, and a running count within a bucket gives the
 value at a rank. A quantile between two ranks is interpolated, as NumPy and
 Spark's ``percentile`` do.
 
-Tables of buckets and of results are written, so that their size is known when
+Tables of cells and of results are written, so that their size is known when
 they are joined with the values: small ones travel to the values, and however
-many groups there are, values are never sent to their groups.
+many groups there are, values are never sent to their groups. Where the caller
+knows that there are at most ``most`` values in all, they fit a task whatever
+their groups are, and Spark's exact ``percentile`` gives the same in one step.
 """
 
 from __future__ import annotations
@@ -34,57 +36,64 @@ def bucket(value: Column) -> Column:
     return F.when(value < 0, -far - 1).otherwise(far)
 
 
-def _ranks(probs: list[float]) -> Column:
-    """The places (from 1) of the two order statistics around each quantile, with the weight of the upper one."""
+def _wanted(probs: list[float], n: Column) -> Column:
+    """(slot, place, weight) of the two order statistics around each quantile of ``n`` values: places from 0, weight of the upper one."""
 
     def one(k: int, p: float) -> list[Column]:
-        at = F.lit(float(p)) * (F.col("n") - 1)
+        at = F.lit(float(p)) * (n - 1)
         low = F.floor(at)
         return [F.struct(F.lit(2 * k + up).alias("slot"), (F.ceil(at) if up else low).cast("bigint").alias("place"), (at - low).alias("weight")) for up in (0, 1)]
 
     return F.array(*(s for k, p in enumerate(probs) for s in one(k, p)))
 
 
-def _located(counted: DataFrame, wanted: DataFrame, within: list[str], by: str) -> DataFrame:
-    """Of the cells of ``counted`` (within, by, k, lo, hi) those that hold a wanted place, and the place inside them.
+def _located(counted: DataFrame, within: list[str], by: str, wanted: Column, n: Column | None = None) -> DataFrame:
+    """A row for each wanted place of each group of ``counted`` (within, by, k, ...): the cell that holds it, and the place inside it.
 
-    ``wanted`` has within, slot, weight and place (from 0).
+    ``wanted`` is an array of (slot, place, weight) of the group, in terms of
+    its size ``n`` where that is not a column yet. Running counts over the
+    group's cells do it; nothing is joined.
     """
-    order = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = counted.withColumn("end", F.sum("k").over(order)).withColumn("begin", F.col("end") - F.col("k"))
-    held = cells.join(wanted, within).where("place >= begin and place < end")
-    return held.withColumn("place", F.col("place") - F.col("begin")).drop("begin", "end")
+    group = Window.partitionBy(*within)
+    upto = group.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = counted.withColumn("_end", F.sum("k").over(upto)).withColumn("_begin", F.col("_end") - F.col("k"))
+    if n is not None:
+        cells = cells.withColumn("n", n.over(group))
+    here = F.filter(wanted, lambda w: (w["place"] >= F.col("_begin")) & (w["place"] < F.col("_end")))
+    held = cells.select(*counted.columns, "n", "_begin", F.inline(here)) if n is not None else cells.select(*counted.columns, "_begin", F.inline(here))
+    return held.withColumn("place", F.col("place") - F.col("_begin")).drop("_begin")
 
 
-def quantiles(values: DataFrame, keys: list[str], column: str, probs: list[float], most: int = MOST) -> DataFrame:
-    """``keys``, n and q (an array with the quantile of each of ``probs``), exact, in a written table.
+def kept(df: DataFrame, name: str, at_most: int | None, most: int = MOST) -> DataFrame:
+    """A small table for joins: broadcast where its rows have a known bound, else written, so that its true size decides."""
+    return F.broadcast(df) if at_most is not None and at_most <= most else written(df, name)
+
+
+def quantiles(values: DataFrame, keys: list[str], column: str, probs: list[float], most: int = MOST, at_most: int | None = None) -> DataFrame:
+    """``keys``, n and q (an array with the quantile of each of ``probs``), exact.
 
     ``values`` is read two or more times, so give a written table or something
-    as cheap to read. NULL and NaN don't count; groups without values are left
-    out. Infinite values are not supported.
+    as cheap to read; ``at_most`` is a bound of its rows that is known. NULL
+    and NaN don't count; groups without values are left out. Infinite values
+    are not supported.
     """
-    rows = values.select(*keys, F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)").withColumn("c0", bucket(F.col("v")))
+    rows = values.select(*keys, F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    if at_most is not None and at_most <= most:
+        return F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.array(*(F.lit(float(p)) for p in probs))).alias("q")))
+    rows = rows.withColumn("c0", bucket(F.col("v")))
     span = [F.count(F.lit(1)).alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")]
-    counted = written(rows.groupBy(*keys, "c0").agg(*span), "quantile-buckets")
-    sizes = counted.groupBy(*keys).agg(F.sum("k").alias("n"))
-    wanted = sizes.select(*keys, "n", F.inline(_ranks(probs)))
-    cells, names = written(_located(counted, wanted, keys, "c0"), "quantile-cells"), ["c0"]
+    counted = rows.groupBy(*keys, "c0").agg(*span)
+    names = ["c0"]
+    cells = written(_located(counted, keys, "c0", _wanted(probs, F.col("n")), F.sum("k")), "quantile-cells")
     while cells.where((F.col("k") > most) & (F.col("lo") < F.col("hi"))).head() is not None:
         name = f"c{len(names)}"
-        rows = rows.join(_distinct(cells, keys, names), [*keys, *names])
         part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS)).otherwise(0)
-        rows = rows.withColumn(name, part.cast("int")).drop("lo", "hi")
-        counted = rows.groupBy(*keys, *names, name).agg(*span)
-        inside = cells.select(*keys, *names, "n", "slot", "weight", "place")
-        cells = written(_located(counted, inside, [*keys, *names], name), "quantile-cells")
+        rows = _near(rows, cells, keys, names).withColumn(name, part.cast("int")).drop("lo", "hi", "n", "wanted")
+        counted = _near(rows, cells, keys, names).groupBy(*keys, *names, name, "n", "wanted").agg(*span)
+        cells = written(_located(counted, [*keys, *names], name, F.col("wanted")).drop("wanted"), "quantile-cells")
         names.append(name)
-    # a cell of one value needs no look at the rows
-    single = cells.where("lo = hi").select(*keys, "n", "slot", "weight", F.col("lo").alias("v"))
-    crowd = cells.where("lo < hi")
-    near = rows.join(_distinct(crowd, keys, names).drop("lo", "hi"), [*keys, *names])
-    each = near.groupBy(*keys, *names, "v").agg(F.count(F.lit(1)).alias("k"))
-    found = _located(each, crowd.select(*keys, *names, "n", "slot", "weight", "place"), [*keys, *names], "v").select(*keys, "n", "slot", "weight", "v")
-    both = single.unionByName(found)
+    near = _near(rows, cells, keys, names).groupBy(*keys, *names, "n", "wanted", "v").agg(F.count(F.lit(1)).alias("k"))
+    found = _located(near, [*keys, *names], "v", F.col("wanted"))
 
     def at(slot: int) -> Column:
         return F.max(F.when(F.col("slot") == slot, F.col("v")))
@@ -94,12 +103,15 @@ def quantiles(values: DataFrame, keys: list[str], column: str, probs: list[float
         return F.when(low == high, low).otherwise(low * (1.0 - weight) + high * weight)
 
     q = F.array(*(between(k) for k in range(len(probs))))
-    return written(both.groupBy(*keys, "n").agg(q.alias("q")), "quantiles")
+    return written(found.groupBy(*keys, "n").agg(q.alias("q")), "quantiles")
 
 
-def _distinct(cells: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    return cells.select(*keys, *names, "lo", "hi").distinct()
+def _near(rows: DataFrame, cells: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``rows`` in cells that hold a wanted place, with the cell's bounds, its group's size and the places wanted inside it."""
+    wanted = F.collect_list(F.struct("slot", "place", "weight")).alias("wanted")  # two a quantile at most
+    one = cells.groupBy(*keys, *names, "lo", "hi", "n").agg(wanted)
+    return rows.join(one, [*keys, *names])
 
 
-def medians(values: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return quantiles(values, keys, column, [0.5]).select(*keys, "n", F.col("q")[0].alias("median"))
+def medians(values: DataFrame, keys: list[str], column: str, at_most: int | None = None) -> DataFrame:
+    return quantiles(values, keys, column, [0.5], at_most=at_most).select(*keys, "n", F.col("q")[0].alias("median"))

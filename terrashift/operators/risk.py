@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from terrashift.config import MASK_CHANGING, GateThresholds
 from terrashift.functions import stats
 from terrashift.operators import gate as gates
+from terrashift.sources.storage import written
 
 GRID_STEPS = 200  # fixed value: thresholds 0, 1/200, ..., 1
 
@@ -102,9 +103,12 @@ def split_groups(names: list[str], share: float = 0.3, seed: int = 42) -> tuple[
     return chosen, [n for n in names if n not in chosen]
 
 
-def sweep(features: DataFrame, grid: list[dict[str, float]], base: GateThresholds | None = None, truth: str = "label") -> DataFrame:
+def sweep(features: DataFrame, grid: list[dict[str, float]], base: GateThresholds | None = None, truth: str = "label", outer: int = 0) -> DataFrame:
     """combo (its place in ``grid``), counts and balanced accuracy of every combination, best first, the first on a tie.
 
+    With ``outer`` the features come in so many forms (column outer, from 0),
+    and the grid is held against each: combo counts forms first.
+
     A tile's decision depends only on which values of each swept threshold it
     meets. Tiles are counted by label and these answers first; there are no more
     such cells than combinations of answers, however many tiles there are. The
@@ -117,16 +121,22 @@ def sweep(features: DataFrame, grid: list[dict[str, float]], base: GateThreshold
         raise ValueError(f"can't be swept over given features: {sorted(other)}")
     axes = {n: sorted({values.get(n, getattr(base, n)) for values in grid}) for n in names}
     met = {n: F.array(*(F.coalesce(gates.holds(n, v), F.lit(False)) for v in axes.get(n, [getattr(base, n)]))) for n in gates.DECIDING}
-    cells = features.where("valid_observation").groupBy(F.col(truth).alias("y"), *(c.alias(f"met_{n}") for n, c in met.items())).agg(F.count(F.lit(1)).alias("n"))
+    form = F.col("outer") if outer else F.lit(0)
+    if outer:
+        features = features.where(F.col("outer") < outer)
+    cells = features.where("valid_observation").groupBy(form.alias("form"), F.col(truth).alias("y"), *(c.alias(f"met_{n}") for n, c in met.items())).agg(F.count(F.lit(1)).alias("n"))
     places = [(k, *(axes[n].index(values.get(n, getattr(base, n))) for n in names)) for k, values in enumerate(grid)]
-    combos = features.sparkSession.createDataFrame(places, ", ".join(["combo int", *(f"at_{n} int" for n in names)]))
+    combos = features.sparkSession.createDataFrame(places, ", ".join(["place int", *(f"at_{n} int" for n in names)]))
+    combos = written(combos, "combinations")  # so that its size is known, and cells meet a broadcast list
     hit = F.lit(False)
     for condition, _ in gates.rules(lambda n: F.get(f"met_{n}", F.col(f"at_{n}") if n in axes else F.lit(0))):
         hit = hit | condition
-    judged = cells.crossJoin(combos).select("combo", "y", "n", hit.alias("hit"))
+    combo = (F.col("form") * len(grid) + F.col("place")).cast("int").alias("combo")
+    judged = cells.crossJoin(combos).select(combo, "y", "n", hit.alias("hit"))
     of = {"tp": "y = 1 and hit", "fp": "y = 0 and hit", "fn": "y = 1 and not hit", "tn": "y = 0 and not hit"}
     got = judged.groupBy("combo").agg(*(F.expr(f"coalesce(sum(n) filter (where {k}), 0)").alias(c) for c, k in of.items()))
-    got = combos.select("combo").join(got, "combo", "left").na.fill(0, list(of))  # a row for each combination even without tiles
+    every = features.sparkSession.range(max(1, outer) * len(grid)).select(F.col("id").cast("int").alias("combo"))
+    got = every.join(got, "combo", "left").na.fill(0, list(of))  # a row for each combination even without tiles
     score = F.coalesce(stats.balanced_accuracy(*(F.col(c) for c in of)), F.lit(0.0))
     return got.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "combo")
 
@@ -148,18 +158,29 @@ def sweep_masks(
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "combo")
 
 
-def best_and_baseline(
-    features_of: Callable[[GateThresholds], DataFrame], axes: dict[str, list[float]], base: GateThresholds | None = None, truth: str = "label"
-) -> DataFrame:
-    """Two rows, ``best`` and ``baseline``: the swept thresholds, counts, score, and how many combinations were tried."""
+def sweep_sigmas(features: DataFrame, axes: dict[str, list[float]], base: GateThresholds | None = None, truth: str = "label") -> DataFrame:
+    """As ``sweep_masks`` where background_sigma is the only axis that changes the mask, over ``features_by_sigma``: one scan for all."""
+    inner = product_grid({n: v for n, v in axes.items() if n != "background_sigma"})
+    return sweep(features, inner, base, truth, outer=len(axes["background_sigma"]))
+
+
+def best_and_baseline(features: DataFrame, axes: dict[str, list[float]], base: GateThresholds | None = None, truth: str = "label") -> DataFrame:
+    """Two rows, ``best`` and ``baseline``: the swept thresholds, counts, score, and how many combinations were tried.
+
+    ``features`` has a form for each background sigma of ``axes``, and one
+    behind them for that of ``base``.
+    """
     base = base or GateThresholds()
-    outer = {n: v for n, v in axes.items() if n in MASK_CHANGING}
-    ordered = {**outer, **{n: v for n, v in axes.items() if n not in MASK_CHANGING}}
-    names = list(ordered)
-    tried = product_grid(ordered)
-    known = features_of(base).sparkSession.createDataFrame([(k, *(float(v[n]) for n in names)) for k, v in enumerate(tried)], ", ".join(["combo int", *(f"{n} double" for n in names)]))
-    best = sweep_masks(features_of, axes, base, truth).limit(1).join(known, "combo").withColumn("which", F.lit("best"))
-    held = sweep(features_of(base), [{}], base, truth).withColumns({"which": F.lit("baseline"), **{n: F.lit(float(getattr(base, n))) for n in names}})
+    names = ["background_sigma", *(n for n in axes if n != "background_sigma")]
+    tried = product_grid({n: axes[n] for n in names})
+    best = sweep_sigmas(features, axes, base, truth).limit(1)
+    at, left = {}, F.col("combo")
+    for n in reversed(names):  # the last axis moves fastest
+        at[n] = F.element_at(F.array(*(F.lit(float(v)) for v in axes[n])), (left % len(axes[n]) + 1).cast("int"))
+        left = F.floor(left / len(axes[n]))
+    best = best.withColumns({"which": F.lit("best"), **at})
+    own = features.where(F.col("outer") == len(axes["background_sigma"]))
+    held = sweep(own, [{}], base, truth).withColumns({"which": F.lit("baseline"), **{n: F.lit(float(getattr(base, n))) for n in names}})
     columns = ["which", *names, "tp", "fp", "fn", "tn", "score"]
     return best.select(*columns).unionByName(held.select(*columns)).withColumn("n_evaluated", F.lit(len(tried)))
 

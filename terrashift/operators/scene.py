@@ -103,10 +103,12 @@ def scene_spread(pixels: DataFrame) -> DataFrame:
     The pool is the valid cells, or all cells where a scene has no valid one.
     ``pixels`` is read several times: give a written table.
     """
-    groups = quantiles.medians(pixels, ["scene", "valid"], "magnitude")
-    pool = written(groups.groupBy("scene").agg(F.max(F.struct("valid", "median")).alias("p")).select("scene", "p.valid", "p.median"), "scene-medians")
+    n = pixels.count()
+    groups = quantiles.medians(pixels, ["scene", "valid"], "magnitude", n)
+    pool = groups.groupBy("scene").agg(F.max(F.struct("valid", "median")).alias("p")).select("scene", "p.valid", "p.median")
+    pool = quantiles.kept(pool, "scene-medians", n)
     apart = pixels.join(pool, ["scene", "valid"]).select("scene", F.abs(F.col("magnitude") - F.col("median")).alias("apart"))
-    mad = quantiles.medians(apart, ["scene"], "apart")
+    mad = quantiles.medians(apart, ["scene"], "apart", n)
     return pool.select("scene", "median").join(mad.select("scene", F.col("median").alias("mad")), "scene")
 
 
@@ -171,6 +173,27 @@ def tile_features(pixels: DataFrame, keys: list[str], more: dict[str, Column] |
     return got.withColumn("urbanization_score", F.col("ndbi_delta_mean") - F.col("ndvi_delta_mean"))
 
 
+def features_by_sigma(
+    pixels: DataFrame, keys: list[str], sigmas: list[float], g: GateThresholds | None = None, more: dict[str, Column] | None = None
+) -> DataFrame:
+    """The tile features once for each background sigma, with its place in the list (outer) and changed_px, from one aggregation.
+
+    ``pixels`` has median and mad of its scene (``scene_spread``). A sigma only
+    moves the cut, so it only moves what is counted as changed.
+    """
+    g = g or GateThresholds()
+    hits = [F.coalesce((F.col("magnitude") > cut_at(s, g)) | (F.col("cva") > g.cva_magnitude_threshold), F.lit(False)) & F.col("valid") for s in sigmas]
+    counts = {f"_changed{k}": F.count_if(h) for k, h in enumerate(hits)}
+    got = tile_features(pixels.withColumn("changed", F.lit(False)), keys, (more or {}) | counts)
+
+    def of(k: int) -> Column:
+        area = F.when(F.col("n_valid") > 0, 100.0 * F.col(f"_changed{k}") / F.col("n_valid")).otherwise(F.lit(0.0))
+        return F.struct(F.lit(k).alias("outer"), area.alias("changed_area_percent"), F.col(f"_changed{k}").alias("changed_px"))
+
+    kept = [c for c in got.columns if c not in counts and c != "changed_area_percent"]
+    return got.select(*kept, F.inline(F.array(*(of(k) for k in range(len(sigmas))))))
+
+
 def joint_stretch(pixels: DataFrame, bands: tuple[str, ...] = ("red", "green", "blue")) -> DataFrame:
     """scene, low and high: the 2nd and 98th percentile of both dates' finite display bands together; ``pixels`` is read several times."""
     shown = F.array(*(F.col(f"{b}{t}") for b in bands for t in (1, 2)))

@@ -409,12 +409,12 @@ def _best_sql() -> str:
 
 @query("sweep_argmax", _sweep_sql("SELECT combo, tp, fp, fn, tn, score FROM sw"))
 def sweep_argmax(spark, d):
-    return risk.sweep_masks(lambda g: views.ft(spark, d, g), _AXES, GATE)
+    return risk.sweep_sigmas(views.swept(spark, d, _AXES["background_sigma"]), _AXES, GATE)
 
 
 @query("sweep_best", _best_sql())
 def sweep_best(spark, d):
-    return risk.best_and_baseline(lambda g: views.ft(spark, d, g), _AXES, GATE)
+    return risk.best_and_baseline(views.swept(spark, d, [*_AXES["background_sigma"], GATE.background_sigma]), _AXES, GATE)
 
 
 @query("stat_hoeffding_bound", """SELECT r_regionkey AS k, round(least(1.0E0, r_regionkey/10.0E0 + sqrt(ln(10.0E0)/(2.0E0*(r_regionkey*10 + 5)))), 6) AS bound FROM region""")

@@ -38,13 +38,12 @@ def ft(spark: Spark, d: str, g: GateThresholds = GATE) -> DataFrame:
     return features(ch(spark, d, g))
 
 
-def features(pixels: DataFrame) -> DataFrame:
-    more = {
-        "largest_component_px": F.count_if("changed").cast("int"),
-        "cloud_fraction": F.avg(F.col("cloud").cast("double")),
-        "valid_fraction": F.avg(F.col("valid").cast("double")),
-    }
-    got = scene.tile_features(pixels, TILE_KEYS, more)
+def clearness() -> dict:
+    return {"cloud_fraction": F.avg(F.col("cloud").cast("double")), "valid_fraction": F.avg(F.col("valid").cast("double"))}
+
+
+def judged_by(got: DataFrame) -> DataFrame:
+    """Tile features with the stand-ins, whether the tile is clear and its made-up label."""
     clear = (F.col("cloud_fraction") <= QUALITY.cloud_fraction_max) & (F.col("valid_fraction") >= QUALITY.min_valid_pixel_fraction)
     return got.withColumns(
         {
@@ -56,6 +55,20 @@ def features(pixels: DataFrame) -> DataFrame:
     )
 
 
+def features(pixels: DataFrame) -> DataFrame:
+    more = {"largest_component_px": F.count_if("changed").cast("int")} | clearness()
+    return judged_by(scene.tile_features(pixels, TILE_KEYS, more))
+
+
+def swept(spark: Spark, d: str, sigmas: list[float], g: GateThresholds = GATE) -> DataFrame:
+    """The tile features for each background sigma, from one scan of the deltas."""
+    pixels = written(dl(spark, d), "deltas")
+    spread = written(scene.scene_spread(pixels), "spread")
+    cells = tiles.assign(pixels.join(spread, "scene"), TILE)
+    got = scene.features_by_sigma(cells, TILE_KEYS, sigmas, g, clearness())
+    return judged_by(got.withColumn("largest_component_px", F.col("changed_px").cast("int")))
+
+
 def mk_clear(spark: Spark, d: str) -> DataFrame:
     """The masks with shadow taken out of the valid cells."""
     return scene.combined(scene.with_shadow(scene.masks(px(spark, d), CLEAR_MASKS), CLEAR_MASKS.shadow_search_radius_px))
