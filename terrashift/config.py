@@ -96,6 +96,25 @@ class Settings:
         return replace(base, **{k: replace(getattr(base, k), **v) for k, v in values.items()})
 
 
+def from_yaml(text: str) -> Settings:
+    """Settings from sections of ``name: value`` lines, two levels deep, numbers and true or false; an unknown name is an error."""
+    values: dict[str, dict] = {}
+    section = None
+    for number, raw in enumerate(text.splitlines(), 1):
+        line = raw.split("#")[0].rstrip()
+        if not line.strip():
+            continue
+        name, colon, value = (part.strip() for part in line.partition(":"))
+        if not colon or (line[0] == " ") == (not value) or line[0] == " " and section is None:
+            raise ValueError(f"line {number} is neither a section nor a value: {raw!r}")
+        if line[0] != " ":
+            section = values.setdefault(name, {})
+        else:
+            known = {"true": True, "false": False}
+            section[name] = known[value] if value in known else float(value) if any(c in value for c in ".eE") else int(value)
+    return Settings.from_dict(values)
+
+
 def classify_overrides(overrides: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
     """(applicable to cached features, stale: needs the features again)."""
     known = {f.name for f in fields(GateThresholds)}

@@ -11,6 +11,7 @@ from terrashift.functions import indices as ix
 from terrashift.functions import stats
 from terrashift.operators import gate, kernels, metrics
 from terrashift.sources import storage
+from terrashift.sources.storage import written
 
 BANDS = ("blue", "green", "red", "nir", "swir")
 REPORTED = ("precision", "recall", "specificity", "f1", "balanced_accuracy", "iou")
@@ -76,6 +77,39 @@ def compare(features: DataFrame, judges: dict[str, Callable[[DataFrame], DataFra
     return rows
 
 
+def ranking(scored: DataFrame, recall: float, truth: str = "label", score: str = "score") -> DataFrame:
+    """One row: average_precision, roc_auc and the best precision at ``recall`` or above (0 if it isn't reached) of one scorer."""
+    points = written(metrics.distinct_scores(scored, truth, score), "distinct-scores")
+    down = metrics.running_down(points, {"tp": "p", "fp": "n"})
+    total = points.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    p, n, fp = (F.col(c).cast("double") for c in ("p", "n", "fp"))
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    sums = down.crossJoin(F.broadcast(total)).agg(  # one row by construction
+        F.first("positives").alias("positives"),
+        F.first("negatives").alias("negatives"),
+        F.sum(p * precision).alias("ap"),
+        F.sum(p * fp - p * n / 2.0).alias("lost"),
+        F.max(F.when(F.col("tp") >= recall * F.col("positives"), precision)).alias("at"),
+    )
+    pairs = F.col("positives").cast("double") * F.col("negatives")
+    return sums.select(
+        "positives",
+        "negatives",
+        F.round(F.col("ap") / F.col("positives"), 6).alias("average_precision"),
+        F.round(F.when(pairs > 0, 1.0 - F.col("lost") / pairs), 6).alias("roc_auc"),
+        F.round(F.coalesce("at", F.lit(0.0)), 6).alias("precision_at_recall"),
+    )
+
+
+def rank_scorers(scorers: dict[str, DataFrame], recall: float, truth: str = "label", score: str = "score") -> DataFrame:
+    """scorer and its ``ranking``, a row each; every scorer's rows hold ``truth`` and ``score``, over the same tiles."""
+    rows = None
+    for name in sorted(scorers):
+        one = ranking(scorers[name], recall, truth, score).select(F.lit(name).alias("scorer"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def always(flag: bool) -> Callable[[DataFrame], DataFrame]:
     """The baselines that flag every tile, or none; quality still refuses first."""
     said = gate.CANDIDATE if flag else gate.NO_CHANGE
@@ -112,21 +146,22 @@ def control_battery(pixels: DataFrame, judge: Callable[[DataFrame], DataFrame])
     pair has changed cells, without which the first check says nothing.
     tier0_assessed: the masks come from observed cells.
     """
-    passes = {
-        "identity": (identical(pixels), (F.col("n_changed") == 0) & (F.col("n_flagged") == 0)),
-        "photometric": (relit(pixels), F.col("n_flagged") == 0),
-        "real_pair_differs": (pixels, F.col("n_changed") > 0),
-        "tier0_assessed": (pixels, F.col("n_seen") > 0),
-    }
+    calm = (F.col("n_changed") == 0) & (F.col("n_flagged") == 0)
+    passes = [
+        (identical(pixels), {"identity": calm}),
+        (relit(pixels), {"photometric": F.col("n_flagged") == 0}),
+        (pixels, {"real_pair_differs": F.col("n_changed") > 0, "tier0_assessed": F.col("n_seen") > 0}),
+    ]
     rows = None
-    for name, (given, passed) in passes.items():
+    for given, checks in passes:  # each set of pixels is judged once
         one = judge(given).agg(
             F.count(F.lit(1)).alias("n_tiles"),
             F.count_if(F.col("gate") == gate.CANDIDATE).alias("n_flagged"),
             F.count_if(F.col("changed_area_percent") > 0).alias("n_changed"),
             F.count_if(F.col("n_valid") > 0).alias("n_seen"),
         )
-        one = one.select(F.lit(name).alias("name"), "n_tiles", "n_flagged", "n_changed", passed.alias("passed"))
+        said = F.array(*(F.struct(F.lit(name).alias("name"), passed.alias("passed")) for name, passed in checks.items()))
+        one = one.select(F.inline(said), "n_tiles", "n_flagged", "n_changed").select("name", "n_tiles", "n_flagged", "n_changed", "passed")
         rows = one if rows is None else rows.unionByName(one)
     return rows
 

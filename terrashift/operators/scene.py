@@ -148,26 +148,33 @@ def valid_observation(scenes: DataFrame, q: QualityThresholds | None = None) ->
     return scenes.withColumn("valid_observation", registered & F.when(F.col("assessed"), clear).otherwise(F.lit(True)))
 
 
-def tile_features(pixels: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
-    """Means, signed percentiles, tails and changed area of each tile in one aggregation, with ``more`` aggregates of the caller's."""
+def _over(c: str) -> Column:
+    return F.when(F.col("valid") & ix.finite(F.col(c)), F.col(c))
 
-    def over(c: str) -> Column:
-        return F.when(F.col("valid") & ix.finite(F.col(c)), F.col(c))
 
-    def or_zero(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0.0))
+def _or_zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
 
+
+def mean_features() -> dict[str, Column]:
+    """Means and changed area over valid cells: aggregates that add up across tasks, for groups of any size."""
     n = F.count_if("valid")
-    agg = {f"{i}_delta_mean": or_zero(F.avg(over(f"d_{i}"))) for i in ("ndvi", "ndbi", "ndwi")}
-    agg |= {f"{i}_delta_abs_mean": or_zero(F.avg(F.abs(over(f"d_{i}")))) for i in ("ndvi", "ndbi", "ndwi")}
-    agg |= {
-        "cva_magnitude_mean": or_zero(F.avg(F.when(F.col("valid"), F.col("cva")))),
+    agg = {f"{i}_delta_mean": _or_zero(F.avg(_over(f"d_{i}"))) for i in ("ndvi", "ndbi", "ndwi")}
+    agg |= {f"{i}_delta_abs_mean": _or_zero(F.avg(F.abs(_over(f"d_{i}")))) for i in ("ndvi", "ndbi", "ndwi")}
+    return agg | {
+        "cva_magnitude_mean": _or_zero(F.avg(F.when(F.col("valid"), F.col("cva")))),
         "changed_area_percent": F.when(n > 0, 100.0 * F.count_if("changed") / n).otherwise(F.lit(0.0)),
-        "ndvi_delta_p10": or_zero(F.percentile(over("d_ndvi"), 0.1)),
-        "ndbi_delta_p90": or_zero(F.percentile(over("d_ndbi"), 0.9)),
-        "magnitude_p95": or_zero(F.percentile(over("magnitude"), 0.95)),
-        "magnitude_p99": or_zero(F.percentile(over("magnitude"), 0.99)),
         "n_valid": n,
+    }
+
+
+def tile_features(pixels: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """Means, signed percentiles, tails and changed area of each tile in one aggregation, with ``more`` aggregates of the caller's."""
+    agg = mean_features() | {
+        "ndvi_delta_p10": _or_zero(F.percentile(_over("d_ndvi"), 0.1)),
+        "ndbi_delta_p90": _or_zero(F.percentile(_over("d_ndbi"), 0.9)),
+        "magnitude_p95": _or_zero(F.percentile(_over("magnitude"), 0.95)),
+        "magnitude_p99": _or_zero(F.percentile(_over("magnitude"), 0.99)),
     } | (more or {})
     got = pixels.groupBy(*keys).agg(*(v.alias(k) for k, v in agg.items()))
     return got.withColumn("urbanization_score", F.col("ndbi_delta_mean") - F.col("ndvi_delta_mean"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrashift.operators import evaluation, gate, scene, tiles
 from terrashift.plans import views
 from terrashift.plans.registry import query
-from terrashift.plans.sql import GATE, MASKS, TILE, chain, gate_from_pixels, wilson
+from terrashift.plans.sql import CLEAR_GATE, GATE, MASKS, TILE, chain, clear_chain, gate_from_pixels, wilson
 
 _TALLY = """CAST(count(*) FILTER (gate = 'candidate_change' AND label = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (gate = 'candidate_change' AND label = 0) AS BIGINT) AS fp,
   CAST(count(*) FILTER (gate = 'no_change' AND label = 1) AS BIGINT) AS fn, CAST(count(*) FILTER (gate = 'no_change' AND label = 0) AS BIGINT) AS tn"""
@@ -17,7 +17,7 @@ _LOW, _HIGH = wilson("tp", "(tp + fn)")
 
 
 def _summary_sql() -> str:
-    return chain(
+    return clear_chain(
         "gt",
         f"""SELECT n_tiles, n_low_quality, n_tiles - n_low_quality AS n_assessable, n_candidate_change, groups, groups_scored, tp, fp, fn, tn,
         round(100.0E0*n_candidate_change/greatest(n_tiles, 1), 2) AS candidate_rate_pct, round(100.0E0*n_low_quality/greatest(n_tiles, 1), 2) AS tier0_refused_pct,
@@ -29,7 +29,7 @@ def _summary_sql() -> str:
 
 @query("eval_summary", _summary_sql())
 def eval_summary(spark, d):
-    _, report = evaluation.evaluate(views.ft(spark, d), lambda rows: gate.decide(rows, GATE), group="scene")
+    _, report = evaluation.evaluate(views.fc(spark, d), lambda rows: gate.decide(rows, CLEAR_GATE), group="scene")
     names = """n_tiles n_low_quality n_assessable n_candidate_change groups groups_scored tp fp fn tn candidate_rate_pct tier0_refused_pct gate_filtered_pct
         total_reduction_pct balanced_accuracy recall_low recall_high"""
     return report.select(*names.split())
@@ -59,18 +59,18 @@ _JUDGES = {
 
 def _compare_sql() -> str:
     parts = (f"SELECT '{name}' AS scorer, {_COUNTS} FROM (SELECT label, {said} AS gate FROM gt)" for name, said in _JUDGES.items())
-    return chain("gt", f"SELECT *, {_BALANCED} FROM (" + "\nUNION ALL ".join(parts) + ")")
+    return clear_chain("gt", f"SELECT *, {_BALANCED} FROM (" + "\nUNION ALL ".join(parts) + ")")
 
 
 @query("eval_baselines", _compare_sql())
 def eval_baselines(spark, d):
     judges = {
-        "rules": lambda rows: gate.decide(rows, GATE),
+        "rules": lambda rows: gate.decide(rows, CLEAR_GATE),
         "all": evaluation.always(True),
         "none": evaluation.always(False),
         "area": evaluation.above("changed_area_percent", 10.0),
     }
-    got = evaluation.compare(views.ft(spark, d), judges, group="scene")
+    got = evaluation.compare(views.written(views.fc(spark, d), "features"), judges, group="scene")
     return got.select("scorer", "n_tiles", "n_low_quality", "n_candidate_change", "tp", "fp", "fn", "tn", "balanced_accuracy")
 
 

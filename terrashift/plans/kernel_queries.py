@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrashift.operators import gate, kernels, scorers
+from terrashift.operators import evaluation, gate, kernels, scorers
 from terrashift.plans import views
 from terrashift.plans.registry import query
-from terrashift.plans.sql import CLEAR_GATE, chain, clear_chain, components
+from terrashift.plans.sql import CLEAR_GATE, GATE, chain, clear_chain, components
 from terrashift.plans.views import TILE_KEYS, rounded
+from terrashift.sources.storage import written
 from terrashift.streaming import events as streams
 
 FEATURES = [
@@ -120,6 +121,35 @@ def ml_gbt_scorer(spark, d):
     return _scorer(spark, d, "boosted")
 
 
+_RANKED = """
+SELECT '{name}' AS scorer, positives, negatives, round(ap/positives, 6) AS average_precision, round(1.0E0 - lost/(CAST(positives AS DOUBLE)*negatives), 6) AS roc_auc,
+  round(coalesce(best, 0.0E0), 6) AS precision_at_recall FROM (
+  SELECT max(pos) AS positives, max(neg) AS negatives, sum(CAST(p AS DOUBLE)*tp/(tp + fp)) AS ap, sum(CAST(p AS DOUBLE)*fp - CAST(p AS DOUBLE)*n/2.0E0) AS lost,
+    max(CAST(tp AS DOUBLE)/(tp + fp)) FILTER (tp >= 0.5E0*pos) AS best
+  FROM (SELECT *, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp, CAST(sum(p) OVER () AS BIGINT) AS pos, CAST(sum(n) OVER () AS BIGINT) AS neg FROM (
+    SELECT {score} AS s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM gt GROUP BY 1) WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))"""
+
+
+@query("rank_features", chain("gt", "\nUNION ALL ".join(_RANKED.format(name=n, score=c) for n, c in (("area", "changed_area_percent"), ("rules", "gate_confidence"), ("vector", "cva_magnitude_mean")))))
+def rank_features(spark, d):
+    """The rule gate's confidence against single features: average precision, ROC AUC, precision at half of the recall."""
+    rows = written(gate.decide(views.ft(spark, d), GATE), "judged")
+    named = {"rules": "gate_confidence", "area": "changed_area_percent", "vector": "cva_magnitude_mean"}
+    return evaluation.rank_scorers({n: rows.select("label", F.col(c).alias("score")) for n, c in named.items()}, 0.5)
+
+
+@query("rank_scorers")
+def rank_scorers(spark, d):
+    """The rule gate and the learned scorers, fitted on scenes 1 to 4, over the other scenes."""
+    rows = written(gate.decide(views.ft(spark, d), GATE), "judged")
+    train, test = rows.where("scene <= 4"), rows.where("scene > 4")
+    found = {"rule_gate_confidence": test.select("label", F.col("gate_confidence").alias("score"))}
+    for name, kind in (("logistic_regression", "logistic"), ("gradient_boosting", "boosted")):
+        got = scorers.fit(train, FEATURES, kind, rounds=20).score(test, FEATURES)
+        found[name] = got.select("label", F.col("p_change").alias("score"))
+    return evaluation.rank_scorers(found, 0.5)
+
+
 @query("stream_event_dedupe_totals", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_event_dedupe_totals(spark, d):
     stream = streams.totals(streams.deduplicated(streams.event_stream(spark, d), "40 days"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrashift.operators import regions
+from terrashift.config import Settings
+from terrashift.operators import regions, triage
 from terrashift.plans import views
 from terrashift.plans.registry import query
-from terrashift.plans.sql import CLEAR_GATE, TILE, clear_chain
+from terrashift.plans.sql import CLEAR_GATE, CLEAR_MASKS, QUALITY, TILE, _features, _gate, clear_chain
 from terrashift.plans.views import rounded
 
 # The opening by a cross over a scene's frame, then recursive reachability over 8 neighbours.
@@ -60,3 +61,47 @@ def region_despeckled(spark, d):
 )
 def region_summary(spark, d):
     return regions.summary(views.cr(spark, d), block=TILE).withColumn("component_fill_ratio", F.round("component_fill_ratio", 6))
+
+
+_SETTINGS = Settings(CLEAR_MASKS, QUALITY, CLEAR_GATE)
+
+
+def _given(spark, d):
+    """Similarity and registration that SQL can compute too."""
+    cells = triage.changed_cells(views.px(spark, d), _SETTINGS, block=TILE)
+    means = cells.groupBy("scene").agg(F.coalesce(F.avg(F.when(F.col("valid"), F.col("cva"))), F.lit(0.0)).alias("m"), F.count_if("valid").alias("n"))
+    return means.select("scene", F.greatest(F.lit(0.0), 1.0 - F.col("m")).alias("ssim"), (F.col("n") % 32).cast("int").alias("phash_distance"), F.lit(0.5).alias("registration_px"))
+
+
+@query(
+    "triage_scenes",
+    clear_chain(
+        "ch",
+        f""", {_OPENED}, {_components('op')},
+        cs AS (SELECT op.* EXCLUDE (changed, trow, tcol), 0 AS trow, 0 AS tcol, coalesce(s.px >= {CLEAR_GATE.min_component_size_px}, FALSE) AS changed FROM op
+          LEFT JOIN m ON m.scene = op.scene AND m.id = CAST(op.y AS BIGINT)*4294967296 + op.x LEFT JOIN s ON s.scene = m.scene AND s.label = m.label),
+        {_features('cs')},
+        big AS (SELECT scene, max(px) AS px FROM s WHERE px >= {CLEAR_GATE.min_component_size_px} GROUP BY scene),
+        fs AS (SELECT ft.* EXCLUDE (largest_component_px), coalesce(big.px, 0) AS largest_component_px FROM ft LEFT JOIN big ON big.scene = ft.scene), {_gate(CLEAR_GATE, 'fs')}
+        SELECT scene, n_valid, largest_component_px, round(changed_area_percent, 6) AS changed_area_percent, round(ndvi_delta_p10, 6) AS ndvi_delta_p10,
+          round(magnitude_p99, 6) AS magnitude_p99, round(cloud_fraction, 6) AS cloud_fraction, valid_observation, gate, gate_reason, round(gate_confidence, 4) AS gate_confidence FROM gt""",
+    ),
+)
+def triage_scenes(spark, d):
+    """Scenes from bands to decision over shadow-free, scene-wide despeckled cells; tails by distributed selection."""
+    got = triage.run(views.px(spark, d), _SETTINGS, _given(spark, d), block=TILE)
+    names = "n_valid largest_component_px changed_area_percent ndvi_delta_p10 magnitude_p99 cloud_fraction valid_observation gate gate_reason"
+    return rounded(got.select("scene", *names.split(), F.round("gate_confidence", 4).alias("gate_confidence")))
+
+
+@query("triage_full")
+def triage_full(spark, d):
+    """The same with similarity and registration from the kernels, and normalisation before everything."""
+    got = triage.run(views.px(spark, d), _SETTINGS, normalise=True, block=TILE)
+    return got.select("scene", "registration_px", "ssim", "phash_distance", "valid_observation", "gate", "gate_reason", "gate_confidence")
+
+
+@query("ab_normalisation")
+def ab_normalisation(spark, d):
+    labels = views.px(spark, d).groupBy("scene").agg((F.col("scene") % 2).alias("label"))
+    return triage.ab_normalisation(views.px(spark, d), labels, _SETTINGS, _given(spark, d), block=TILE)

@@ -4,12 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrashift import config
 from terrashift.config import GateThresholds, Settings, classify_overrides
 from terrashift.functions import indices as ix
 from terrashift.functions import scalars, stats
-from terrashift.operators import cost, embedding, evaluation, gate, ingest, joins, ledger, metrics, risk, scene, selection
+from terrashift.operators import cost, embedding, evaluation, gate, ingest, joins, ledger, metrics, reports, risk, scene, selection, triage
 from terrashift.sources import files, storage
 from terrashift.sources.pixels import pair_dates, scene_arrays
+from terrashift.sources.storage import written
 
 FEATURE = {
     "tile_id": "t",
@@ -366,3 +368,71 @@ def test_running_sums_equal_a_plain_loop(spark):
         tp, fp = tp + r.p, fp + r.n
         assert (r.tp, r.fp) == (tp, fp)
     assert len(got) == 1000
+
+
+def textured():
+    """The scenes with a texture that both dates share, so that their registration can be measured."""
+    held = scenes()
+    texture = np.random.default_rng(4).normal(0, 0.02, (64, 64))
+    return {name: {t: {b: np.clip(v * (1 + 4 * texture), 0, 1.5) for b, v in bands.items()} for t, bands in dates.items()} for name, dates in held.items()}
+
+
+def test_whole_scenes_in_one_call(spark, tmp_path):
+    pixels = written(pair_dates(scene_arrays(spark, textured())), "scenes")
+    results = triage.run(pixels, block=16)
+    got = {r.scene: r for r in results.collect()}
+    assert {k: r.gate for k, r in got.items()} == {"changed": "candidate_change", "stable": "no_change"}
+    changed = got["changed"]
+    assert 900 <= changed.largest_component_px <= 1024 and changed.n_components == 1 and changed.changed_area_percent == pytest.approx(100 * changed.largest_component_px / 4096)
+    assert changed.registration_px < 1.5 and changed.valid_observation and got["stable"].largest_component_px == 0
+    cells = triage.changed_cells(pixels, block=16)
+    for r in cells.where("scene = 'changed'").groupBy("scene").agg(F.percentile("magnitude", 0.99).alias("p99"), F.percentile("d_ndvi", 0.1).alias("p10")).collect():
+        assert changed.magnitude_p99 == pytest.approx(r.p99) and changed.ndvi_delta_p10 == pytest.approx(r.p10)
+    folder = triage.publish(results, str(tmp_path / "run"))
+    assert spark.read.json(f"{folder}/result").count() == 2 and storage.marker(spark, str(tmp_path / "run"))["config_sha"] == changed.config_sha
+
+
+def test_normalisation_is_undone_by_its_fit(spark):
+    """A stable scene in another light: matched again, it has no change, and the A/B report says what that did."""
+    held = textured()
+    for b in held["stable"][2]:
+        held["stable"][2][b] = held["stable"][2][b] * 1.4 + 0.02
+    pixels = written(pair_dates(scene_arrays(spark, held)), "scenes")
+    matched = triage.normalised(pixels).where("scene = 'stable'")
+    assert matched.agg(F.max(F.abs(F.col("nir1") - F.col("nir2")))).first()[0] < 0.05
+    labels = rows(spark, [("changed", 1), ("stable", 0)], "scene string, label int")
+    given = rows(spark, [("changed", 0.9, 0, 0.1), ("stable", 0.9, 0, 0.1)], "scene string, ssim double, phash_distance int, registration_px double")
+    sides = {r.side: r for r in triage.ab_normalisation(pixels, labels, given=given, block=32).collect()}
+    assert set(sides) == {"off", "on", "delta"} and (sides["on"].tp, sides["on"].fp) == (1, 0)
+    assert sides["delta"].fp == sides["on"].fp - sides["off"].fp
+
+
+def test_ranking_equals_a_plain_loop(spark):
+    values = [((k * 7919 % 50) / 50.0, int((k * 31 % 17) < 6)) for k in range(400)]
+    got = evaluation.ranking(rows(spark, values, "score double, label int"), 0.4).first()
+    pos, neg = [s for s, y in values if y], [s for s, y in values if not y]
+    auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    ap, best = 0.0, 0.0
+    for cut in sorted({s for s, _ in values}, reverse=True):
+        tp, fp = sum(s >= cut for s in pos), sum(s >= cut for s in neg)
+        ap += sum(s == cut for s in pos) / len(pos) * tp / (tp + fp)
+        best = max(best, tp / (tp + fp)) if tp >= 0.4 * len(pos) else best
+    assert (got.roc_auc, got.average_precision, got.precision_at_recall) == (round(auc, 6), round(ap, 6), round(best, 6))
+    assert (got.positives, got.negatives) == (len(pos), len(neg))
+
+
+def test_reports_and_tuned_thresholds(spark, tmp_path):
+    points = rows(spark, [(1.0, 3, None, ["a", "b"]), (2.0, 5, 0.5, [])], "budget double, calls int, recall double, cities array<string>")
+    folder = reports.publish(str(tmp_path / "points"), {"points": points}, "Operating points")
+    lines = [r.value for r in spark.read.text(f"{folder}/points-report").collect()]
+    assert lines == ["# Operating points: points", "", "| budget | calls | recall | cities |", "|---|---|---|---|", "| 1.0 | 3 | not assessed | a, b |", "| 2.0 | 5 | 0.5 |  |"]
+    assert spark.read.json(f"{folder}/points").count() == 2
+    best = rows(spark, [("best", 3.0, 0.25, 9), ("baseline", 2.0, 0.2, 7)], "which string, background_sigma double, ndvi_strong_min double, tp int")
+    folder = reports.publish_tuning(best, str(tmp_path / "tuned"), ["ndvi_strong_min", "background_sigma"], "train")
+    text = "\n".join(r.value for r in spark.read.text(f"{folder}/thresholds").collect())
+    assert text == "# In-sample fit on split train\ngate:\n  background_sigma: 3.0\n  ndvi_strong_min: 0.25"
+    read = config.from_yaml(text)
+    assert (read.gate.background_sigma, read.gate.ndvi_strong_min) == (3.0, 0.25) and read.masks == config.Settings().masks
+    for bad in ("gate:\n  unknown: 1", "other:\n  a: 1", "  a: 1", "gate: 3", "gate:\n  background_sigma"):
+        with pytest.raises((ValueError, TypeError)):
+            config.from_yaml(bad)
