@@ -103,6 +103,22 @@ def split_groups(names: list[str], share: float = 0.3, seed: int = 42) -> tuple[
     return chosen, [n for n in names if n not in chosen]
 
 
+def split_rows(rows: DataFrame, group: str, share: float = 0.3, seed: int = 42) -> DataFrame:
+    """``group`` and side (calibration or fit) of each group: the share of groups whose seeded hash comes first, at least one on both sides.
+
+    Groups are counted and cut by a bounded top-k; their names never meet on
+    the driver. Fewer than two groups can't be split.
+    """
+    names = written(rows.select(group).distinct(), "groups")
+    n = names.count()
+    if n < 2:
+        raise ValueError("a split needs two groups")
+    k = min(n - 1, max(1, int(n * share + 0.5)))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))
+    first = names.orderBy(order, group).limit(k).select(group, F.lit("calibration").alias("_side"))
+    return names.join(first, group, "left").select(group, F.coalesce("_side", F.lit("fit")).alias("side"))
+
+
 def sweep(features: DataFrame, grid: list[dict[str, float]], base: GateThresholds | None = None, truth: str = "label", outer: int = 0) -> DataFrame:
     """combo (its place in ``grid``), counts and balanced accuracy of every combination, best first, the first on a tie.
 

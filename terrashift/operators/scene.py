@@ -209,6 +209,31 @@ def joint_stretch(pixels: DataFrame, bands: tuple[str, ...] = ("red", "green", "
     return got.select("scene", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def resampled(pixels: DataFrame, column: str, height: int, width: int) -> DataFrame:
+    """scene, y, x and ``column`` on another grid over the scene's frame, bilinear with pixel centres at halves; cells without a value count as 0.
+
+    Each new cell asks for its four neighbours and their weighted values are
+    added up, so a scene is spread over all tasks.
+    """
+    frame = pixels.groupBy("scene").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    grid = frame.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"))
+
+    def axis(at: str, size: Column, cells: int) -> Column:
+        """The two neighbours along an axis, counted from the frame, with their weights."""
+        place = ix.clip((F.col(at) + 0.5) * size / cells - 0.5, 0.0, size - 1)
+        low = F.least(F.floor(place), F.greatest(F.lit(0), size - 2)).cast("int")
+        both = ((low, 1.0 - (place - low)), (F.least(low + 1, size - 1).cast("int"), place - low))
+        return F.array(*(F.struct(k.alias("at"), w.alias("weight")) for k, w in both))
+
+    rows = grid.withColumns({"ys": axis("i", F.col("y1") - F.col("y0") + 1, height), "xs": axis("j", F.col("x1") - F.col("x0") + 1, width)})
+    asked = rows.select("scene", "y0", "x0", "i", "j", F.explode("ys").alias("ya"), "xs").select("*", F.explode("xs").alias("xa"))
+    asked = asked.select("scene", "i", "j", (F.col("ya.at") + F.col("y0")).alias("y"), (F.col("xa.at") + F.col("x0")).alias("x"), (F.col("ya.weight") * F.col("xa.weight")).alias("weight"))
+    known = F.when(ix.finite(F.col(column)), F.col(column)).otherwise(0.0)
+    met = asked.join(pixels.select("scene", "y", "x", known.alias("_v")), ["scene", "y", "x"], "left")
+    total = met.groupBy("scene", "i", "j").agg(F.sum(F.col("weight") * F.coalesce("_v", F.lit(0.0))).alias(column))
+    return total.select("scene", F.col("i").alias("y"), F.col("j").alias("x"), column)
+
+
 def robust_fit(pixels: DataFrame, min_pixels: int = 256) -> DataFrame:
     """band, gain and offset that map ``after`` onto ``before`` through the quartiles; (1, 0) where it can't be told.
 

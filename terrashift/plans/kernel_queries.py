@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrashift.operators import evaluation, gate, kernels, scorers
+from terrashift.operators import evaluation, gate, kernels, scene, scorers
 from terrashift.plans import views
 from terrashift.plans.registry import query
 from terrashift.plans.sql import CLEAR_GATE, GATE, chain, clear_chain, components
@@ -59,9 +59,27 @@ def kernel_registration(spark, d):
     return kernels.scene_registration(views.px(spark, d))
 
 
-@query("kernel_resample")
+def _axis_sql(at: str, low: str, high: str, cells: int) -> str:
+    size = f"({high} - {low} + 1)"
+    place = f"least(greatest(({at} + 0.5E0)*{size}/{cells}.0E0 - 0.5E0, 0.0E0), {size} - 1.0E0)"
+    first = f"CAST(least(floor({place}), greatest(0, {size} - 2)) AS INT)"
+    return f"[{{'at': {first}, 'weight': 1.0E0 - ({place} - {first})}}, {{'at': CAST(least({first} + 1, {size} - 1) AS INT), 'weight': {place} - {first}}}]"
+
+
+@query(
+    "kernel_resample",
+    chain(
+        "px",
+        """SELECT a.scene, a.i AS y, a.j AS x, round(sum(a.ys.weight*a.xs.weight*coalesce(px.red1, 0.0E0)), 6) AS red1 FROM a
+        LEFT JOIN px ON px.scene = a.scene AND px.y = a.y0 + a.ys.at AND px.x = a.x0 + a.xs.at GROUP BY 1, 2, 3""",
+        "fr AS (SELECT scene, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px GROUP BY scene)",
+        "gr AS (SELECT fr.*, CAST(i.i AS INT) AS i, CAST(j.j AS INT) AS j FROM fr, range(0, 16) i(i), range(0, 16) j(j))",
+        f"a0 AS (SELECT scene, y0, x0, i, j, unnest({_axis_sql('i', 'y0', 'y1', 16)}) AS ys, {_axis_sql('j', 'x0', 'x1', 16)} AS xl FROM gr)",
+        "a AS (SELECT scene, y0, x0, i, j, ys, unnest(xl) AS xs FROM a0)",
+    ),
+)
 def kernel_resample(spark, d):
-    return kernels.scene_resample(views.px(spark, d), "red1", 16, 16)
+    return rounded(scene.resampled(views.px(spark, d), "red1", 16, 16))
 
 
 @query("kernel_shadow", clear_chain("mk", "SELECT scene, y, x, shadow1 AS shadow FROM mk"))

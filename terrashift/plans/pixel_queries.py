@@ -227,10 +227,10 @@ _FIT_BANDS = ("red", "nir", "swir")
 _FIT = " UNION ALL ".join(f"SELECT scene, '{b}' AS band, {b}1 AS before, {b}2 AS after FROM mk WHERE valid" for b in _FIT_BANDS)
 
 
-def _fit_sql(source: str) -> str:
+def _fit_sql(source: str, digits: int = 6) -> str:
     q = {f"{v}{int(p * 100)}": f"quantile_cont({v}, {p})" for v in ("before", "after") for p in (0.25, 0.5, 0.75)}
     cols = ", ".join(f"{e} AS {k}" for k, e in q.items())
-    return f"""SELECT scene, band, n, round(gain, 6) AS gain, round(CASE WHEN told THEN before50 - gain * after50 ELSE 0.0E0 END, 6) AS "offset" FROM (
+    return f"""SELECT scene, band, n, round(gain, {digits}) AS gain, round(CASE WHEN told THEN before50 - gain * after50 ELSE 0.0E0 END, {digits}) AS "offset" FROM (
       SELECT *, CASE WHEN told THEN least(greatest((before75 - before25)/(after75 - after25), 0.5E0), 2.0E0) ELSE 1.0E0 END AS gain FROM (
       SELECT *, n >= 64 AND abs(after75 - after25) >= 1.0E-6 AS told FROM (SELECT scene, band, count(*) AS n, {cols} FROM ({source}) GROUP BY scene, band)))"""
 
@@ -241,9 +241,27 @@ def pif_robust_fit(spark, d):
     return rounded(scene.robust_fit(written(views.mk(spark, d).where("valid").select("scene", F.inline(pairs)), "pairs"), min_pixels=64))
 
 
-@query("pif_normalise")
+def _normalise_sql(rounds: int = 3) -> str:
+    """Each round measures the distance under the fit before it, keeps the steady 60 % of a scene's cells and fits their original values."""
+    bands = _FIT_BANDS
+    parts = [f"v AS (SELECT scene, {', '.join(f'{b}{t}' for b in bands for t in (1, 2))} FROM mk WHERE valid AND {' AND '.join(f'{b}{t} IS NOT NULL' for b in bands for t in (1, 2))})"]
+    for k in range(rounds):
+        after = {b: f"({b}2 * {b}_g + {b}_o)" if k else f"{b}2" for b in bands}
+        far = " + ".join(f"({after[b]} - {b}1)*({after[b]} - {b}1)" for b in bands)
+        pairs = " UNION ALL ".join(f"SELECT d.scene, '{b}' AS band, {b}1 AS before, {b}2 AS after FROM d{k} d JOIN c{k} c ON c.scene = d.scene WHERE dist <= cut" for b in bands)
+        wide = ", ".join(f"max(CASE WHEN band = '{b}' THEN gain END) AS {b}_g, max(CASE WHEN band = '{b}' THEN \"offset\" END) AS {b}_o" for b in bands)
+        parts += [
+            f"d{k} AS (SELECT v.*, sqrt({far}) AS dist FROM v {f'JOIN w{k - 1} w ON w.scene = v.scene' if k else ''})",
+            f"c{k} AS (SELECT scene, quantile_cont(dist, 0.6) AS cut FROM d{k} GROUP BY scene)",
+            f"f{k} AS ({_fit_sql(pairs, 12)})",
+            f"w{k} AS (SELECT scene, {wide} FROM f{k} GROUP BY scene)",
+        ]
+    return chain("mk", f'SELECT scene, band, n, round(gain, 6) AS gain, round("offset", 6) AS "offset" FROM f{rounds - 1}', *parts)
+
+
+@query("pif_normalise", _normalise_sql())
 def pif_normalise(spark, d):
-    return scene.normalise_to_reference(views.mk(spark, d), _FIT_BANDS, iterations=3, min_pixels=64)
+    return rounded(scene.normalise_to_reference(views.mk(spark, d), _FIT_BANDS, iterations=3, min_pixels=64))
 
 
 @query("gate_decide", chain("gt", 'SELECT scene, trow AS "row", tcol AS "col", gate, gate_reason FROM gt'))

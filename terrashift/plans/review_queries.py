@@ -344,11 +344,15 @@ def split_disjoint(spark, d):
     return risk.overlap(rows.where("doc_id % 2 = 0"), rows.where("label = 0"), "city")
 
 
-@query("split_calibration")
+@query(
+    "split_calibration",
+    _scored(
+        """SELECT city, CASE WHEN place <= least(n - 1, greatest(1, CAST(floor(n*0.3E0 + 0.5E0) AS BIGINT))) THEN 'calibration' ELSE 'fit' END AS side
+        FROM (SELECT city, row_number() OVER (ORDER BY md5('42:' || city), city) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT city FROM sc))"""
+    ),
+)
 def split_calibration(spark, d):
-    names = [r.city for r in views.scored(spark, d).groupBy("city").agg(F.count(F.lit(1)).alias("n")).orderBy("city").toLocalIterator()]
-    cal, fit = risk.split_groups(names)
-    return spark.createDataFrame([(c, "calibration") for c in cal] + [(c, "fit") for c in fit], "city string, side string")
+    return risk.split_rows(views.scored(spark, d), "city")
 
 
 # The default axes in number and length, at values that split these tables.

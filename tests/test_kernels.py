@@ -122,3 +122,13 @@ def test_shadow_by_running_maxima_equals_the_kernel(spark, radius):
     for t in (1, 2):
         want = k.scene_shadow(cells, t, radius).toPandas().set_index(["scene", "y", "x"]).sort_index()
         assert (got[f"shadow{t}"] == want.shadow).all() and (radius == 0 or want.shadow.any())
+
+
+def test_resampling_of_a_spread_scene_equals_the_dense_one(spark):
+    rng = np.random.default_rng(6)
+    for h, w, height, width in ((7, 9, 4, 4), (5, 5, 5, 5), (3, 4, 8, 9), (1, 6, 3, 2)):
+        image = rng.random((h, w))
+        rows = [("s", y + 10, x - 3, float(image[y, x])) for y in range(h) for x in range(w)]
+        got = scene.resampled(spark.createDataFrame(rows, "scene string, y int, x int, v double"), "v", height, width).collect()
+        want = k.bilinear(image, height, width)
+        assert len(got) == height * width and all(abs(r.v - want[r.y, r.x]) < 1e-12 for r in got)

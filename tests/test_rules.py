@@ -436,3 +436,14 @@ def test_reports_and_tuned_thresholds(spark, tmp_path):
     for bad in ("gate:\n  unknown: 1", "other:\n  a: 1", "  a: 1", "gate: 3", "gate:\n  background_sigma"):
         with pytest.raises((ValueError, TypeError)):
             config.from_yaml(bad)
+
+
+def test_groups_are_split_by_a_seeded_hash(spark):
+    df = rows(spark, [(f"g{k % 10}", k) for k in range(100)], "city string, k int")
+    got = {r.city: r.side for r in risk.split_rows(df, "city").collect()}
+    assert len(got) == 10 and sum(v == "calibration" for v in got.values()) == 3
+    assert got == {r.city: r.side for r in risk.split_rows(df.repartition(7), "city").collect()}
+    assert got != {r.city: r.side for r in risk.split_rows(df, "city", seed=1).collect()}
+    assert {r.side for r in risk.split_rows(df.where("k < 2"), "city", share=0.0).collect()} == {"calibration", "fit"}
+    with pytest.raises(ValueError):
+        risk.split_rows(df.where("k < 1"), "city")
