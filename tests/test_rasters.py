@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrashift.operators import ingest
-from terrashift.sources import files, geotiff
+from terrashift.sources import catalogue, files, geotiff
 
 
 def made(cells, rows=8, cols=None, order="<", deflate=True, predictor=1, **place):
@@ -193,3 +193,34 @@ def test_crop_windows(spark):
 def test_label_outside_the_labelled_area_is_unchanged(spark):
     rows = spark.createDataFrame([(0, "eq2"), (1, "eq2"), (2, "eq2")], "v int, e string")
     assert [r[0] for r in rows.coalesce(1).select(files.label_changed(F.col("v"), F.col("e"))).collect()] == [False, False, True]
+
+
+def test_catalogue_by_headers(spark, tmp_path):
+    def put(pair, where, cells, **place):
+        path = tmp_path / pair / where
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(made(cells, 8, **place))
+
+    small, large = np.zeros((20, 30), np.uint16), np.zeros((200, 300), np.uint16)
+    put("saclay_e", "imgs_1_rect/B04.tif", large)
+    put("saclay_e", "imgs_1/S2_B04.tif", small, west=2.0, north=49.0, step=0.01, epsg=4326)
+    put("saclay_w", "imgs_1/S2_B04.tif", small, west=1.7, north=49.0, step=0.01, epsg=4326)
+    put("paris", "imgs_1_rect/b04.tif", small)
+    put("paris", "imgs_1/X_B04.tif", small)
+    put("alone", "imgs_1_rect/B03.tif", small)
+    for extra in ("saclay_e/cm/cm.png", "saclay_e/pair/img1.png", "paris/cm/paris-cm.tif"):
+        (tmp_path / extra).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / extra).write_bytes(b"x")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path")
+    pairs = spark.createDataFrame([("saclay_e", "train"), ("saclay_w", "test"), ("paris", "train"), ("alone", "test")], "pair_id string, split string")
+    polygons = spark.createDataFrame([("paris", '{"coordinates": [[[2.5, 48.8], [2.6, 48.8], [2.6, 48.9], [2.5, 48.8]]]}'), ("alone", "broken")], "pair_id string, geometry string")
+    dates = spark.createDataFrame([("paris", "2016-01-01", "2018-02-02")], "pair_id string, date_t1 string, date_t2 string")
+    got = {r.pair_id: r for r in catalogue.build(listing, pairs, polygons, dates).collect()}
+    assert list(got) == ["alone", "paris", "saclay_e", "saclay_w"]
+    e, w, p, a = got["saclay_e"], got["saclay_w"], got["paris"], got["alone"]
+    assert (e.height, e.width, e.epsg, e.bbox_source, e.has_label, e.preview1, e.preview2) == (200, 300, 4326, "native_transform", True, True, False)
+    assert tuple(round(v, 9) for v in e.bbox) == (2.0, 48.8, 2.3, 49.0) and (w.height, w.width) == (20, 30)
+    assert e.notes == ["Edge-adjacent to saclay_w across the train/test split."] and w.notes == ["Edge-adjacent to saclay_e across the train/test split."]
+    assert (p.bbox_source, p.epsg, tuple(p.bbox), p.date_t2, p.has_label) == ("aoi_polygon", None, (2.5, 48.8, 2.6, 48.9), "2018-02-02", True)
+    assert p.notes == ["No CRS on the native raster; falling back to the AOI polygon."] and (p.height, p.width) == (20, 30)
+    assert (a.height, a.width, a.bbox, a.bbox_source, a.notes) == (0, 0, None, "none", [])
