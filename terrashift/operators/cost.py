@@ -16,7 +16,7 @@ def rates(spark: SparkSession, table: dict[str, tuple[float, float]] | None = No
 
 def priced(usage: DataFrame, rate: DataFrame) -> DataFrame:
     """``usage`` with cost_usd, cost_usd_synchronous and priced; a model without a rate costs 0 and says so."""
-    joined = usage.join(F.broadcast(rate), "model", "left")  # a price list
+    joined = usage.join(rate, "model", "left")
 
     def cost(factor):
         tokens_in = (

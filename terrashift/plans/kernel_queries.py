@@ -70,7 +70,7 @@ def _axis_sql(at: str, low: str, high: str, cells: int) -> str:
     "kernel_resample",
     chain(
         "px",
-        """SELECT a.scene, a.i AS y, a.j AS x, round(sum(a.ys.weight*a.xs.weight*coalesce(px.red1, 0.0E0)), 6) AS red1 FROM a
+        """SELECT a.scene, a.i AS y, a.j AS x, round(sum(a.ys.weight*a.xs.weight*coalesce(px.red1, 0.0E0)), 9) AS red1 FROM a
         LEFT JOIN px ON px.scene = a.scene AND px.y = a.y0 + a.ys.at AND px.x = a.x0 + a.xs.at GROUP BY 1, 2, 3""",
         "fr AS (SELECT scene, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px GROUP BY scene)",
         "gr AS (SELECT fr.*, CAST(i.i AS INT) AS i, CAST(j.j AS INT) AS j FROM fr, range(0, 16) i(i), range(0, 16) j(j))",
@@ -79,7 +79,7 @@ def _axis_sql(at: str, low: str, high: str, cells: int) -> str:
     ),
 )
 def kernel_resample(spark, d):
-    return rounded(scene.resampled(views.px(spark, d), "red1", 16, 16))
+    return rounded(scene.resampled(views.px(spark, d), "red1", 16, 16), 9)
 
 
 @query("kernel_shadow", clear_chain("mk", "SELECT scene, y, x, shadow1 AS shadow FROM mk"))
