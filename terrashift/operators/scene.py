@@ -234,14 +234,15 @@ def resampled(pixels: DataFrame, column: str, height: int, width: int) -> DataFr
     return total.select("scene", F.col("i").alias("y"), F.col("j").alias("x"), column)
 
 
-def robust_fit(pixels: DataFrame, min_pixels: int = 256) -> DataFrame:
+def robust_fit(pixels: DataFrame, min_pixels: int = 256, at_most: int | None = None) -> DataFrame:
     """band, gain and offset that map ``after`` onto ``before`` through the quartiles; (1, 0) where it can't be told.
 
     ``pixels`` has scene, band, before and after; gains are kept in [0.5, 2].
-    It is read several times: give a written table.
+    It is read several times: give a written table. ``at_most`` is a bound of
+    its rows that is known.
     """
     sides = F.array(F.struct(F.lit("y").alias("side"), F.col("before").alias("v")), F.struct(F.lit("x").alias("side"), F.col("after").alias("v")))
-    both = quantiles.quantiles(pixels.select("scene", "band", F.inline(sides)), ["scene", "band", "side"], "v", [0.25, 0.5, 0.75])
+    both = quantiles.quantiles(pixels.select("scene", "band", F.inline(sides)), ["scene", "band", "side"], "v", [0.25, 0.5, 0.75], at_most=at_most and 2 * at_most)
     got = both.groupBy("scene", "band").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("side") == s, F.col("q"))).alias(s) for s in ("x", "y")))
     spread = F.col("x")[2] - F.col("x")[0]
     told = (F.col("n") >= min_pixels) & (F.abs(spread) >= 1e-6)
@@ -263,6 +264,7 @@ def normalise_to_reference(
     """
     valid = pixels.where(F.col("valid") & ix.all_finite(*(F.col(f"{b}{t}") for b in bands for t in (1, 2))))
     valid = written(valid.select("scene", *(f"{b}{t}" for b in bands for t in (1, 2))), "normalise-valid")
+    n = valid.count()
     held = None
     for _ in range(iterations):
         after = {b: F.col(f"{b}2") for b in bands}
@@ -273,8 +275,8 @@ def normalise_to_reference(
             after = {b: F.col(f"{b}2") * F.col(f"_{b}.gain") + F.col(f"_{b}.offset") for b in bands}
         rows = rows.withColumn("_d", ix.cva([(F.col(f"{b}1"), after[b]) for b in bands]))
         rows = written(rows.select(*valid.columns, "_d"), "normalise-distance")
-        cut = quantiles.quantiles(rows, ["scene"], "_d", [percentile]).select("scene", F.col("q")[0].alias("_cut"))
+        cut = quantiles.quantiles(rows, ["scene"], "_d", [percentile], at_most=n).select("scene", F.col("q")[0].alias("_cut"))
         steady = rows.join(cut, "scene").where("_d <= _cut")
         pairs = F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"{b}1").alias("before"), F.col(f"{b}2").alias("after")) for b in bands))
-        held = robust_fit(written(steady.select("scene", F.inline(pairs)), "normalise-steady"), min_pixels)
+        held = robust_fit(written(steady.select("scene", F.inline(pairs)), "normalise-steady"), min_pixels, len(bands) * n)
     return held

@@ -9,6 +9,8 @@ error take a scene in one task, and both may be given instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def scene_features(cells: DataFrame, block: int = 512) -> DataFrame:
     what = F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in ("d_ndvi", "d_ndbi", "magnitude")))
     long = written(cells.where("valid").select("scene", F.inline(what)), "triage-values")
     probs = sorted({p for _, p in TAILS.values()})
-    tails = quantiles.quantiles(long, ["scene", "what"], "v", probs)
+    tails = quantiles.quantiles(long, ["scene", "what"], "v", probs, at_most=long.count())
     wide = tails.groupBy("scene").agg(*(F.max(F.when(F.col("what") == c, F.col("q")[probs.index(p)])).alias(k) for k, (c, p) in TAILS.items()))
     parts = regions.summary(cells, block=block).drop("changed_px")
     joined = got.join(wide, "scene", "left").join(parts, "scene", "left").join(scene.fractions(cells).drop("n"), "scene")
@@ -55,18 +57,21 @@ def structure(pixels: DataFrame) -> DataFrame:
     return alike.join(kernels.scene_registration(shown).select("scene", "registration_px"), "scene")
 
 
-def run(pixels: DataFrame, settings: Settings | None = None, given: DataFrame | None = None, normalise: bool = False, block: int = 512) -> DataFrame:
+Evidence = Callable[[DataFrame], DataFrame]
+
+
+def run(pixels: DataFrame, settings: Settings | None = None, evidence: Evidence = structure, normalise: bool = False, block: int = 512) -> DataFrame:
     """A row for each scene: features, quality, gate, reason, confidence and config_sha.
 
-    ``pixels`` are paired (``pair_dates``); ``given`` holds scene, ssim,
-    phash_distance and registration_px where they are known already. With
-    ``normalise`` the second date is matched to the first one beforehand.
+    ``pixels`` are paired (``pair_dates``); ``evidence`` makes scene, ssim,
+    phash_distance and registration_px of the scenes' cells, or says what is
+    known already. With ``normalise`` the second date is matched to the first
+    one beforehand.
     """
     s = settings or Settings()
     pixels = normalised(pixels, s) if normalise else pixels
     cells = changed_cells(pixels, s, block)
-    known = structure(cells) if given is None else given
-    judged = scene.valid_observation(scene_features(cells, block).join(known, "scene", "left"), s.quality)
+    judged = scene.valid_observation(scene_features(cells, block).join(evidence(cells), "scene", "left"), s.quality)
     return gate.decide(judged, s.gate).withColumn("config_sha", F.lit(s.sha()))
 
 
@@ -81,14 +86,14 @@ def normalised(pixels: DataFrame, settings: Settings | None = None, bands: tuple
     return joined.withColumns(moved).select(pixels.columns)
 
 
-def ab_normalisation(pixels: DataFrame, labels: DataFrame, settings: Settings | None = None, given: DataFrame | None = None, block: int = 512) -> DataFrame:
+def ab_normalisation(pixels: DataFrame, labels: DataFrame, settings: Settings | None = None, evidence: Evidence = structure, block: int = 512) -> DataFrame:
     """side (off, on, delta), counts, precision and f1 of the gate without and with normalisation; ``labels`` has scene and label.
 
     A delta is NULL where either side is not assessed.
     """
     sides = None
     for side, on in (("off", False), ("on", True)):
-        judged = run(pixels, settings, given, on, block).join(labels, "scene")
+        judged = run(pixels, settings, evidence, on, block).join(labels, "scene")
         one = evaluation.summary(judged, group="scene").select(F.lit(side).alias("side"), "tp", "fp", "fn", "tn", "precision", "f1")
         sides = one if sides is None else sides.unionByName(one)
     sides = written(sides, "ab-sides")

@@ -66,9 +66,8 @@ def region_summary(spark, d):
 _SETTINGS = Settings(CLEAR_MASKS, QUALITY, CLEAR_GATE)
 
 
-def _given(spark, d):
+def _evidence(cells):
     """Similarity and registration that SQL can compute too."""
-    cells = triage.changed_cells(views.px(spark, d), _SETTINGS, block=TILE)
     means = cells.groupBy("scene").agg(F.coalesce(F.avg(F.when(F.col("valid"), F.col("cva"))), F.lit(0.0)).alias("m"), F.count_if("valid").alias("n"))
     return means.select("scene", F.greatest(F.lit(0.0), 1.0 - F.col("m")).alias("ssim"), (F.col("n") % 32).cast("int").alias("phash_distance"), F.lit(0.5).alias("registration_px"))
 
@@ -89,7 +88,7 @@ def _given(spark, d):
 )
 def triage_scenes(spark, d):
     """Scenes from bands to decision over shadow-free, scene-wide despeckled cells; tails by distributed selection."""
-    got = triage.run(views.px(spark, d), _SETTINGS, _given(spark, d), block=TILE)
+    got = triage.run(views.px(spark, d), _SETTINGS, _evidence, block=TILE)
     names = "n_valid largest_component_px changed_area_percent ndvi_delta_p10 magnitude_p99 cloud_fraction valid_observation gate gate_reason"
     return rounded(got.select("scene", *names.split(), F.round("gate_confidence", 4).alias("gate_confidence")))
 
@@ -103,5 +102,6 @@ def triage_full(spark, d):
 
 @query("ab_normalisation")
 def ab_normalisation(spark, d):
-    labels = views.px(spark, d).groupBy("scene").agg((F.col("scene") % 2).alias("label"))
-    return triage.ab_normalisation(views.px(spark, d), labels, _SETTINGS, _given(spark, d), block=TILE)
+    pixels = views.written(views.px(spark, d), "pairs")
+    labels = pixels.select("scene", (F.col("scene") % 2).alias("label")).distinct()
+    return triage.ab_normalisation(pixels, labels, _SETTINGS, _evidence, block=TILE)

@@ -402,7 +402,7 @@ def test_normalisation_is_undone_by_its_fit(spark):
     assert matched.agg(F.max(F.abs(F.col("nir1") - F.col("nir2")))).first()[0] < 0.05
     labels = rows(spark, [("changed", 1), ("stable", 0)], "scene string, label int")
     given = rows(spark, [("changed", 0.9, 0, 0.1), ("stable", 0.9, 0, 0.1)], "scene string, ssim double, phash_distance int, registration_px double")
-    sides = {r.side: r for r in triage.ab_normalisation(pixels, labels, given=given, block=32).collect()}
+    sides = {r.side: r for r in triage.ab_normalisation(pixels, labels, evidence=lambda _: given, block=32).collect()}
     assert set(sides) == {"off", "on", "delta"} and (sides["on"].tp, sides["on"].fp) == (1, 0)
     assert sides["delta"].fp == sides["on"].fp - sides["off"].fp
 
