@@ -101,7 +101,9 @@ class SpendLedger:
     """Quote, reserve, settle: decisions are serialised in one writer, every event is an appended row.
 
     A cap needs one transaction at a time, which is a writer's business and
-    not a query's; the events it appends are what the queries above read.
+    not a query's; the events it appends are what the queries above read. It
+    lives in memory; ``streaming.spending`` decides a durable log of the same
+    events and survives restarts.
     """
 
     def __init__(self, cap_usd: float, ttl_s: float = 300.0):
