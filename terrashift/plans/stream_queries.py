@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrashift.plans import views
 from terrashift.plans.registry import query
-from terrashift.sources.storage import shared_dir
+from terrashift.sources.storage import shared_dir, written
 from terrashift.streaming import spending
 
 CAP, TTL_S, SLICES = 2_000_000, 14_400, 4
@@ -46,8 +46,12 @@ st AS (
         FROM st s JOIN lr ON lr.session = s.session AND lr.n = s.n + 1))"""
 
 
-def spending_log(spark: SparkSession, d: str, slices: int = SLICES) -> str:
-    """The folder of a log made of the events: files in the order of time, a session's events of a slice in one file."""
+def spending_log(spark: SparkSession, d: str, slices: int = SLICES) -> tuple[str, int, str]:
+    """The folder of a log made of the events, the files that a slice has at most, and the time that they overlap by.
+
+    The slices are written in the order of time, each as one file a core; a
+    session's events of a slice are in one file.
+    """
     rows = views.table(spark, d, "events").where("event_type <> 'signup'")
     kind = F.when(F.col("event_type") == "view", "quote").when(F.col("event_type") == "click", "reserve").when(F.col("event_type") == "purchase", "settle")
     kind = F.coalesce(kind, F.when(F.col("event_id") % 3 == 0, "uncertain").otherwise("release"))
@@ -61,18 +65,17 @@ def spending_log(spark: SparkSession, d: str, slices: int = SLICES) -> str:
     def last(kind: str):
         return F.last(F.when(F.col("kind") == kind, F.col("event_id")), True).over(before)
 
+    at = F.unix_micros("ts")
+    ends = log.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    first, span = ends.a or 0, (ends.b or 0) - (ends.a or 0)
+    step = span // slices + 1
     ref = F.when(F.col("kind") == "reserve", last("quote")).when(F.col("kind") != "quote", last("reserve"))
     log = log.withColumn("ref", ref).select("session", "event_id", "ts", "kind", "ref", "fingerprint", "micro")
-    ends = log.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    path = f"{shared_dir(spark)}/logs/spending-{uuid.uuid4().hex}"
-    if ends.a is None:
-        log.write.parquet(f"{path}/slice=0")
-        return path
-    step = (ends.b - ends.a) / slices
+    sliced = written(log.withColumn("slice", F.floor((at - first) / step).cast("int")), "spending-log")
+    path, files = f"{shared_dir(spark)}/logs/spending-{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism
     for k in range(slices):
-        part = log.where((F.col("ts") >= F.lit(ends.a + k * step)) & (F.col("ts") < F.lit(ends.a + (k + 1) * step) if k < slices - 1 else F.lit(True)))
-        part.repartition("session").write.parquet(f"{path}/slice={k}")
-    return path
+        sliced.where(F.col("slice") == k).drop("slice").repartition(files, "session").write.parquet(f"{path}/slice={k}")
+    return path, files, f"{step} microseconds"
 
 
 @query(
@@ -81,4 +84,5 @@ def spending_log(spark: SparkSession, d: str, slices: int = SLICES) -> str:
     SELECT session, event_id, kind, decision, settled AS settled_micro, CAST(coalesce(list_sum(amounts), 0) AS BIGINT) AS held_micro FROM st WHERE n > 0""",
 )
 def spend_decisions(spark, d) -> DataFrame:
-    return spending.decided(spark, spending_log(spark, d), CAP, TTL_S, max_files=1)
+    path, files, overlap = spending_log(spark, d)
+    return spending.decided(spark, path, CAP, TTL_S, max_files=files, delay=overlap)

@@ -5,8 +5,10 @@ import random
 import shutil
 
 import pytest
+from helpers import assert_same
 from pyspark.sql import functions as F
 
+from terrashift import plans
 from terrashift.operators import funnel, verdicts
 from terrashift.plans import funnel_queries
 from terrashift.streaming import spending
@@ -226,3 +228,25 @@ def test_spending_survives_a_restart(spark, tmp_path):
     shutil.rmtree(state)
     whole = spending.decided(spark, str(log), cap, ttl, max_files=3).collect()
     assert sorted((r.session, r.event_id, r.decision, r.settled_micro, r.held_micro) for r in whole) == want
+
+
+def test_spending_keeps_large_ids_and_missing_amounts(spark, tmp_path):
+    """A missing ref or amount makes no other one a double; an event of nobody decides nothing."""
+    big = 2**60
+    rows = [
+        (7, big + 1, 0, "quote", None, "a", 5), (7, big + 3, 1, "reserve", big + 1, "a", None), (7, big + 5, 2, "settle", big + 3, "a", None),
+        (7, big + 7, 3, "release", big + 4, "a", 1), (None, 9, 4, "quote", None, "a", 1),
+    ]
+    log = spark.createDataFrame(rows, spending.LOG.replace("ts timestamp", "at bigint")).withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
+    log.select(*(c.split()[0] for c in spending.LOG.split(", "))).coalesce(1).write.parquet(str(tmp_path / "log"))
+    got = sorted((r.event_id - big, r.decision, r.settled_micro, r.held_micro) for r in spending.decided(spark, str(tmp_path / "log"), 60, 300).collect())
+    assert got == [(1, "quoted", 0, 0), (3, "reserved", 0, 5), (5, "settled", 0, 0), (7, "refused: no such hold", 0, 0)]
+
+
+def test_spending_loses_no_event_of_a_slice_in_many_files(spark, data, duck):
+    """Files of a slice overlap in time: none is late because another was read before."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert_same(plans.QUERIES["spend_decisions"](spark, data), duck, plans.ORACLES["spend_decisions"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
