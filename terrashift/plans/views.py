@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrashift.config import GateThresholds
@@ -115,5 +115,16 @@ def scored(spark: Spark, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; everything else as it is."""
-    return df.select(*(F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+    """Doubles rounded for comparison, by SQL's rule; everything else as it is.
+
+    DuckDB's round(x, n) rounds the double x * 10^n to a whole number; Spark's
+    rounds the decimal digits of x, which differs where that product is next
+    to a half (323.0 / 640.0 is 0.504687 there, 0.504688 in Spark).
+    """
+    scale = 10.0**digits
+
+    def one(c: str) -> Column:
+        scaled = F.col(c) * scale
+        return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / scale).otherwise(F.col(c)).alias(c)
+
+    return df.select(*(one(c) if k == "double" else F.col(c) for c, k in df.dtypes))

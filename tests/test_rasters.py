@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrashift.operators import ingest
+from terrashift.plans import views
 from terrashift.sources import catalogue, files, geotiff
 
 
@@ -224,3 +225,12 @@ def test_catalogue_by_headers(spark, tmp_path):
     assert (p.bbox_source, p.epsg, tuple(p.bbox), p.date_t2, p.has_label) == ("aoi_polygon", None, (2.5, 48.8, 2.6, 48.9), "2018-02-02", True)
     assert p.notes == ["No CRS on the native raster; falling back to the AOI polygon."] and (p.height, p.width) == (20, 30)
     assert (a.height, a.width, a.bbox, a.bbox_source, a.notes) == (0, 0, None, "none", [])
+
+
+def test_doubles_are_rounded_as_in_sql(spark, duck):
+    """All parts of 640, of which many are a half in the seventh place, and what has no neighbour to be rounded to."""
+    rows = [(k, k / 640.0 if k < 640 else (k - 640) / -640.0) for k in range(1280)] + [(1280, float("nan")), (1281, float("inf")), (1282, 1e305), (1283, None)]
+    got = {r.k: r.x for r in views.rounded(spark.createDataFrame(rows, "k int, x double")).collect()}
+    want = dict(duck.sql("SELECT k, round(CASE WHEN k < 640 THEN k/640.0E0 ELSE (k - 640)/-640.0E0 END, 6) FROM range(1280) t(k)").fetchall())
+    assert {k: got[k] + 0.0 for k in want} == {k: x + 0.0 for k, x in want.items()}
+    assert got[1280] != got[1280] and got[1281] == float("inf") and got[1282] == 1e305 and got[1283] is None
