@@ -36,13 +36,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (0.8 of their five-word shingles and more) the document with the smallest id stays.
+    """Of each group of near duplicates the document with the smallest id stays.
 
-    Texts without words are one group. Of rows that are the same in all columns
+    Documents are linked where the 64-bit SimHash fingerprints of their five-word
+    shingles differ in at most 4 bits, and where they share 0.8 of their shingles
+    and more, which fingerprints often miss. Texts without words are one group. Of rows that are the same in all columns
     one stays; rows that share an id and differ elsewhere stay or go together.
     A row without an id can't be named, so it stays; it never makes another go.
     """
-    found = simhash.similar_documents(docs, width=5)
+    found = simhash.similar_documents(docs, width=5, radius=4)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 and doc_id is not null").select("doc_id")

@@ -407,6 +407,30 @@ def test_similar_documents_miss_no_pair_at_the_threshold(spark, hot):
     assert got == {k: k - k % 2 for k in range(len(texts))}
 
 
+def test_pipeline_links_near_fingerprints_and_similar_sets(spark):
+    """The stage against all pairs: fingerprints within 4 bits under 0.8 of the shingles, the other way about, and neither."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    wanted, texts = {(True, False): 4, (False, True): 4, (True, True): 4, (False, False): 4}, []
+    while any(wanted.values()):
+        a, b = pairs_of_similarity(rng, 1, 0.72, 0.95)
+        apart = (simhash.text_fingerprint(a, 5) ^ simhash.text_fingerprint(b, 5)).bit_count()
+        kind = (apart <= 4, brute_similarity(a, b) >= 0.8)
+        if wanted[kind]:
+            wanted[kind] -= 1
+            texts += [a, b]
+    near = [
+        [(simhash.text_fingerprint(a, 5) ^ simhash.text_fingerprint(b, 5)).bit_count() <= 4 or brute_similarity(a, b) >= 0.8 for b in texts] for a in texts
+    ]
+    component = list(range(len(texts)))
+    while (least := [min(component[j] for j in range(len(texts)) if near[i][j]) for i in range(len(texts))]) != component:
+        component = least
+    rows = [(k, t, "", "", 0) for k, t in enumerate(texts)]
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()}
+    assert got == set(component) and len(got) == 20
+
+
 def test_similar_documents_link_no_pair_below_the_threshold(spark):
     texts = pairs_of_similarity(random.Random(22), 150, 0.74, 0.8)
     rows = [(k, t, "", "", 0) for k, t in enumerate(texts)]
